@@ -199,6 +199,17 @@ def volumes(q):
     FROM {{supplier}}"""
 
 
+def volume_xml_lines(q):
+    """Printed XML of each server's volumes: ten volumes a server, one line each."""
+    server = f"'srv_' || {text(q.idiv('s_suppkey', 10))} AS server_name"
+    return f"""SELECT {server}, -1 AS line, '<Objects>' AS output FROM {{supplier}} GROUP BY {q.idiv('s_suppkey', 10)}
+    UNION ALL SELECT {server}, s_suppkey, '<Object Type="CimInstance"><Property Name="Name" Type="String">V' || {text('s_suppkey')}
+      || ':' || {BS} || ' - ' || s_name || '</Property>'
+      || CASE WHEN s_acctbal < 0 THEN '' ELSE '<Property Name="freeSpaceMB" Type="Double">' || {text('s_suppkey * 1000 + 0.125')} || '</Property>' END
+      || '<Property Name="capacityMB" Type="Double">' || {text('s_suppkey * 2000')} || '</Property></Object>' FROM {{supplier}}
+    UNION ALL SELECT {server}, 1000000000000, '</Objects>' FROM {{supplier}} GROUP BY {q.idiv('s_suppkey', 10)}"""
+
+
 def file_inventory(q):
     name = f"'f_' || {text('p_partkey')}"
     return f"""SELECT {srv(_file_db(q))} AS server_name,
@@ -259,7 +270,7 @@ def sessions(q):
       {q.add_seconds(at, '(c_custkey * 2003) % 2592000 + 30')} AS last_request_end_time,
       c_custkey % 3 AS open_tran, {whole('abs(c_acctbal)')} AS cpu, c_custkey % 50 AS memusage,
       c_custkey % 70 AS physical_io, 'CXPACKET' AS lastwaittype,
-      {q.idiv('c_custkey', 2)} AS sql_handle, 'EXEC proc_' || {text('c_custkey')} AS input_buffer
+      {q.idiv('c_custkey', 8)} * 4 + c_custkey % 4 AS sql_handle, 'EXEC proc_' || {text('c_custkey')} AS input_buffer
     FROM {{customer}}"""
 
 
@@ -328,6 +339,14 @@ def ring_buffer_values(q):
     FROM {{events}}"""
 
 
+def ring_buffer(q):
+    """Scheduler records as the XML a server keeps (256 records a server)."""
+    return """SELECT server_name, ticks, '<Record id="' || CAST(record_id AS STRING)
+      || '" type="RING_BUFFER_SCHEDULER_MONITOR"><SchedulerMonitorEvent><SystemHealth><ProcessUtilization>'
+      || CAST(sql_cpu AS STRING) || '</ProcessUtilization><SystemIdle>' || CAST(idle AS STRING)
+      || '</SystemIdle></SystemHealth></SchedulerMonitorEvent></Record>' AS record FROM {ring_buffer_values}"""
+
+
 def sys_info(q):
     return f"""SELECT 'srv_' || {text(q.idiv('event_id', 256))} AS server_name,
       max(event_id) * 1000 + 5000 AS ms_ticks FROM {{events}} GROUP BY {q.idiv('event_id', 256)}"""
@@ -454,6 +473,45 @@ def xe_values(q):
     FROM {{events}}"""
 
 
+def _node(name: str, value: str, shown: str | None = None) -> str:
+    """Data node with its value and, as the server writes it, a text that may be empty."""
+    return (f"'<data name=\"{name}\"><value>' || {value} || '</value><text>' || "
+            f"{shown or repr('')} || '</text></data>'")
+
+
+def xe_events(q):
+    """One XML event per row."""
+    n = "'1'"
+    error = " || ".join([
+        _node("error_number", text("error_number")), _node("severity", text("severity")),
+        _node("state", text("error_state")), _node("user_defined", "'false'"),
+        _node("category", "'2'", "'SERVER'"), _node("destination", "'0x2'", "'ERRORLOG'"),
+        _node("is_intercepted", "'false'"), _node("message", "message"),
+        "'<action name=\"session_id\"><value>' || " + text("user_id") + " || '</value></action>'"])
+    ddl = " || ".join([
+        _node("ddl_action", n, "'ALTER'"), _node("ddl_phase", "'2'", "'COMMITTED WITH CARE'"),
+        _node("statement", "statement"), _node("availability_group_id", text("user_id % 10")),
+        _node("availability_group_name", "ag_name")])
+    state = " || ".join([
+        _node("previous_state", n, "previous_state"), _node("current_state", "'2'", "current_state"),
+        _node("availability_group_id", text("user_id % 10")), _node("availability_group_name", "ag_name"),
+        _node("availability_replica_name", "replica_name")])
+    lease = " || ".join([_node("availability_group_id", text("user_id % 10")),
+                         _node("availability_group_name", "ag_name")])
+    manager = _node("current_state", "'2'", "current_state")
+    return f"""SELECT server_name, event_id, '<event name="' || event_name || '" timestamp="'
+      || replace({q.millis_text('ts')}, ' ', 'T') || 'Z">' || CASE event_type WHEN 'error' THEN {error}
+        WHEN 'click' THEN {ddl} WHEN 'view' THEN {state} WHEN 'purchase' THEN {lease} ELSE {manager} END
+      || '</event>' AS event_xml FROM {{xe_values}}"""
+
+
+def xe_targets(q):
+    """Ring buffer targets: documents of at most 64 events."""
+    return f"""SELECT server_name, {q.idiv('event_id', 64)} AS target_id,
+      '<RingBufferTarget truncated="0">' || string_agg(event_xml, '') || '</RingBufferTarget>' AS target_data
+    FROM {{xe_events}} GROUP BY server_name, {q.idiv('event_id', 64)}"""
+
+
 def alert_events(q):
     return f"""SELECT {srv('user_id')} AS server_name, event_id, ts AS event_time,
       {big(error_code())} AS error_number, 14 + event_id % 12 AS severity
@@ -532,7 +590,7 @@ def connections(q):
       40000 + c_custkey % 20000 AS client_tcp_port,
       CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE 1433 + c_custkey % 4 END AS local_tcp_port,
       CASE WHEN c_custkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS encrypt_option, 'NTLM' AS auth_scheme,
-      {q.idiv('c_custkey', 2)} AS most_recent_sql_handle
+      {q.idiv('c_custkey', 8)} * 4 + c_custkey % 4 AS most_recent_sql_handle
     FROM {{customer}}"""
 
 

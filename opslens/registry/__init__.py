@@ -6,7 +6,7 @@ import importlib
 
 from opslens.registry.common import Query
 
-FAMILIES = ["backup", "jobs"]
+FAMILIES = ["backup", "jobs", "storage"]
 
 
 def all_queries() -> dict[str, Query]:

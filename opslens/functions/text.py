@@ -91,7 +91,7 @@ def between_prefix_and_comma(c: Column, prefix: str) -> Column:
 
 def version_token(banner: Column, version: Column) -> Column:
     """Banner up to and including the version number and the character after it."""
-    at = F.locate_in(banner, version) if hasattr(F, "locate_in") else F.position(version, banner)
+    at = F.position(version, banner)
     return F.when(at > 0, F.substr(banner, F.lit(1), at + F.length(version)))
 
 
@@ -124,14 +124,24 @@ def duration_text(start: Column, end: Column) -> Column:
     )
 
 
+def _escaped(c: Column) -> Column:
+    out = c.cast("string")
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(raw), F.lit(entity))
+    return out
+
+
 def html_row(cells: list[Column], tag: str = "td") -> Column:
     """One table row; nulls give no cell, markup characters are escaped."""
-    def escaped(c: Column) -> Column:
-        out = c.cast("string")
-        for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            out = F.replace(out, F.lit(raw), F.lit(entity))
-        return out
-
-    rendered = [F.coalesce(F.concat(F.lit(f"<{tag}>"), escaped(c), F.lit(f"</{tag}>")), F.lit(""))
+    rendered = [F.coalesce(F.concat(F.lit(f"<{tag}>"), _escaped(c), F.lit(f"</{tag}>")), F.lit(""))
                 for c in cells]
     return F.concat(F.lit("<tr>"), *rendered, F.lit("</tr>"))
+
+
+def xml_element(tag: str, children: dict[str, Column]) -> Column:
+    """Compact XML element with a child per non-null column."""
+    parts = [
+        F.coalesce(F.concat(F.lit(f"<{name}>"), _escaped(value), F.lit(f"</{name}>")), F.lit(""))
+        for name, value in children.items()
+    ]
+    return F.concat(F.lit(f"<{tag}>"), *parts, F.lit(f"</{tag}>"))

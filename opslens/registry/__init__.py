@@ -6,7 +6,7 @@ import importlib
 
 from opslens.registry.common import Query
 
-FAMILIES = ["backup", "jobs", "storage"]
+FAMILIES = ["backup", "jobs", "storage", "workload"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ import importlib
 
 from opslens.registry.common import Query
 
-FAMILIES = ["backup", "jobs", "storage", "workload"]
+FAMILIES = ["backup", "jobs", "storage", "workload", "logs", "availability"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -56,10 +56,7 @@ def connections_union(connections: DataFrame, sessions: DataFrame, listener_ips:
 
 def _recent(xe: DataFrame, name: str | None, as_of: str | datetime, hours: int, utc_offset: int) -> DataFrame:
     """Parsed events of a kind in the last hours, with local time."""
-    rows = parse_events(xe)
-    if name is not None:
-        rows = rows.filter(F.col("event_name") == name)
-    rows = rows.withColumn("timestamp", dates.shift_hours(F.col("event_time"), utc_offset))
+    rows = parse_events(xe, name=name).withColumn("timestamp", dates.shift_hours(F.col("event_time"), utc_offset))
     return rows.filter(F.col("timestamp") >= dates.ago(as_of, hours, "hour"))
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opslens.functions import codes, dates, text, xmls
-from opslens.operators import adjacent, greedy, joins, ranking
+from opslens.operators import adjacent, changes, greedy, joins, ranking
 
 CATEGORY = "Maintenance_Monitoring_checks"
 
@@ -74,11 +74,19 @@ def errorlog_finding(servers: DataFrame, scan: DataFrame) -> DataFrame:
 
 # -- health session -----------------------------------------------------------------------------
 
-def parse_events(xe: DataFrame, column: str = "event_xml") -> DataFrame:
-    """Event documents parsed once: ``event``, ``event_name`` and ``event_time`` (UTC)."""
-    parsed = xe.withColumn("event", xmls.parse(F.col(column), xmls.EVENT)).drop(column)
-    return (parsed.withColumn("event_name", F.col("event")["_name"])
+def parse_events(xe: DataFrame, column: str = "event_xml", name: str | None = None) -> DataFrame:
+    """Event documents parsed once: ``event``, ``event_name`` and ``event_time`` (UTC).
+
+    The parse is the output of a generator, which filters on its fields cannot
+    be pushed through; as a plain column it would be parsed again for each
+    filter. A wanted ``name`` is looked for in the text before the parse.
+    """
+    wanted = xe if name is None else xe.filter(F.col(column).contains(name))
+    others = [c for c in xe.columns if c != column]
+    rows = wanted.select(*others, F.explode(F.array(xmls.parse(F.col(column), xmls.EVENT))).alias("event"))
+    rows = (rows.withColumn("event_name", F.col("event")["_name"])
             .withColumn("event_time", xmls.event_time(F.col("event"))))
+    return rows if name is None else rows.filter(F.col("event_name") == name)
 
 
 def parse_targets(targets: DataFrame) -> DataFrame:
@@ -165,49 +173,64 @@ def spn_duplicates(account_lines: DataFrame, duplicate_lines: DataFrame, machine
                     text.quote_name(F.col("account")).alias("account"), scoped.alias("is_scoped")))
 
 
+# Checks and what they say.
+SPN_MINE, SPN_ANY = "MSSQLSvc_SPNs_SvcAcct_CurrServer", "MSSQLSvc_SPNs_SvcAcct"
+SPN_DUP_MINE, SPN_DUP_ANY = "Dup_MSSQLSvc_SPNs_Acct_CurrServer", "Dup_MSSQLSvc_SPNs_Acct"
+SPN_TEXTS = {
+    "ok": "[OK]",
+    "other": "[INFORMATION: There are other MSSQLSvc SPNs registered for the current service account]",
+    "none_here": "[WARNING: There is no registered MSSQLSvc SPN for the current service account in the scoped server "
+                 "name, preventing the use of Kerberos authentication]",
+    "none": "[WARNING: There is no registered MSSQLSvc SPN for the current service account, preventing the use of "
+            "Kerberos authentication]",
+    "dup_here": "[WARNING: There are duplicate registered MSSQLSvc SPNs in the domain, for the SPN in the scoped server name]",
+    "dup": "[WARNING: There are duplicate registered MSSQLSvc SPNs in the domain]",
+}
+
+
 def spn_findings(account_lines: DataFrame, duplicate_lines: DataFrame, machines: DataFrame) -> DataFrame:
-    """Registered, missing and duplicate service principal names, as findings per server."""
+    """Registered, missing and duplicate service principal names, as findings per server.
+
+    Each line, each duplicate and each server is turned into its findings in
+    one pass over it.
+    """
     marked = F.upper("output").contains(SPN_MARK.upper())
     mine = F.upper("output").contains(F.upper(F.concat(F.lit(SPN_MARK + "/"), F.col("machine_name"))))
     lines = (account_lines.join(machines.select("server_name", "machine_name"), "server_name")
              .select("server_name", text.quote_name(_no_tabs("output")).alias("spn"),
                      marked.alias("_marked"), mine.alias("_mine")))
+    duplicates = spn_duplicates(account_lines, duplicate_lines, machines)
     none = F.lit(None).cast("string")
 
-    def finding(df: DataFrame, check: str, deviation: str, spn: Column = none, information: Column = none) -> DataFrame:
-        return df.select("server_name", F.lit(SPN_CATEGORY).alias("category"), F.lit(check).alias("check"),
-                         F.lit(deviation).alias("deviation"), spn.alias("spn"), information.alias("information"))
-
-    tally = (machines.select("server_name").join(
-        lines.groupBy("server_name").agg(F.max("_marked").alias("_any"), F.max(F.col("_mine") & F.col("_marked")).alias("_own")),
-        "server_name", "left").fillna(False, ["_any", "_own"]))
-    dup = spn_duplicates(account_lines, duplicate_lines, machines)
-    has_dup = dup.select("server_name").distinct()
-    has_scoped = dup.filter("is_scoped").select("server_name").distinct()
-    servers = machines.select("server_name")
+    def finding(when: Column, check: str, deviation: str, spn: Column = none, information: Column = none) -> Column:
+        return F.when(when, F.struct(
+            F.lit(check).alias("check"), F.lit(SPN_TEXTS[deviation]).alias("deviation"), spn.alias("spn"),
+            information.alias("information")))
+
+    def spread(df: DataFrame, findings: list[Column]) -> DataFrame:
+        rows = df.select("server_name", F.explode(F.array_compact(F.array(*findings))).alias("f"))
+        return rows.select("server_name", F.lit(SPN_CATEGORY).alias("category"), "f.*")
+
+    def has(c: str) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    by_line = lines.groupBy("server_name").agg(
+        F.max("_marked").alias("_any"), F.max(F.col("_mine") & F.col("_marked")).alias("_own"))
+    by_duplicate = duplicates.groupBy("server_name").agg(
+        F.lit(True).alias("_dup"), F.max("is_scoped").alias("_dup_own"))
+    servers = (machines.select("server_name").join(by_line, "server_name", "left")
+               .join(by_duplicate, "server_name", "left"))
     spn, account = F.col("spn"), F.col("account")
-    parts = [
-        finding(lines.filter("_mine"), "MSSQLSvc_SPNs_SvcAcct_CurrServer", "[OK]", spn),
-        finding(tally.filter("_any and not _own"), "MSSQLSvc_SPNs_SvcAcct_CurrServer",
-                "[WARNING: There is no registered MSSQLSvc SPN for the current service account in the scoped server "
-                "name, preventing the use of Kerberos authentication]"),
-        finding(lines.filter("_marked and not _mine"), "MSSQLSvc_SPNs_SvcAcct",
-                "[INFORMATION: There are other MSSQLSvc SPNs registered for the current service account]", spn),
-        finding(tally.filter("not _any"), "MSSQLSvc_SPNs_SvcAcct",
-                "[WARNING: There is no registered MSSQLSvc SPN for the current service account, preventing the use of "
-                "Kerberos authentication]"),
-        finding(dup.filter("is_scoped"), "Dup_MSSQLSvc_SPNs_Acct_CurrServer",
-                "[WARNING: There are duplicate registered MSSQLSvc SPNs in the domain, for the SPN in the scoped "
-                "server name]", spn, account),
-        finding(servers.join(has_scoped, "server_name", "left_anti"), "Dup_MSSQLSvc_SPNs_Acct_CurrServer", "[OK]"),
-        finding(dup, "Dup_MSSQLSvc_SPNs_Acct",
-                "[WARNING: There are duplicate registered MSSQLSvc SPNs in the domain]", spn, account),
-        finding(servers.join(has_dup, "server_name", "left_anti"), "Dup_MSSQLSvc_SPNs_Acct", "[OK]"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return changes.union_all([
+        spread(lines, [finding(F.col("_mine"), SPN_MINE, "ok", spn),
+                       finding(F.col("_marked") & ~F.col("_mine"), SPN_ANY, "other", spn)]),
+        spread(duplicates, [finding(F.col("is_scoped"), SPN_DUP_MINE, "dup_here", spn, account),
+                            finding(F.lit(True), SPN_DUP_ANY, "dup", spn, account)]),
+        spread(servers, [finding(has("_any") & ~has("_own"), SPN_MINE, "none_here"),
+                         finding(~has("_any"), SPN_ANY, "none"),
+                         finding(~has("_dup_own"), SPN_DUP_MINE, "ok"),
+                         finding(~has("_dup"), SPN_DUP_ANY, "ok")]),
+    ])
 
 
 # -- alerts -------------------------------------------------------------------------------------

@@ -140,9 +140,11 @@ def permission_script(databases: DataFrame, users: DataFrame, server_principals:
             for t in (users, role_members, permissions, objects, schemas))
         databases = databases.filter(F.col("name") == database)
 
-    def part(df: DataFrame, section: int, body: list[Column], prefix: str = "EXEC( 'USE ", end: str = "'); ") -> DataFrame:
-        return df.select(*DB, F.lit(section).alias("section"), F.concat(
-            F.lit(prefix), F.col("database_name"), F.lit("; "), *body, F.lit(end)).alias("extract"))
+    def line(body: list[Column], prefix: str = "EXEC( 'USE ", end: str = "'); ") -> Column:
+        return F.concat(F.lit(prefix), F.col("database_name"), F.lit("; "), *body, F.lit(end))
+
+    def part(df: DataFrame, section: int, extract: Column) -> DataFrame:
+        return df.select(*DB, F.lit(section).alias("section"), extract.alias("extract"))
 
     def lit(s: str) -> Column:
         return F.lit(s)
@@ -150,22 +152,30 @@ def permission_script(databases: DataFrame, users: DataFrame, server_principals:
     name = F.col("name")
     not_dbo = name != "dbo"
     unless_user = [lit("IF NOT EXISTS (SELECT * FROM sys.database_principals WHERE name = N''"), name, lit("'') ")]
-    drops = part(users.filter(F.col("is_login") & F.col("has_db_access") & not_dbo), 1, [
+    drop = line([
         lit("IF NOT EXISTS (SELECT * FROM sys.schemas WHERE name = N''"), name,
         lit("'')IF  EXISTS (SELECT * FROM sys.database_principals WHERE name = N''"), name, lit("'') DROP USER ["),
         name, lit("]")])
+    with_login = line([*unless_user, lit("CREATE USER ["), name, lit("] FOR LOGIN ["), F.col("_login"), lit("]")])
+    without_login = line([*unless_user, lit("CREATE USER ["), name, lit("] WITHOUT LOGIN ")], end="');  ")
     by_sid = server_principals.select("server_name", F.col("sid").alias("owner_sid"), F.col("name").alias("_login"))
+
+    # A user gives up to three lines, found in one pass over the users.
+    def user_line(when: Column, section: int, extract: Column) -> Column:
+        return F.when(when, F.struct(F.lit(section).alias("section"), extract.alias("extract")))
+
+    people = users.withColumnRenamed("sid", "owner_sid").join(by_sid, ["server_name", "owner_sid"], "left")
+    of_users = people.select(*DB, F.explode(F.array_compact(F.array(
+        user_line(F.col("is_login") & F.col("has_db_access") & not_dbo, 1, drop),
+        user_line(not_dbo & F.col("_login").isNotNull(), 3, with_login),
+        user_line(F.col("principal_id").between(5, FIRST_FIXED_SCHEMA - 1), 4, without_login)))).alias("l")).select(
+        *DB, "l.section", "l.extract")
     owned = databases.select("server_name", F.col("name").alias("database_name"), "owner_sid").join(
         by_sid, ["server_name", "owner_sid"], "left")
-    owners = part(owned, 2, [lit(" EXEC dbo.sp_changedbowner @loginame =N''"), F.col("_login"), lit("''")],
-                  prefix="EXEC ('USE ", end="');")
-    with_login = part(
-        users.filter(not_dbo).join(by_sid.withColumnRenamed("owner_sid", "sid"), ["server_name", "sid"]), 3,
-        [*unless_user, lit("CREATE USER ["), name, lit("] FOR LOGIN ["), F.col("_login"), lit("]")])
-    without_login = part(users.filter(F.col("principal_id").between(5, FIRST_FIXED_SCHEMA - 1)), 4,
-                         [*unless_user, lit("CREATE USER ["), name, lit("] WITHOUT LOGIN ")], end="');  ")
-    members = part(role_members.filter("member_name <> 'dbo'"), 5, [
-        lit("EXEC sp_addrolemember ''"), F.col("role_name"), lit("'', ''"), F.col("member_name"), lit("''")])
+    owners = part(owned, 2, line([lit(" EXEC dbo.sp_changedbowner @loginame =N''"), F.col("_login"), lit("''")],
+                                 prefix="EXEC ('USE ", end="');"))
+    members = part(role_members.filter("member_name <> 'dbo'"), 5, line([
+        lit("EXEC sp_addrolemember ''"), F.col("role_name"), lit("'', ''"), F.col("member_name"), lit("''")]))
     named_objects = objects.select(*DB, "object_id", "schema_id", F.col("name").alias("_object")).join(
         schemas.select(*DB, "schema_id", F.col("name").alias("_schema")), [*DB, "schema_id"]).select(
         *DB, F.col("object_id").alias("major_id"), "_object", "_schema")
@@ -173,12 +183,12 @@ def permission_script(databases: DataFrame, users: DataFrame, server_principals:
     if include_database_level:
         grants = grants.filter(F.col("_object").isNotNull() | (F.col("class") == 0))
     with_option = F.col("state_desc") == "GRANT_WITH_GRANT_OPTION"
-    granted = part(grants, 6, [
+    granted = part(grants, 6, line([
         F.when(with_option, "GRANT ").otherwise(F.col("state_desc")), lit(" "), F.col("permission_name"),
         F.when(F.col("class") == 1, F.concat(lit(" ON ["), F.col("_schema"), lit("].["), F.col("_object"), lit("] ")))
         .otherwise(""), lit(" TO ["), F.col("grantee_name"), lit("] "),
-        F.when(with_option, " WITH GRANT OPTION").otherwise("")])
-    return changes.union_all([drops, owners, with_login, without_login, members, granted])
+        F.when(with_option, " WITH GRANT OPTION").otherwise("")]))
+    return changes.union_all([of_users, owners, members, granted])
 
 
 def login_script(principals: DataFrame, logins: DataFrame, sql_logins: DataFrame, login: str | None = None) -> DataFrame:

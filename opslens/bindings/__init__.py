@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opslens.bindings.dialect import DuckSpelling, SparkSpelling
 from opslens.bindings.tables import DRIVER_TABLES, TABLES
+from opslens.sources.schemas import DRIVER_SCHEMAS
 
 _HOLE = re.compile(r"\{(\w+)\}")
 
@@ -25,7 +26,10 @@ class Ops:
             raise AttributeError(name)
         if name not in self._frames:
             if name in DRIVER_TABLES:
-                frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                reader = self.spark.read
+                if name in DRIVER_SCHEMAS:  # declared, so no file is opened to plan a query
+                    reader = reader.schema(DRIVER_SCHEMAS[name])
+                frame = reader.parquet(f"{self.folder}/{name}.parquet")
             elif name in TABLES:
                 sql = TABLES[name](SparkSpelling())
                 frame = self.spark.sql(sql, **{t: getattr(self, t) for t in set(_HOLE.findall(sql))})

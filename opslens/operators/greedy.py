@@ -18,10 +18,16 @@ holds about a set number of rows however uneven the keys are.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Executors get the functions below with the tasks; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MICRO = 1_000_000
 
 

@@ -7,12 +7,17 @@ micro-batch than newer ones.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 
-from opslens.functions import codes
+from opslens.functions.codes import MILESTONE_GAP_SECONDS, MILESTONES
+
+# Executors get the functions below with the tasks; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MILESTONE_ROWS = ("server_name string, job_id long, milestone long, sampled_at timestamp, "
                   "percent_complete double, announced boolean")
@@ -40,7 +45,7 @@ def milestones(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd
     progress, announced_at = state.get if state.exists else (0, None)
     firsts: dict[int, tuple] = {}
     for chunk in chunks:
-        for low, high in codes.MILESTONES:
+        for low, high in MILESTONES:
             inside = chunk[(chunk["percent_complete"] >= low) & (chunk["percent_complete"] < high)]
             if len(inside):
                 row = inside.sort_values(["sampled_at", "sample_id"]).iloc[0]
@@ -52,7 +57,7 @@ def milestones(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd
             continue
         progress = low
         last = None if announced_at is None else _stamp(announced_at)
-        told = last is None or _whole_seconds(last, sampled_at) > codes.MILESTONE_GAP_SECONDS
+        told = last is None or _whole_seconds(last, sampled_at) > MILESTONE_GAP_SECONDS
         if told:
             announced_at = sampled_at
         rows.append((*key, low, sampled_at, percent, told))

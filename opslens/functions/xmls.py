@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _NODE = "struct<_name: string, value: string, text: string>"
-EVENT = f"struct<_name: string, _timestamp: string, data: array<{_NODE}>, action: array<{_NODE}>>"
+EVENT_COLUMNS = f"_name string, _timestamp string, data array<{_NODE}>, action array<{_NODE}>"
+EVENT = f"struct<{EVENT_COLUMNS}>"
 RING_TARGET = f"struct<event: array<{EVENT}>>"
 SCHEDULER_RECORD = (
     "struct<_id: long, SchedulerMonitorEvent: struct<SystemHealth: "

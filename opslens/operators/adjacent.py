@@ -1,9 +1,13 @@
 """Neighbouring rows of a key, in time or line order.
 
 A plain ``lag`` puts all rows of a key into one task. Here a key is cut into
-buckets (a day of time, a run of lines): rows look at their neighbour inside
-the bucket, and the first row of a bucket takes the last row of the nearest
-earlier bucket. Only one row per key and bucket crosses buckets.
+buckets (some minutes of time, a run of lines): rows look at their neighbour
+inside the bucket, and the first row of a bucket takes the last row of the
+nearest earlier bucket. Only one row per key and bucket crosses buckets.
+
+Both steps stay bounded however much one key holds: a bucket by what happens in
+its minutes, the second step by the number of buckets in the time covered
+(with five minutes about a million in ten years).
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from opslens.functions import dates
 _BUCKET = "_bucket"
 
 
-def time_bucket(ts: str, seconds: int = 86400) -> Column:
+def time_bucket(ts: str, seconds: int = 300) -> Column:
     return F.floor(dates.epoch_seconds(F.col(ts)) / seconds)
 
 

@@ -11,7 +11,8 @@ from opslens.operators import adjacent, changes, pivots, ranking
 
 DB = ["server_name", "database_name"]
 DB_TYPE = [*DB, "type"]
-MONTH = 30 * 86400
+# Backups are rarer than events: an hour of one database and type is few rows.
+HOUR = 3600
 
 
 def _without_copy_only(backupset: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def backup_frequency(backupset: DataFrame, as_of: str | datetime, days: int = 30
     starts = (_started_within(_without_copy_only(backupset), as_of, previous_days)
               .groupBy(*DB_TYPE, "backup_start_date").agg(F.count("*").alias("n")))
     pairs = adjacent.with_previous(starts, DB_TYPE, ["backup_start_date"], ["backup_start_date"],
-                                   adjacent.time_bucket("backup_start_date", MONTH))
+                                   adjacent.time_bucket("backup_start_date", HOUR))
     recent = _started_within(pairs, as_of, days)
     minutes = dates.boundary_diff("minute", F.col("prev_backup_start_date"), F.col("backup_start_date"))
     known = F.when(F.col("prev_backup_start_date").isNotNull(), F.col("n"))
@@ -337,7 +338,7 @@ def backup_size_delta(backupset: DataFrame) -> DataFrame:
         *DB, "backup_start_date", "backup_set_id",
         numbers.bytes_to_gb(F.col("compressed_backup_size")).alias("compressed_gb"))
     pairs = adjacent.with_previous(sized, DB, ["backup_start_date", "backup_set_id"], ["compressed_gb"],
-                                   adjacent.time_bucket("backup_start_date", MONTH))
+                                   adjacent.time_bucket("backup_start_date", HOUR))
     return pairs.select(*DB, "backup_start_date", "backup_set_id", "compressed_gb",
                         (F.col("compressed_gb") - F.col("prev_compressed_gb")).alias("size_diff_gb"))
 

@@ -54,8 +54,7 @@ def per_database(df: DataFrame, database: str | None = None) -> DataFrame:
 
 def read_xe(spark: SparkSession, path: str) -> DataFrame:
     """Extended-event files (wildcards allowed): one row per event, parsed once."""
-    rows = spark.read.format("xml").option("rowTag", "event").schema(
-        xmls.EVENT.removeprefix("struct<").removesuffix(">")).load(path)
+    rows = spark.read.format("xml").option("rowTag", "event").schema(xmls.EVENT_COLUMNS).load(path)
     event = F.struct(*[F.col(c) for c in ("_name", "_timestamp", "data", "action")])
     return (rows.withColumn("event", event).withColumn("event_name", F.col("_name"))
             .withColumn("event_time", xmls.event_time(F.col("event"))).select("event", "event_name", "event_time"))
@@ -116,7 +115,7 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
 
     The first column is the time; the others are named ``\\\\server\\object(instance)\\counter``.
     """
-    wide = spark.read.option("header", "true").csv(path)
+    wide = spark.read.option("header", "true").option("escape", '"').csv(path)
     time, *counters = wide.columns
     rows = wide.withColumn("_at", F.col(f"`{time}`")).unpivot(
         ["_at"], [F.col(f"`{c}`") for c in counters], "_counter", "_value")

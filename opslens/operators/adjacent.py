@@ -12,8 +12,6 @@ its minutes, the second step by the number of buckets in the time covered
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslens.functions import dates
@@ -29,32 +27,31 @@ def line_bucket(line: str, lines: int = 10000) -> Column:
     return F.floor(F.col(line) / lines)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
-
+def _seeded(rows: DataFrame, keys: list[str], carried: DataFrame, value: str) -> DataFrame:
+    """Rows with, per bucket, one leading row that brings the value from earlier buckets.
 
-def _join_buckets(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    on = [*keys, _BUCKET]
-    right = summary.select(*[F.col(k).alias(f"_r_{k}") for k in on], "_carried")
-    return rows.join(right, _null_safe(rows, right, on), "left").drop(*[f"_r_{k}" for k in on])
+    A union instead of a join: the data is shuffled once, by key and bucket,
+    and null keys need no special care.
+    """
+    seeds = (carried.filter(F.col("_carried").isNotNull())
+             .select(*keys, _BUCKET, F.col("_carried").alias(value), F.lit(False).alias("_real")))
+    return rows.withColumn("_real", F.lit(True)).unionByName(seeds, allowMissingColumns=True)
 
 
 def _neighbour(df: DataFrame, keys: list[str], order: list[str], carry: list[str],
                bucket: Column, forward: bool, prefix: str) -> DataFrame:
-    rows = df.withColumn(_BUCKET, bucket)
-    sort = [F.col(c).asc() if not forward else F.col(c).desc() for c in order]
-    packed = F.struct(*carry)
+    rows = df.withColumn(_BUCKET, bucket).withColumn("_packed", F.struct(*carry))
     position = F.struct(*order)
-    inside = rows.withColumn("_near", F.lag(packed).over(
-        Window.partitionBy(*keys, _BUCKET).orderBy(*sort)))
-    edge = F.min_by(packed, position) if forward else F.max_by(packed, position)
+    edge = F.min_by("_packed", position) if forward else F.max_by("_packed", position)
     edges = rows.groupBy(*keys, _BUCKET).agg(edge.alias("_edge"))
     by_bucket = F.col(_BUCKET).desc() if forward else F.col(_BUCKET).asc()
     carried = edges.select(*keys, _BUCKET, F.lag("_edge").over(
         Window.partitionBy(*keys).orderBy(by_bucket)).alias("_carried"))
-    joined = _join_buckets(inside, carried, keys)
-    near = F.coalesce("_near", "_carried")
-    return joined.select(*df.columns, *[near[c].alias(f"{prefix}{c}") for c in carry])
+    sort = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy("_real", *sort)
+    near = F.lag("_packed").over(inside)
+    found = _seeded(rows, keys, carried, "_packed").withColumn("_near", near).filter("_real")
+    return found.select(*df.columns, *[F.col("_near")[c].alias(f"{prefix}{c}") for c in carry])
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: list[str],
@@ -73,42 +70,31 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: Column, buc
                   name: str) -> DataFrame:
     """Adds the latest non-null ``value`` at or before each row, per key."""
     rows = df.withColumn(_BUCKET, bucket).withColumn("_value", value)
-    upto = (Window.partitionBy(*keys, _BUCKET).orderBy(order)
+    newest = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order)))
+    edges = rows.groupBy(*keys, _BUCKET).agg(newest.alias("_edge"))
+    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*keys, _BUCKET, F.last("_edge", ignorenulls=True).over(before).alias("_carried"))
+    upto = (Window.partitionBy(*keys, _BUCKET).orderBy("_real", order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = rows.withColumn("_inside", F.last("_value", ignorenulls=True).over(upto))
-    edges = rows.groupBy(*keys, _BUCKET).agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_edge"))
-    before = (Window.partitionBy(*keys).orderBy(_BUCKET)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carried = edges.select(*keys, _BUCKET,
-                           F.last("_edge", ignorenulls=True).over(before).alias("_carried"))
-    joined = _join_buckets(inside, carried, keys)
-    return joined.select(*df.columns, F.coalesce("_inside", "_carried").alias(name))
+    found = _seeded(rows, keys, carried, "_value").withColumn(name, F.last("_value", ignorenulls=True).over(upto))
+    return found.filter("_real").select(*df.columns, name)
 
 
 def as_of_previous(left: DataFrame, right: DataFrame, keys: list[str], ts: str,
                    bucket: Column) -> DataFrame:
     """For each left row the latest right time strictly before it, as ``prev_<ts>``.
 
-    One pass over the union of both sides instead of a correlated subquery:
-    times are grouped first, so rows with equal times share one answer.
+    One pass over the union of both sides instead of a correlated subquery.
+    Among rows of one time the left ones come first, so they see earlier right
+    rows only.
     """
-    points = (
-        right.select(*keys, ts).withColumn("_is_right", F.lit(True))
-        .unionByName(left.select(*keys, ts).withColumn("_is_right", F.lit(False)))
-        .groupBy(*keys, ts).agg(F.max("_is_right").alias("_is_right"))
-    )
-    rows = points.withColumn(_BUCKET, bucket).withColumn(
-        "_value", F.when(F.col("_is_right"), F.col(ts)))
-    before = (Window.partitionBy(*keys, _BUCKET).orderBy(ts)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    inside = rows.withColumn("_inside", F.max("_value").over(before))
+    rows = (left.withColumn("_is_right", F.lit(False))
+            .unionByName(right.select(*keys, ts).withColumn("_is_right", F.lit(True)), allowMissingColumns=True)
+            .withColumn(_BUCKET, bucket).withColumn("_value", F.when(F.col("_is_right"), F.col(ts))))
     edges = rows.groupBy(*keys, _BUCKET).agg(F.max("_value").alias("_edge"))
-    earlier = (Window.partitionBy(*keys).orderBy(_BUCKET)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = edges.select(*keys, _BUCKET, F.max("_edge").over(earlier).alias("_carried"))
-    answers = _join_buckets(inside, carried, keys).select(
-        *[F.col(k).alias(f"_r_{k}") for k in [*keys, ts]],
-        F.coalesce("_inside", "_carried").alias(f"prev_{ts}"))
-    return (left.join(answers, _null_safe(left, answers, [*keys, ts]), "left")
-            .drop(*[f"_r_{k}" for k in [*keys, ts]]))
+    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*keys, _BUCKET, F.max("_edge").over(before).alias("_carried"))
+    upto = (Window.partitionBy(*keys, _BUCKET).orderBy("_real", ts, "_is_right")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = _seeded(rows, keys, carried, "_value").withColumn(f"prev_{ts}", F.max("_value").over(upto))
+    return found.filter("_real and not _is_right").select(*left.columns, f"prev_{ts}")

@@ -95,7 +95,7 @@ def backupmediafamily(q):
         WHEN f = 'N' THEN {BS} || {BS} || 'share' || {BS} || {text('a')} || '.bak'
         WHEN t = 'F' THEN {LB} || {text('a')} || {RB} || '1'
         ELSE 'VNBU0-' || {text('a')} END AS physical_device_name
-    FROM (SELECT l_orderkey, min(l_partkey) AS a, min(l_returnflag) AS f, min(l_linestatus) AS t
+    FROM (SELECT l_orderkey, min(l_partkey) AS a, chr(min(ascii(l_returnflag))) AS f, chr(min(ascii(l_linestatus))) AS t
           FROM {{lineitem}} GROUP BY l_orderkey) m
     JOIN {{orders}} o ON o.o_orderkey = m.l_orderkey"""
 

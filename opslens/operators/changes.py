@@ -23,7 +23,8 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def delete_matching(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(other, keys, "left_anti")
+    """Rows without a match; the other side is reduced to its keys before it is shuffled."""
+    return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
 def archive_split(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:

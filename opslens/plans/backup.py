@@ -155,7 +155,7 @@ def stale_backups(backupset: DataFrame, databases: DataFrame, as_of: str | datet
              .withColumn("backup_age_hours", dates.boundary_diff("hour", last, dates.instant(as_of))))
     never = (databases.filter("name <> 'tempdb' and state_desc <> 'OFFLINE'")
              .select("server_name", F.col("name").alias("database_name"))
-             .join(backupset.select(*DB), DB, "left_anti")
+             .join(backupset.select(*DB).distinct(), DB, "left_anti")
              .select(*DB, F.lit(None).cast("timestamp_ntz").alias("last_db_backup_date"),
                      F.lit(9999).cast("long").alias("backup_age_hours")))
     return stale.unionByName(never).distinct()

@@ -308,7 +308,7 @@ def retention_candidates(inventory: DataFrame, as_of: str | datetime, extension:
 
 def empty_directories(directories: DataFrame, inventory: DataFrame) -> DataFrame:
     """Directories that hold no file."""
-    used = inventory.select("server_name", text.directory_of(F.col("path")).alias("directory"))
+    used = inventory.select("server_name", text.directory_of(F.col("path")).alias("directory")).distinct()
     return directories.select("server_name", "directory").join(used, ["server_name", "directory"], "left_anti")
 
 

@@ -54,7 +54,7 @@ def _blocking_walk(processes: DataFrame) -> DataFrame:
     """Blocked sessions and the heads that block someone, with path, depth and head."""
     waits = (F.col("blocked") > 0) & (F.col("blocked") != F.col("spid"))
     blocked = processes.filter(waits).select("server_name", "spid", F.col("blocked").alias("_up"))
-    blockers = blocked.select("server_name", F.col("_up").alias("spid"))
+    blockers = blocked.select("server_name", F.col("_up").alias("spid")).distinct()
     is_free = (F.col("blocked") == 0) | (F.col("blocked") == F.col("spid"))
     heads = (processes.filter(is_free).join(blockers, ["server_name", "spid"], "left_semi")
              .select("server_name", "spid", F.lit(None).cast("long").alias("_up")))

@@ -71,7 +71,8 @@ def rate_limit(delay_seconds: int):
 
     def run(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = _stamp(state.get[0]) if state.exists else None
-        rows = pd.concat(list(chunks)).sort_values(["event_time", "event_id"], ignore_index=True)
+        waiting = [c if last is None else c[c["event_time"] >= last + gap] for c in chunks]
+        rows = pd.concat(waiting).sort_values(["event_time", "event_id"], ignore_index=True)
         times = rows["event_time"]
         chosen = []
         i = 0 if last is None else int(times.searchsorted(last + gap, side="left"))

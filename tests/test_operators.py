@@ -120,6 +120,21 @@ def test_covering_join_includes_both_ends(spark):
     assert [str(r[0]) for r in rows(got, "at")] == times[:3]
 
 
+def test_covering_join_equals_all_pairs(spark):
+    rng = random.Random(9)
+    spans = []
+    for i in range(60):
+        a = START + timedelta(seconds=rng.randrange(0, 20000), microseconds=rng.randrange(10 ** 6))
+        spans.append(("hot" if i % 3 else "b", i, a, a + timedelta(seconds=rng.choice([0, 0.4, 1, 7, 300, 9000, 200000]))))
+    points = [(rng.choice(["hot", "b"]), START + timedelta(seconds=rng.randrange(0, 30000), microseconds=rng.randrange(10 ** 6)))
+              for _ in range(200)] + [(k, a) for k, _, a, _ in spans] + [(k, b) for k, _, _, b in spans]
+    points = sorted(set(points))
+    got = joins.covering_join(frame(spark, spans, "s string, id long, a timestamp_ntz, b timestamp_ntz"),
+                              frame(spark, points, "s string, at timestamp_ntz"), "a", "b", "at", ["s"])
+    want = [(i, t) for k, i, a, b in spans for key, t in points if key == k and a <= t <= b]
+    assert rows(got, "id", "at") == sorted(want, key=repr)
+
+
 def test_include_exclude(spark):
     df = frame(spark, [("a",), ("b",), ("c",)], "n string")
     assert rows(joins.include_exclude(df, "n", ["a", "b"], ["b"])) == [("a",)]

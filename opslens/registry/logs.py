@@ -184,6 +184,7 @@ QUERIES = {
     "trace_missing_statistics": trace_query([79]),
     "trace_missing_join_predicates": trace_query([80]),
     "trace_sort_warnings": trace_query([69]),
+    "trace_warnings": trace_query([55, 69, 79, 80]),
     "trace_errorlog": trace_query([22]),
     "trace_autostats": Query(
         lambda t: logs.trace_report(t.trace, [58], columns=["text_data", "object_id", "object_name", "index_id",

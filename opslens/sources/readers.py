@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opslens.functions import xmls
-from opslens.operators import changes
+from opslens.operators import adjacent, changes
 from opslens.sources.schemas import SCHEMAS, schema_of
 
 
@@ -103,6 +103,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["lines"]).parquet(path)
 
 
+# Lines of a printed directory listing.
+DIRECTORY_LINE = r"^\s*Directory of\s+(.*?)\s*$"
+FILE_LINE = r"^(\d\d/\d\d/\d{4}\s+\d\d:\d\d [AP]M)\s+(\d+) (.+)$"
+
+
+def directory_listing(lines: DataFrame) -> DataFrame:
+    """Files of printed directory listings ``(file, line_no, line)``.
+
+    The path is put together from the latest directory line and the name at the
+    end of a file line; all other lines (headers, totals) fall away.
+    """
+    directory = F.nullif(F.regexp_extract("line", DIRECTORY_LINE, 1), F.lit(""))
+    rows = adjacent.carry_forward(lines, ["file"], "line_no", directory, adjacent.line_bucket("line_no"), "directory")
+
+    def part(group: int) -> Column:
+        return F.regexp_extract("line", FILE_LINE, group)
+
+    return rows.filter(F.col("line").rlike(FILE_LINE)).select(
+        "file", F.concat(F.col("directory"), F.lit("\\"), part(3)).alias("path"), part(2).cast("long").alias("length"),
+        F.to_timestamp(F.regexp_replace(part(1), r"\s+", " "), "MM/dd/yyyy hh:mm a").cast("timestamp_ntz").alias("modified"))
+
+
 def read_file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below a folder with size and time; their content is never read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -82,6 +82,15 @@ def test_file_inventory_and_lines(spark, tmp_path):
         ("One", "Directory", "Two"), ("One\\Two", "Registration", "srv2")]
 
 
+def test_directory_listing(spark):
+    text = [" Volume in drive D is X", "", " Directory of D:\\a", "10/08/2013  02:37 PM            228253 b c.mdf",
+            "               1 File(s)         228253 bytes", " Directory of D:\\z", "01/01/2024  12:00 AM 5 q.ldf"]
+    lines = frame(spark, [("f", i, t) for i, t in enumerate(text)], "file string, line_no long, line string")
+    got = readers.directory_listing(lines)
+    assert rows(got, "path", "length", "modified") == [
+        ("D:\\a\\b c.mdf", 228253, at("2013-10-08 14:37:00")), ("D:\\z\\q.ldf", 5, at("2024-01-01 00:00:00"))]
+
+
 def test_trace_folder_in_one_scan(spark, tmp_path):
     from opslens.sources.schemas import schema_of
     for event in (1, 2):

@@ -192,7 +192,7 @@ def master_files(q):
 
 
 def volumes(q):
-    total = "((200 + 50 * s_suppkey) * 1073741824)"
+    total = "((200 + 50 * (s_suppkey % 1000)) * 1073741824)"
     return f"""SELECT {srv('s_suppkey')} AS server_name, s_suppkey AS volume_id,
       'V' || {text('s_suppkey')} || ':' || {BS} AS mount_point, s_name AS logical_volume_name,
       {total} AS total_bytes, {q.idiv(total + ' * ((s_suppkey * 13) % 100)', 100)} AS available_bytes
@@ -364,7 +364,7 @@ def hosts(q):
     major = pick('s_suppkey', [9, 10, 11, 13, 15, 16])
     return f"""SELECT 'srv_' || {text('s_suppkey')} AS server_name, 'HOST' || {text('s_suppkey')} AS machine_name,
       512 + 64 * (s_suppkey % 8) AS max_workers_count,
-      (1048576 * (1 + (s_suppkey * 37) % 300) + s_suppkey * 1024) AS total_physical_memory_kb,
+      (1048576 * (1 + (s_suppkey * 37) % 300) + (s_suppkey % 1000) * 1024) AS total_physical_memory_kb,
       {pick('s_suppkey', [1804890536, -2117995310, -1534726760, 284895786])} AS edition_id,
       {pick('s_suppkey', [2, 3, 4])} AS engine_edition, {major} AS major_version,
       'Product ' || {text(f'({major})')} || '.0.' || {text('1000 + s_suppkey')} || CASE s_suppkey % 3
@@ -374,7 +374,7 @@ def hosts(q):
       CASE s_suppkey % 5 WHEN 0 THEN 2147483647 ELSE 2048 * (1 + (s_suppkey * 31) % 90) END AS running_memory_mb,
       CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 4096 * (1 + (s_suppkey * 31) % 90) ELSE 1024 END AS min_server_memory_mb,
       {pick('s_suppkey', ['VMware', 'Dell', 'Microsoft'])} AS system_manufacturer,
-      s_suppkey % 6 = 0 AS is_clustered, 1800 + 7 * s_suppkey AS cpu_mhz,
+      s_suppkey % 6 = 0 AS is_clustered, 1800 + 7 * (s_suppkey % 400) AS cpu_mhz,
       {pick('s_suppkey', ['a1841308-3541-4fab-bc81-f71556f20b4a', '381b4222-f694-41f0-9685-ff5bb260df2e',
                           '8c5e7fda-e8bf-4a96-9a85-a6e23a8c635c', 'e9a42b02-d5df-448d-aa00-03f14749eb61', 'custom'])} AS power_scheme
     FROM {{supplier}}"""

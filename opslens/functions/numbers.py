@@ -30,7 +30,8 @@ def exact_div(a: Column, b: Column | int, scale: int) -> Column:
     return F.round(quotient, scale).cast(f"decimal(30,{scale})")
 
 
-def bytes_to_gb(c: Column, precision: int = 10, scale: int = 4) -> Column:
+def bytes_to_gb(c: Column, precision: int = 20, scale: int = 4) -> Column:
+    """Bytes to GB; wide enough that no fleet total overflows."""
     return decimal(c / GB, precision, scale)
 
 

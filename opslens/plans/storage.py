@@ -52,9 +52,9 @@ def _with_volume(files: DataFrame, volumes: DataFrame, target: float) -> DataFra
     sized = volumes.select(
         "server_name", "volume_id", "logical_volume_name", F.col("mount_point").alias("drive"),
         numbers.whole_gb(total).alias("drive_size_gb"), numbers.whole_gb(free).alias("drive_free_gb"),
-        numbers.decimal(F.try_divide(free.cast("double"), total.cast("double")) * 100, 10, 2).alias("disk_free_percent"))
+        numbers.decimal(F.try_divide(free.cast("double"), total.cast("double")) * 100, 20, 2).alias("disk_free_percent"))
     add = numbers.decimal(
-        numbers.target_free_add(F.col("drive_size_gb"), F.col("drive_free_gb"), target), 10, 2)
+        numbers.target_free_add(F.col("drive_size_gb"), F.col("drive_free_gb"), target), 20, 2)
     sized = sized.withColumn("target_add_gb", add).withColumn(
         "drive_target_gb", F.col("drive_free_gb") + F.col("target_add_gb"))
     return files.join(sized, ["server_name", "volume_id"])
@@ -173,7 +173,7 @@ def file_report(files: DataFrame, volumes: DataFrame, databases: DataFrame,
         F.concat(numbers.int_div(F.col("max_size") * 8, 1024).cast("string"), F.lit(" MB")))
     return rows.select(
         "server_name", "database_name", F.col("name").alias("file_name"), "physical_name",
-        numbers.decimal(numbers.int_div(size * 8, 1024), 10, 2).alias("size_mb"), "type_desc",
+        numbers.decimal(numbers.int_div(size * 8, 1024), 20, 2).alias("size_mb"), "type_desc",
         "logical_volume_name", "drive", "drive_size_gb", "drive_free_gb", "disk_free_percent",
         "target_add_gb", "drive_target_gb", *stats("rows", 0), *stats("log", 1), "log_reuse_wait_desc",
         F.when(F.col("is_percent_growth"), "Yes").otherwise("No").alias("is_percent_growth"),

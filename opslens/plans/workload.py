@@ -259,6 +259,10 @@ MEASURES = {"cpu": "total_worker_time", "reads": "total_logical_reads", "writes"
             "elapsed": "total_elapsed_time"}
 
 
+# Shown where they were captured.
+LAST_RUN_COLUMNS = ["last_logical_reads", "last_logical_writes", "last_worker_time", "last_elapsed_time", "query_plan"]
+
+
 def expensive_queries(stats: DataFrame, texts: DataFrame, by: str = "cpu", n: int = 50) -> DataFrame:
     """Top statements by a measure.
 
@@ -271,7 +275,8 @@ def expensive_queries(stats: DataFrame, texts: DataFrame, by: str = "cpu", n: in
     return top.join(texts, TEXT).select(
         "server_name", "plan_handle", statement.alias("statement_text"), "execution_count",
         "total_logical_reads", "total_logical_writes", "total_worker_time",
-        numbers.int_div(F.col("total_elapsed_time"), 1000000).alias("total_elapsed_seconds"), "last_execution_time")
+        numbers.int_div(F.col("total_elapsed_time"), 1000000).alias("total_elapsed_seconds"), "last_execution_time",
+        *[c for c in LAST_RUN_COLUMNS if c in stats.columns])
 
 
 def redundant_queries(stats: DataFrame, texts: DataFrame, by: str = "plans", n: int = 10,

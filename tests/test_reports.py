@@ -1,7 +1,6 @@
 """Reports on literal rows: boundaries, ties, nulls, empty input, equal names on two servers."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import at, frame, rows
 from opslens.plans import availability, backup, inventory, jobs, lists, logs, ordering, security, storage, workload

@@ -66,6 +66,23 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], carry: list[str]
     return _neighbour(df, keys, order, carry, bucket, forward=True, prefix="next_")
 
 
+def with_earlier_time(df: DataFrame, keys: list[str], ts: str, bucket: Column) -> DataFrame:
+    """Adds ``prev_<ts>``, the latest time of the key strictly before each row's.
+
+    Rows of one time get the same answer, so no order among them is needed, and
+    the times carried between buckets are plain maxima.
+    """
+    rows = df.withColumn(_BUCKET, bucket)
+    edges = rows.groupBy(*keys, _BUCKET).agg(F.max(ts).alias("_edge"))
+    carried = edges.select(*keys, _BUCKET, F.lag("_edge").over(
+        Window.partitionBy(*keys).orderBy(_BUCKET)).alias("_carried"))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    earlier = (Window.partitionBy(*keys, _BUCKET).orderBy(micros)
+               .rangeBetween(Window.unboundedPreceding, -1))
+    found = _seeded(rows, keys, carried, ts).withColumn(f"prev_{ts}", F.max(ts).over(earlier))
+    return found.filter("_real").select(*df.columns, f"prev_{ts}")
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: Column, bucket: Column,
                   name: str) -> DataFrame:
     """Adds the latest non-null ``value`` at or before each row, per key."""

@@ -42,18 +42,15 @@ def backup_frequency(backupset: DataFrame, as_of: str | datetime, days: int = 30
                      previous_days: int = 40) -> DataFrame:
     """Average hours between a backup and the one before it, per database and type.
 
-    Equal start times are counted once before the shuffle; the earlier backup
-    is looked up through time buckets, so no database fills a task.
+    The earlier backup is looked up through time buckets, so no database fills
+    a task.
     """
-    starts = (_started_within(_without_copy_only(backupset), as_of, previous_days)
-              .groupBy(*DB_TYPE, "backup_start_date").agg(F.count("*").alias("n")))
-    pairs = adjacent.with_previous(starts, DB_TYPE, ["backup_start_date"], ["backup_start_date"],
-                                   adjacent.time_bucket("backup_start_date", HOUR))
-    recent = _started_within(pairs, as_of, days)
+    starts = _started_within(_without_copy_only(backupset), as_of, previous_days).select(
+        *DB_TYPE, "backup_start_date")
+    pairs = adjacent.with_earlier_time(starts, DB_TYPE, "backup_start_date",
+                                       adjacent.time_bucket("backup_start_date", HOUR))
     minutes = dates.boundary_diff("minute", F.col("prev_backup_start_date"), F.col("backup_start_date"))
-    known = F.when(F.col("prev_backup_start_date").isNotNull(), F.col("n"))
-    return recent.groupBy(*DB_TYPE).agg(
-        F.try_divide(F.sum(minutes * known) / 60.0, F.sum(known)).alias("avg_hours"))
+    return _started_within(pairs, as_of, days).groupBy(*DB_TYPE).agg(F.avg(minutes / 60.0).alias("avg_hours"))
 
 
 def device_class(name: Column, device: Column, device_type: Column) -> Column:

@@ -36,6 +36,15 @@ def test_neighbours_equal_brute_force(spark, forward, width):
     assert rows(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("width", [3600, 10 * 86400])
+def test_earlier_time_is_strictly_earlier(spark, width):
+    data = uneven(6)
+    got = adjacent.with_earlier_time(frame(spark, data, "k string, t timestamp_ntz, id long, v long"), ["k"], "t",
+                                     adjacent.time_bucket("t", width))
+    want = [(*r, max((o[1] for o in data if o[0] == r[0] and o[1] < r[1]), default=None)) for r in data]
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_carry_forward_equals_brute_force(spark):
     rng = random.Random(2)
     data = [(rng.choice("fg"), i, rng.choice(["x", "y", None, None, None])) for i in range(200)]
@@ -170,3 +179,46 @@ def test_archive_twice_is_archive_once(spark, tmp_path):
         changes.archive(df, F.col("y") == 2016, f"{tmp_path}/archive", f"{tmp_path}/kept", "b1")
     assert rows(spark.read.parquet(f"{tmp_path}/archive"), "id") == [(1,)]
     assert rows(spark.read.parquet(f"{tmp_path}/kept"), "id") == [(2,), (3,)]
+
+
+def most_in_one_task(spark, df):
+    """Largest share of the result one task holds, without merging of small partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return max(counts) / sum(counts)
+
+
+def test_one_hot_key_is_spread_over_tasks(spark):
+    """Nearly all rows share one key; no task may get most of them."""
+    rows_ = spark.range(40000).select(
+        F.when(F.col("id") % 50 == 0, "cold").otherwise("hot").alias("k"),
+        F.timestamp_add("SECOND", F.col("id") * 9, F.lit("2024-01-01").cast("timestamp_ntz")).alias("t"), "id",
+        F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    bucket = adjacent.time_bucket("t")
+    spread = [
+        adjacent.with_previous(rows_, ["k"], ["t", "id"], ["id"], bucket),
+        adjacent.with_next(rows_, ["k"], ["t", "id"], ["id"], bucket),
+        adjacent.with_earlier_time(rows_, ["k"], "t", bucket),
+        adjacent.carry_forward(rows_, ["k"], "id", F.col("v"), adjacent.line_bucket("id", 500), "c"),
+        adjacent.as_of_previous(rows_, rows_, ["k"], "t", bucket),
+    ]
+    for df in spread:
+        assert most_in_one_task(spark, df) < 0.35
+
+
+def test_greatest_per_key_is_limited_before_the_shuffle(spark):
+    from helpers import plan_of
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    for ties in (False, True):
+        plan = plan_of(ranking.top_per_group(df, ["k"], [F.desc("id")], 5, ties))
+        assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_equal_rows_are_reduced_before_an_anti_join(spark):
+    from helpers import plan_of
+    left, right = spark.range(10).select("id"), spark.range(1000).select((F.col("id") % 2).alias("id"))
+    plan = plan_of(changes.delete_matching(left, right, ["id"]))
+    assert "HashAggregate" in plan

@@ -34,3 +34,9 @@ def spaced_words(text: Column) -> Column:
     """Words between white space as an array; a null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
     return F.array_remove(F.split(spaced, " "), "")
+
+
+def bounded_batches(spark, rows: int = 2000, size: str = "32m") -> None:
+    """Bounds the Arrow batches of Python tasks by rows and bytes, so that long texts cannot pile up in one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.llm import chat, quality
+from opslens.llm import chat, licenses, mixing, packing, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents")).select(*mixing.RESULT)
+
+
+def op3_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents")).select(*packing.RESULT)
+
+
 def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents")).select(*quality.RESULT)
 
@@ -21,10 +29,15 @@ def op5_chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(_table(spark, folder, "conversations"))
 
 
+def op7_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents")).select(*licenses.RESULT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_line_quality, op5_chat_snapshots]
+    found = [op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op7_license_diagonals]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_quality": quality.SQL, "op5_chat_snapshots": chat.SQL}
+    return {"op4_line_quality": quality.SQL, "op5_chat_snapshots": chat.SQL,
+            "op7_license_diagonals": licenses.sql()}

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.llm import chat, licenses, mixing, packing, quality
+from opslens.llm import chat, licenses, mixing, packing, pii, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(_table(spark, folder, "documents"))
+
+
 def op2_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select(*mixing.RESULT)
 
@@ -34,7 +38,7 @@ def op7_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op7_license_diagonals]
+    found = [op1_boosted_pii, op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op7_license_diagonals]
     return {f.__name__: f for f in found}
 
 

@@ -63,12 +63,10 @@ class WordTokens:
         return np.asarray(ids, dtype=self.kind).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + 2 * len(words) > CACHED:
-            self.known.clear()
         parts = {word: SIMPLE.fullmatch(word) for word in words}
-        stems = {m[1].lower() for m in parts.values() if m} - self.known.keys()
-        marks = {m[2] for m in parts.values() if m and m[2]} - self.known.keys()
-        stems = list(stems)
+        known = self.known
+        stems = [s for s in {m[1].lower() for m in parts.values() if m} if s not in known]
+        marks = [s for s in {m[2] for m in parts.values() if m and m[2]} if s not in known]
         for start in range(0, len(stems), 500):  # many stems in one text; each ends with an end-of-word token
             some = stems[start:start + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
@@ -77,8 +75,7 @@ class WordTokens:
                 self.known.update(zip(some, map(self._bytes, np.split(ids, cuts)[:-1]), strict=True))
             else:
                 self._whole(some)
-        self._whole(list(marks) + [word for word, m in parts.items() if not m])
-        known = self.known
+        self._whole(marks + [word for word, m in parts.items() if not m])
         known.update((word, known[m[1].lower()] + (known[m[2]] if m[2] else b"")) for word, m in parts.items() if m)
 
     def _whole(self, words: list[str]) -> None:
@@ -90,17 +87,14 @@ class WordTokens:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         found = []
         for words in split:  # per text, so that what is kept stays bounded for any batch
-            new = set(words) - self.known.keys()
+            known = self.known
+            new = {word for word in words if word not in known}
             if new:
+                if len(known) + 2 * len(new) > CACHED:
+                    known.clear()
+                    new = set(words)
                 self._learn(new)
-                if not all(word in self.known for word in new):
-                    raise AssertionError("a word without ids")
-            known = self.known
-            try:
-                found.append(b"".join([known[word] for word in words]))
-            except KeyError:  # the kept words were cleared for this text: learn all of its own
-                self._learn(set(words))
-                found.append(b"".join([self.known[word] for word in words]))
+            found.append(b"".join([known[word] for word in words]))
         return found
 
 

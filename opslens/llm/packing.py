@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from opslens.llm.common import bounded_batches, written
 CLOSING = 1
 LENGTH = 2048
 DIMENSIONS, BITS = 3, 10
-CACHED = 600_000
+CACHED = 1_000_000
+PLAIN = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 #: A word of letters with marks behind it: the tokenizer treats the two parts apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&]*)")
 _tokenizers: dict[str, "WordTokens"] = {}
@@ -45,49 +47,51 @@ class WordTokens:
     """Token ids of texts, with those of words kept.
 
     White space ends a token of this tokenizer and is dropped, so the ids of a text are
-    those of its words, one after the other.
+    those of its words, one after the other. A word of plain letters is handed to the
+    tokenizer's model as it stands, lower-cased and in the byte alphabet; every other
+    word takes the whole way.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(size, dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        self.size = self.tokenizer.get_vocab_size()
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {ord(c): letters.pre_tokenize_str(c)[0][0] for c in PLAIN}
         self.known: dict[str, bytes] = {}
 
     def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        parts = {word: SIMPLE.fullmatch(word) for word in words}
-        known = self.known
-        stems = [s for s in {m[1].lower() for m in parts.values() if m} if s not in known]
-        marks = [s for s in {m[2] for m in parts.values() if m and m[2]} if s not in known]
-        for start in range(0, len(stems), 500):  # many stems in one text; each ends with an end-of-word token
-            some = stems[start:start + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self.known.update(zip(some, map(self._bytes, np.split(ids, cuts)[:-1]), strict=True))
-            else:
-                self._whole(some)
-        self._whole(marks + [word for word, m in parts.items() if not m])
-        known.update((word, known[m[1].lower()] + (known[m[2]] if m[2] else b"")) for word, m in parts.items() if m)
-
-    def _whole(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = self._bytes(found.ids)
+        known, model, marks, whole = self.known, self.tokenizer.model, [], []
+        simple = []
+        for word in words:
+            m = SIMPLE.fullmatch(word)
+            if not m:
+                whole.append(word)
+                continue
+            stem, mark = m[1].lower(), m[2]
+            if stem not in known:
+                spelled = stem if stem.isascii() else stem.translate(self.alphabet)
+                known[stem] = self._bytes([t.id for t in model.tokenize(spelled)])
+            if mark and mark not in known:
+                marks.append(mark)
+            simple.append((word, stem, mark))
+        rest = list(dict.fromkeys(marks)) + whole
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[word] = self._bytes(found.ids)
+        for word, stem, mark in simple:
+            known[word] = known[stem] + known[mark] if mark else known[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian bytes of ``kind``."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        found = []
-        for words in split:  # per text, so that what is kept stays bounded for any batch
-            known = self.known
+        """Ids of each text, as bytes of ``kind``."""
+        found, known = [], self.known
+        for text in texts:  # one by one, so that what is kept stays bounded for any batch
+            words = text.replace("\n", " ").split(" ")
             new = {word for word in words if word not in known}
             if new:
                 if len(known) + 2 * len(new) > CACHED:
@@ -160,7 +164,7 @@ def tokenized(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens(path)
         closing = np.array([CLOSING], dtype=own.kind).tobytes()
-        curve = Curve(len(own.ends))
+        curve = Curve(own.size)
         for batch in batches:
             if not batch.num_rows:
                 continue

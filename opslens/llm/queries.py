@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.llm import chat, language, licenses, mixing, packing, pii, quality
+from opslens.llm import chat, language, licenses, mixing, ngram_join, packing, pii, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,16 +37,20 @@ def op7_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents")).select(*licenses.RESULT)
 
 
+def op8_count_vector_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.grouped(_table(spark, folder, "documents"))
+
+
 def op9_word_backoff_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_boosted_pii, op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op7_license_diagonals,
+    found = [op1_boosted_pii, op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op7_license_diagonals, op8_count_vector_join,
              op9_word_backoff_language]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_line_quality": quality.SQL, "op5_chat_snapshots": chat.SQL,
-            "op7_license_diagonals": licenses.sql()}
+            "op7_license_diagonals": licenses.sql(), "op8_count_vector_join": ngram_join.SQL}

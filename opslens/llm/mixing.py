@@ -121,6 +121,7 @@ def rounded(open_documents: DataFrame, seed: int = 17, block: int = 128) -> tupl
     while True:
         place = F.row_number().over(Window.partitionBy("rank", "block").orderBy("order", "item"))
         met = F.struct((-F.col("item.size")).alias("large"), "order", "item")
+        level = level.repartition("rank", "block")  # a join before may have dealt a hot source to one task
         grouped = (level.withColumn("sub", F.floor((place - 1) / (4 * block)))
                    .groupBy("rank", "block", "sub").agg(F.sort_array(F.collect_list(met)).alias("items")))
         folded = grouped.select("rank", "block", "sub", F.explode(F.array(

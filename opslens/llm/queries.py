@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.llm import chat, language, licenses, mixing, ngram_join, packing, pii, quality
+from opslens.llm import chat, language, licenses, lines, mixing, ngram_join, packing, pii, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(_table(spark, folder, "conversations"))
 
 
+def op6_similar_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.removed_lines(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
+
+
 def op7_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents")).select(*licenses.RESULT)
 
@@ -46,7 +51,7 @@ def op9_word_backoff_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_boosted_pii, op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op7_license_diagonals, op8_count_vector_join,
+    found = [op1_boosted_pii, op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op6_similar_lines, op7_license_diagonals, op8_count_vector_join,
              op9_word_backoff_language]
     return {f.__name__: f for f in found}
 

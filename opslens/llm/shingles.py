@@ -33,24 +33,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word between white space; the hash of a word depends on its bytes alone."""
+def placed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word between white space, and the byte where it starts; the hash depends on the word alone."""
     raw = np.frombuffer(text, dtype=np.uint8)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     if not len(raw):
-        return np.zeros(0, dtype=np.uint64)
+        return none
     inside = np.concatenate(([False], ~_IS_SPACE[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return none
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[raw] * _power("up", len(raw)), dtype=np.uint64)))
     own = (sums[ends] - sums[starts]) * _power("down", len(raw))[starts]
-    return mixed(own + (ends - starts).astype(np.uint64) * _PLACE[WORDS])
+    return mixed(own + (ends - starts).astype(np.uint64) * _PLACE[WORDS]), starts
+
+
+def folded(text: str | None) -> bytes:
+    """The text's bytes with A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles; a shorter text is one shingle, an empty one has none."""
-    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    words, _ = placed_words(folded(text))
     n = len(words)
     if not n:
         return words

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslens.llm import chat, language, licenses, lines, mixing, ngram_join, packing, pii, quality
+from opslens.llm import chat, language, licenses, lines, mixing, neighbours, ngram_join, packing, pii, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,12 +50,17 @@ def op9_word_backoff_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(_table(spark, folder, "documents"))
 
 
+def op10_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.grouped(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_boosted_pii, op2_pivotal_mix, op3_hilbert_packing, op4_line_quality, op5_chat_snapshots, op6_similar_lines, op7_license_diagonals, op8_count_vector_join,
-             op9_word_backoff_language]
+             op9_word_backoff_language, op10_nn_descent]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_line_quality": quality.SQL, "op5_chat_snapshots": chat.SQL,
-            "op7_license_diagonals": licenses.sql(), "op8_count_vector_join": ngram_join.SQL}
+            "op7_license_diagonals": licenses.sql(), "op8_count_vector_join": ngram_join.SQL,
+            "op10_nn_descent": neighbours.SQL}

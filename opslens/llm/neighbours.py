@@ -50,7 +50,7 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy())
 
 
-def _near(node: np.ndarray, x: np.ndarray, k: np.ndarray, fresh: np.ndarray | None = None) -> pd.DataFrame:
+def _near(node: np.ndarray, x: np.ndarray, k: np.ndarray) -> pd.DataFrame:
     """The nearest of a block for each member: as many as its list holds, and all above the threshold."""
     similar = x @ x.T
     np.fill_diagonal(similar, -2.0)
@@ -96,15 +96,16 @@ def _started(table: DataFrame, k: int, tables: int, leaf: int, seed: int) -> Dat
                 for t in range(tables):
                     on = x @ _bits(int(length), 40, seed + t).T > 0
                     code = (on & (np.arange(40)[None, :] < b[:, None])) @ (1 << np.arange(40, dtype=np.int64))
-                    out.append(pd.DataFrame({"node": same["node"], "label": same["label"], "unit": same["unit"], "side": t, "cell": code}))
+                    out.append(pd.DataFrame({"node": same["node"], "label": same["label"], "side": t, "cell": code}))
             if out:
                 yield pd.concat(out)
 
-    schema = "node long, label {}, unit array<double>, side int, cell long".format(table.schema["label"].dataType.simpleString())
-    celled = sized.select("node", "label", "unit", "bits").mapInPandas(cells, schema)
-    in_cell = F.count(F.lit(1)).over(Window.partitionBy("label", "side", "cell"))
-    dealt = celled.withColumn("deal", F.pmod(F.xxhash64(F.lit(seed), "side", "node"), F.ceil(in_cell / (2 * leaf))))
-    return dealt.withColumn("k", F.lit(k)).groupBy("label", "side", "cell", "deal").applyInPandas(lambda f: _leaf(f), PAIR)
+    schema = "node long, label {}, side int, cell long".format(table.schema["label"].dataType.simpleString())
+    celled = written(sized.select("node", "label", "unit", "bits").mapInPandas(cells, schema), "nn-cells")
+    crowd = celled.groupBy("label", "side", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("deals"))
+    dealt = celled.join(crowd, ["label", "side", "cell"]).withColumn("deal", F.pmod(F.xxhash64(F.lit(seed), "side", "node"), F.col("deals")))
+    dealt = dealt.join(table.select("node", "unit"), "node").withColumn("k", F.lit(k))
+    return dealt.groupBy("label", "side", "cell", "deal").applyInPandas(lambda f: _leaf(f), PAIR)
 
 
 def _best(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -137,8 +138,9 @@ def edges(vectors: DataFrame, threshold: float = THRESHOLD, k: int = 10, rounds:
         lists = written(grown.select("node", F.when(saturated, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k")), "nn-lists")
         around = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(graph.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
         around = around.unionByName(classes.select(F.col("node").alias("at"), "node"))
-        crowd = F.count(F.lit(1)).over(Window.partitionBy("at"))
-        dealt = around.withColumn("deal", F.pmod(F.xxhash64(F.lit(seed + i), "at", "node"), F.ceil(crowd / block)))
+        around = written(around, "nn-around")
+        crowd = around.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / block).alias("deals"))
+        dealt = around.join(crowd, "at").withColumn("deal", F.pmod(F.xxhash64(F.lit(seed + i), "at", "node"), F.col("deals")))
         met = dealt.join(unit, "node").join(lists, "node")
         proposed = met.groupBy("at", "deal").applyInPandas(lambda f: _leaf(f), PAIR)
         proposed = written(proposed.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "nn-proposed")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,3 +43,11 @@ def bounded_batches(spark, rows: int = 2000, size: str = "32m") -> None:
     """Bounds the Arrow batches of Python tasks by rows and bytes, so that long texts cannot pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """A value that a Python worker makes once and keeps for all its tasks."""
+    store = sys.modules.setdefault("_opslens_kept", types.ModuleType("_opslens_kept")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]

@@ -34,7 +34,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 SURE_WORDS = 20
 ROWS = 300_000
-_ready: dict[int, "Scorer"] = {}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -79,14 +78,14 @@ def _pieces(word: str) -> list[tuple[int, str]]:
 class Scorer:
     """Scores texts; remembers the scores of unseen words up to a bound."""
 
-    def __init__(self, model: Model):
-        self.languages = model.languages
-        self.n_known = len(model.names)
-        self.known = {name: i for i, name in enumerate(model.names)}
-        self.table = np.zeros((ROWS + self.n_known, len(model.languages)), dtype=np.float32)
-        self.table[:self.n_known] = model.rows
-        self.grams = [{name: rows[i] for i, name in enumerate(names)} for names, rows in model.grams]
-        self.floor = np.full(len(model.languages), -12.0, dtype=np.float32)
+    def __init__(self, languages: list[str], names: list[str], rows: np.ndarray, grams: list[tuple[list[str], np.ndarray]]):
+        self.languages = languages
+        self.n_known = len(names)
+        self.known = {name: i for i, name in enumerate(names)}
+        self.table = np.zeros((ROWS + self.n_known, len(languages)), dtype=np.float32)
+        self.table[:self.n_known] = rows
+        self.grams = [{name: own[i] for i, name in enumerate(of)} for of, own in grams]
+        self.floor = np.full(len(languages), -12.0, dtype=np.float32)
         self.seen: dict[str, int] = {}
 
     def unseen(self, word: str) -> np.ndarray:
@@ -158,17 +157,16 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with lang_pred and score added; other columns pass through."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model or fitted(documents))  # bounded by ``vocabulary``
+    shared = spark.sparkContext.broadcast(dict(vars(model or fitted(documents))))  # bounded by ``vocabulary``
     columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
     kept = documents.select(*[F.col(f"`{c}`") for c in columns])
     text = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value.__dict__.setdefault("key", id(shared.value))
-        if key not in _ready:
-            _ready.clear()
-            _ready[key] = Scorer(shared.value)
-        scorer = _ready[key]
+        parts = shared.value  # a worker has one copy for all tasks, and one scorer with it
+        if "scorer" not in parts:
+            parts["scorer"] = Scorer(**parts)
+        scorer = parts["scorer"]
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(

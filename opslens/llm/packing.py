@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from opslens.llm.common import bounded_batches, written
+from opslens.llm.common import bounded_batches, kept, written
 
 CLOSING = 1
 LENGTH = 2048
@@ -35,7 +35,6 @@ CACHED = 1_000_000
 PLAIN = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 #: A word of letters with marks behind it: the tokenizer treats the two parts apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&]*)")
-_tokenizers: dict[str, "WordTokens"] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -103,9 +102,7 @@ class WordTokens:
 
 
 def tokens(path: str) -> WordTokens:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
+    return kept(f"tokens {path}", lambda: WordTokens(path))
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from opslens.llm.common import kept
+
 WORDS = 5
 _random = np.random.default_rng(20_240_229)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -12,17 +14,17 @@ _STEP = int(_random.integers(0, 1 << 62)) * 2 + 1
 _BACK = pow(_STEP, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
 def _power(way: str, n: int) -> np.ndarray:
     """Powers 0..n-1 of the step, or of its inverse."""
-    have = _powers[way]
-    if len(have) < n:
+    powers = kept("shingle powers", dict)
+    have = powers.get(way)
+    if have is None or len(have) < n:
         base = np.uint64(_STEP if way == "up" else _BACK)
         grown = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         grown[0] = 1
-        _powers[way] = have = np.multiply.accumulate(grown)
+        powers[way] = have = np.multiply.accumulate(grown)
     return have[:n]
 
 

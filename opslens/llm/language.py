@@ -45,8 +45,8 @@ class Model:
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
         self.languages = languages
-        self.names, self.rows = list(words), np.array(list(words.values()), dtype=np.float32).reshape(-1, len(languages))
-        self.grams = [(list(g), np.array(list(g.values()), dtype=np.float32).reshape(-1, len(languages))) for g in grams]
+        self.names, self.rows = list(words), np.array(list(words.values()), dtype=np.float32).reshape(len(words), len(languages))
+        self.grams = [(list(g), np.array(list(g.values()), dtype=np.float32).reshape(len(g), len(languages))) for g in grams]
 
 
 def counted(rows: list[tuple[str, str, int]], languages: list[str], smooth: float = 0.5) -> Model:

@@ -15,8 +15,8 @@ shingles are keyed whole and miss nothing at all. Trees with more than ``hot`` p
 trees: they still meet in a cold one (missed with probability below 1e-12).
 
 Groups of copies do not pair up. Equal sets are one point. Each tree first offers its
-least point to all others; only points that this leaves in different components are
-then compared with each other.
+middle point, the one nearest to the mean of its counts, to all others; only points that
+this leaves in different components are then compared with each other.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer than
 five words are one shingle; repeated rows are equal sets; a row without id takes no part
@@ -35,7 +35,8 @@ from opslens.llm.common import bounded_batches, written
 from opslens.llm.components import components
 from opslens.llm.shingles import mixed, shingle_set
 
-GROUPS = 64
+GROUPS = 256
+FULL = (1 << 16) - 1  # a count that is stored as this may be any larger number
 KEYS = 48
 LEAF = 64
 #: A pair is linked when SCALE * overlap >= SHARE * (size + size); for a similarity of 75 % that is 175 and 75.
@@ -58,7 +59,8 @@ def sketches(documents: DataFrame) -> DataFrame:
                 rows[1].append(int(own.sum(dtype=np.uint64).astype(np.int64)))
                 rows[2].append(int(spread.sum(dtype=np.uint64).astype(np.int64)))
                 rows[3].append(own[:KEYS].astype(np.int64))
-                rows[4].append(np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                counts = np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+                rows[4].append(np.minimum(counts, FULL).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(r, f.type) for r, f in zip(rows, list(schema)[1:], strict=True)]], schema=schema)
 
@@ -68,7 +70,7 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 def survivors(sizes: np.ndarray, component: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of one tree in different components whose bound allows a link, as places in the arrays."""
-    order = np.lexsort((points[:, 0], sizes))
+    order = np.lexsort((component, sizes))
     sizes, component, points = sizes[order], component[order], points[order]
     m = len(sizes)
     first = np.arange(0, m, LEAF)
@@ -81,7 +83,8 @@ def survivors(sizes: np.ndarray, component: np.ndarray, points: np.ndarray) -> l
         near = leaf + np.flatnonzero(SHARE * (least[leaf:] + own_sizes[0]) <= SCALE * own_sizes[-1])  # no overlap exceeds the smaller size
         if not len(near):
             continue
-        bound = np.minimum(own[:, None, :], top[None, near, :]).sum(axis=2)
+        bound = np.concatenate([np.minimum(own[:, None, :], top[None, near[i:i + LEAF], :]).sum(axis=2)
+                                for i in range(0, len(near), LEAF)], axis=1)
         open_ = SCALE * bound >= SHARE * (own_sizes[:, None] + least[None, near])
         for j, other in enumerate(near):
             mine = np.flatnonzero(open_[:, j])
@@ -96,17 +99,14 @@ def survivors(sizes: np.ndarray, component: np.ndarray, points: np.ndarray) -> l
     return found
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, root, counts) sorted by key: one tree per key; gives the surviving pairs."""
-    names = ["a", "b"]
+def _points(column: pa.ChunkedArray) -> np.ndarray:
+    points = np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int32)
+    points[points == FULL] = 1 << 30
+    return points
 
-    def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(group)
-        node = table["node"].to_numpy()
-        points = np.frombuffer(b"".join(table["counts"].to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
-        found = survivors(table["n"].to_numpy(), table["root"].to_numpy(), points)
-        return pa.record_batch([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=names)
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by their first column."""
     open_, key = [], None
     for batch in batches:
         keys = batch.column(0).to_numpy()
@@ -115,12 +115,59 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
             if open_ and keys[start] != key:
-                yield pairs(open_)
+                yield pa.Table.from_batches(open_)
                 open_ = []
             key = keys[start]
             open_.append(batch.slice(start, stop - start))
     if open_:
-        yield pairs(open_)
+        yield pa.Table.from_batches(open_)
+
+
+def _found(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs of nodes as a batch, the smaller node first, each pair once."""
+    a = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, dtype=np.int64)
+    b = np.concatenate([y for _, y in pairs]) if pairs else np.zeros(0, dtype=np.int64)
+    both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+    return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def _collected(pairs: Iterator[tuple[np.ndarray, np.ndarray]], enough: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches of pairs; a batch of many trees holds a pair once, however often it met."""
+    held, size = [], 0
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
+        if size >= enough:
+            yield _found(held)
+            held, size = [], 0
+    yield _found(held)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n, counts): the middle point of each tree with the points that its bound allows."""
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for tree in _by_key(batches):
+            node, n, points = tree["node"].to_numpy(), tree["n"].to_numpy(), _points(tree["counts"])
+            far = np.abs(points - points.mean(axis=0)).sum(axis=1)
+            middle = np.lexsort((node, far))[0]
+            bound = np.minimum(points, points[middle]).sum(axis=1, dtype=np.int64)
+            need = SHARE * (n + n[middle])
+            hit = (SCALE * bound >= need) & (SCALE * n >= need) & (SCALE * n[middle] >= need)
+            hit[middle] = False
+            yield node[hit], np.full(int(hit.sum()), node[middle])
+
+    return _collected(pairs())
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n, root, counts): the surviving pairs of each tree."""
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for tree in _by_key(batches):
+            node = tree["node"].to_numpy()
+            found = np.array(survivors(tree["n"].to_numpy(), tree["root"].to_numpy(), _points(tree["counts"])), dtype=np.int64).reshape(-1, 2)
+            yield node[found[:, 0]], node[found[:, 1]]
+
+    return _collected(pairs())
 
 
 def verified(pairs: DataFrame, members: DataFrame, documents: DataFrame) -> DataFrame:
@@ -168,40 +215,21 @@ def linked(documents: DataFrame, hot: int = 256) -> tuple[DataFrame, DataFrame]:
     cold_only = warm.filter("hot > 0").join(points.select("node", "n"), "node").filter(
         F.col("hot") * 4 <= F.least("n", F.lit(KEYS))).select("node", F.lit(True).alias("cold_only"))
     kept = met.join(cold_only, "node", "left").filter((F.col("met") <= hot) | F.col("cold_only").isNull()).drop("cold_only", "met")
-    least = F.min(F.struct("node", "n")).over(of_key)
-    kept = written(kept.withColumn("least", least).withColumn("met", F.count(F.lit(1)).over(of_key)), "ngram-met")
-    sized = SHARE * (F.col("n") + F.col("least.n")) <= SCALE * F.least("n", "least.n")
-    stars = kept.filter((F.col("node") != F.col("least.node")) & sized).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
-    vector = points.select("node", "n", "counts")
-    stars = written(_bounded(stars, vector), "ngram-stars")
-    links = written(verified(stars, points.select("node", "doc_id"), documents), "ngram-links")
-    roots = components(links)
-    placed = kept.filter("met > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = written(kept.withColumn("met", F.count(F.lit(1)).over(of_key)).filter("met > 1").select("key", "node", "met"), "ngram-met")
+    vector, members = points.select("node", "n", "counts"), points.select("node", "doc_id")
+    along = lambda rows: rows.join(vector, "node").repartition("key").sortWithinPartitions("key")
+    stars = along(kept).select("key", "node", "n", "counts").mapInArrow(_stars, "a long, b long").distinct()
+    stars = written(stars, "ngram-stars")
+    links = written(verified(stars, members, documents), "ngram-links")
+    placed = kept.filter("met > 2").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     span = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    rows = placed.join(span, "key", "left_semi").select("node", "key", "root").join(vector, "node")
-    more = (rows.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "root", "counts")
-            .mapInArrow(_trees, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "ngram-more")
-    links = links.unionByName(written(verified(more, points.select("node", "doc_id"), documents), "ngram-links"))
+    rows = along(placed.join(span, "key", "left_semi")).select("key", "node", "n", "root", "counts")
+    more = written(rows.mapInArrow(_trees, "a long, b long").distinct(), "ngram-more")
+    more = more.join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(written(verified(more, members, documents), "ngram-links"))
     return table.select("doc_id", "n", "node"), links
 
 
-def _bounded(pairs: DataFrame, vector: DataFrame) -> DataFrame:
-    """The pairs whose summed coordinate minima allow a link."""
-    left = vector.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("left"))
-    right = vector.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("right"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(-1, GROUPS)
-            bound = np.minimum(read(4), read(5)).sum(axis=1, dtype=np.int64)
-            keep = SCALE * bound >= SHARE * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "left", "right")
-    return both.mapInArrow(run, "a long, b long")
-
-
 def grouped(documents: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     table, links = linked(documents, **options)

@@ -31,7 +31,7 @@ from opslens.llm.common import bounded_batches, kept, written
 CLOSING = 1
 LENGTH = 2048
 DIMENSIONS, BITS = 3, 10
-CACHED = 1_000_000
+CACHED = 700_000
 PLAIN = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 #: A word of letters with marks behind it: the tokenizer treats the two parts apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&]*)")

@@ -166,11 +166,10 @@ def decode(c: Column, table: dict, default: Column | str | None = None) -> Colum
 
 def error_comment(message: Column) -> Column:
     """Comment for a log message: ordered rules, first match wins."""
+    number = F.regexp_extract(message, r"^Error: (\d+)", 1)
+
     def is_error(numbers: list[int]) -> Column:
-        found = F.lit(False)
-        for number in numbers:
-            found = found | message.startswith(f"Error: {number}")
-        return found
+        return number.isin([str(n) for n in numbers])
 
     out = None
     for numbers, comment in ERROR_COMMENTS:

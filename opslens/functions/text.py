@@ -56,17 +56,12 @@ def statement_slice(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, begin.cast("int"), length.cast("int"))
 
 
-def running_statement(text: Column, start: Column, end: Column, open_end: int = 1000) -> Column:
-    """Slice used by progress reports: starts one character earlier, open ends are cut.
-
-    A start of 0 is the position before the first character, so one character
-    fewer of the length is visible.
-    """
-    begin = F.call_function("div", start.cast("long"), F.lit(2))
-    length = F.when(end == -1, F.lit(open_end)).otherwise(
+def running_statement(text: Column, start: Column, end: Column) -> Column:
+    """Slice used by progress reports: starts one character earlier where there is one; an open end is the text's."""
+    begin = F.greatest(F.call_function("div", start.cast("long"), F.lit(2)), F.lit(1))
+    length = F.when(end == -1, F.length(text)).otherwise(
         F.call_function("div", (end - start).cast("long"), F.lit(2)))
-    visible = F.greatest(F.when(begin == 0, length - 1).otherwise(length), F.lit(0))
-    return F.substr(text, F.greatest(begin, F.lit(1)).cast("int"), visible.cast("int"))
+    return F.substr(text, begin.cast("int"), F.greatest(length, F.lit(0)).cast("int"))
 
 
 def like_pattern(template: Column) -> Column:

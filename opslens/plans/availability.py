@@ -60,22 +60,20 @@ def _recent(xe: DataFrame, name: str | None, as_of: str | datetime, hours: int,
     return rows.filter(F.col("timestamp") >= dates.ago(as_of, hours, "hour"))
 
 
-def _value(position: int, size: int | None = None) -> Column:
-    c = xmls.nth(F.col("event"), "value", position)
-    return F.left(c, F.lit(size)) if size else c
+def _value(position: int) -> Column:
+    return xmls.nth(F.col("event"), "value", position)
 
 
-def _text(position: int, size: int | None = None) -> Column:
-    c = xmls.nth(F.col("event"), "text", position)
-    return F.left(c, F.lit(size)) if size else c
+def _text(position: int) -> Column:
+    return xmls.nth(F.col("event"), "text", position)
 
 
 def _ddl(xe: DataFrame, as_of, hours: int, utc_offset: int, failovers: bool) -> DataFrame:
-    is_failover = F.upper(_value(3, 60)).like("%FAILOVER%")
+    is_failover = F.upper(_value(3)).like("%FAILOVER%")  # anywhere in the statement
     rows = _recent(xe, "alwayson_ddl_executed", as_of, hours, utc_offset)
     return rows.filter(is_failover if failovers else ~is_failover).select(
-        "server_name", "timestamp", _text(1, 10).alias("ddl_action"), _text(2, 10).alias("ddl_phase"),
-        _value(5, 20).alias("ag_name"), F.left(text.one_line(_value(3), ""), F.lit(60)).alias("ddl_statement"))
+        "server_name", "timestamp", _text(1).alias("ddl_action"), _text(2).alias("ddl_phase"),
+        _value(5).alias("ag_name"), text.one_line(_value(3), "").alias("ddl_statement"))
 
 
 def ha_ddl_events(xe: DataFrame, as_of: str | datetime, hours: int = 24, utc_offset: int = 0) -> DataFrame:
@@ -89,13 +87,13 @@ def ha_failovers(xe: DataFrame, as_of: str | datetime, hours: int = 24, utc_offs
 
 def ha_manager_states(xe: DataFrame, as_of: str | datetime, hours: int = 24, utc_offset: int = 0) -> DataFrame:
     return _recent(xe, "availability_replica_manager_state_change", as_of, hours, utc_offset).select(
-        "server_name", "timestamp", _text(1, 30).alias("current_state"))
+        "server_name", "timestamp", _text(1).alias("current_state"))
 
 
 def ha_replica_states(xe: DataFrame, as_of: str | datetime, hours: int = 24, utc_offset: int = 0) -> DataFrame:
     return _recent(xe, "availability_replica_state_change", as_of, hours, utc_offset).select(
-        "server_name", "timestamp", _value(4, 20).alias("ag_name"), _text(1, 30).alias("previous_state"),
-        _text(2, 30).alias("current_state"))
+        "server_name", "timestamp", _value(4).alias("ag_name"), _text(1).alias("previous_state"),
+        _text(2).alias("current_state"))
 
 
 def ha_lease_expirations(xe: DataFrame, as_of: str | datetime, hours: int = 24, utc_offset: int = 0) -> DataFrame:
@@ -122,7 +120,7 @@ def error_summary(errors: DataFrame, messages: DataFrame, language: int = 1033)
     return counted.join(templates, "error_number", "left").select(
         "server_name", "error_number", "error_count", dates.style_text(F.col("_first"), 121).alias("first_date"),
         dates.style_text(F.col("_last"), 121).alias("last_date"),
-        F.left(short, F.lit(81)).alias("abbreviated_message"))
+        short.alias("abbreviated_message"))
 
 
 def ha_events_named(xe: DataFrame, as_of: str | datetime, hours: int = 24, utc_offset: int = 0) -> DataFrame:

@@ -127,9 +127,9 @@ def last_backups(backupset: DataFrame, databases: DataFrame, media: DataFrame,
                  as_of: str | datetime, hours: int = 596) -> DataFrame:
     """Last backup per database, type and user, with run time, age and compression ratio."""
     finish = F.col("backup_finish_date")
+    backupset = backupset.filter(finish >= dates.ago(as_of, hours, "hour"))  # keeps every maximum that is recent
     last = (_without_copy_only(backupset).groupBy(*DB_TYPE, "user_name")
-            .agg(F.max(finish).alias("backup_finish_date"))
-            .filter(finish >= dates.ago(as_of, hours, "hour")))
+            .agg(F.max(finish).alias("backup_finish_date")))
     rows = last.join(backupset.drop("user_name", "name"), [*DB_TYPE, "backup_finish_date"])
     known = databases.select("server_name", F.col("name").alias("database_name"))
     return (rows.join(known, DB).join(media, ["server_name", "media_set_id"]).select(

@@ -237,5 +237,5 @@ def power_plan_finding(hosts: DataFrame) -> DataFrame:
     speed = numbers.exact_div(F.col("cpu_mhz"), 1000, 2).cast("decimal(18,2)")
     return hosts.select(
         "server_name", F.lit("Server Info").alias("findings_group"), F.lit("Power Plan").alias("finding"),
-        F.concat(F.left(speed.cast("string"), F.lit(4)), F.lit("GHz CPUs")).alias("cpu_speed"),
+        F.concat(speed.cast("string"), F.lit("GHz CPUs")).alias("cpu_speed"),
         codes.decode(F.col("power_scheme"), codes.POWER_PLANS, "an unknown power mode").alias("power_plan"))

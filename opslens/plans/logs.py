@@ -131,8 +131,8 @@ def health_error_detail(targets: DataFrame) -> DataFrame:
 
 def health_finding(servers: DataFrame, targets: DataFrame) -> DataFrame:
     """One finding per server: whether its health session reported errors."""
-    hits = (targets.filter(F.col("target_data").contains("error_reported"))
-            .select("server_name").distinct().withColumn("_hit", F.lit(True)))
+    hits = (parse_targets(targets.filter(F.col("target_data").contains("error_reported")))
+            .filter("event_name = 'error_reported'").select("server_name").distinct().withColumn("_hit", F.lit(True)))
     return servers.select("server_name").distinct().join(hits, "server_name", "left").select(
         "server_name", F.lit(CATEGORY).alias("category"), F.lit("SystemHealth_Errors").alias("check"),
         F.when(F.col("_hit"), "[WARNING: System Health Session contains important messages.]")

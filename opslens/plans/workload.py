@@ -105,10 +105,11 @@ def _with_job_names(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     named = jobs.select("server_name", binary.guid_hex(F.col("job_guid")).alias("_job_hex"),
                         F.col("name").alias("_job_name"))
     found = rows.withColumn("_job_hex", F.when(is_step, F.substring(program, 30, 34)))
-    shown = F.left(F.replace(program, F.col("_job_hex"), F.coalesce("_job_name", F.lit(""))), F.lit(128))
-    return (found.join(named, ["server_name", "_job_hex"], "left")
-            .withColumn("program_name", F.when(is_step, shown).otherwise(program))
-            .drop("_job_hex", "_job_name"))
+    shown = F.replace(program, F.col("_job_hex"), F.coalesce("_job_name", F.lit("")))
+    # only job steps have a key to look up; the others would all meet in the partition of the null key
+    steps = found.filter("_job_hex is not null").join(named, ["server_name", "_job_hex"], "left")
+    others = found.filter("_job_hex is null").drop("_job_hex")
+    return steps.withColumn("program_name", shown).select(*others.columns).unionByName(others)
 
 
 def long_transactions(sessions: DataFrame, session_transactions: DataFrame, database_transactions: DataFrame,

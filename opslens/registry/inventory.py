@@ -36,16 +36,21 @@ QUERIES = {
     "encryption_chain": Query(
         lambda t: inventory.encryption_chain(t.principal_credentials, t.credentials, t.server_principals, t.asymmetric_keys,
                                              t.encryption_keys, t.databases),
-        """SELECT sd.server_name, sd.name AS database_name, sd.is_encrypted, dek.encryptor_thumbprint, spc.principal_id, spc.credential_id,
-          ssp.name AS tde_login, '0x' || ssp.sid AS tde_login_sid, ssp.type_desc AS tde_login_type, sc.name AS tde_credential_name,
-          sc.credential_identity AS tde_credential_identity, sc.target_type AS tde_credential_target_type, ak.name AS asymmetric_key_name
-        FROM {principal_credentials} spc
-        JOIN {credentials} sc ON spc.credential_id = sc.credential_id AND sc.server_name = spc.server_name
-        JOIN {server_principals} ssp ON spc.principal_id = ssp.principal_id AND ssp.server_name = spc.server_name
-        JOIN {asymmetric_keys} ak ON ak.sid = ssp.sid AND ak.server_name = spc.server_name
-        JOIN {encryption_keys} dek ON dek.encryptor_thumbprint = ak.thumbprint AND dek.server_name = spc.server_name
-        RIGHT JOIN {databases} sd ON sd.database_id = dek.database_id AND sd.server_name = dek.server_name
-        WHERE dek.database_id IS NOT NULL"""),
+        """WITH holders AS (  -- logins with what they may open: their credentials and their keys
+          SELECT server_name, sid, principal_id, name AS tde_login, '0x' || sid AS tde_login_sid, type_desc AS tde_login_type FROM {server_principals}),
+        opened AS (
+          SELECT server_name, thumbprint AS encryptor_thumbprint, name AS asymmetric_key_name, holders.* EXCLUDE (server_name, sid)
+          FROM {asymmetric_keys} INNER JOIN holders USING (server_name, sid)),
+        granted AS (
+          SELECT server_name, principal_id, credential_id, name AS tde_credential_name, credential_identity AS tde_credential_identity,
+            target_type AS tde_credential_target_type
+          FROM {credentials} INNER JOIN (SELECT server_name, principal_id, credential_id FROM {principal_credentials}) USING (server_name, credential_id))
+        SELECT server_name, database_name, is_encrypted, encryptor_thumbprint, principal_id, credential_id, tde_login, tde_login_sid,
+          tde_login_type, tde_credential_name, tde_credential_identity, tde_credential_target_type, asymmetric_key_name
+        FROM (SELECT server_name, database_id, encryptor_thumbprint FROM {encryption_keys})
+        INNER JOIN (SELECT server_name, database_id, name AS database_name, is_encrypted FROM {databases}) USING (server_name, database_id)
+        INNER JOIN opened USING (server_name, encryptor_thumbprint)
+        INNER JOIN granted USING (server_name, principal_id)"""),
     "encryption_progress": Query(
         lambda t: inventory.encryption_progress(t.encryption_keys),
         f"""SELECT server_name, database_name, encryption_state, {sql_case('encryption_state', codes.ENCRYPTION_STATES, 'No Status')}
@@ -127,6 +132,6 @@ QUERIES = {
     "power_plan_finding": Query(
         lambda t: inventory.power_plan_finding(t.hosts),
         f"""SELECT server_name, 'Server Info' AS findings_group, 'Power Plan' AS finding,
-          left(((cpu_mhz + 5) // 10 // 100) || '.' || lpad(CAST((cpu_mhz + 5) // 10 % 100 AS VARCHAR), 2, '0'), 4) || 'GHz CPUs' AS cpu_speed,
+          ((cpu_mhz + 5) // 10 // 100) || '.' || lpad(CAST((cpu_mhz + 5) // 10 % 100 AS VARCHAR), 2, '0') || 'GHz CPUs' AS cpu_speed,
           {sql_case('power_scheme', codes.POWER_PLANS, 'an unknown power mode')} AS power_plan FROM {{hosts}}"""),
 }

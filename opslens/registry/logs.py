@@ -23,7 +23,7 @@ LONG_IO = "SQL Server has encountered % longer than 15 seconds %"
 def comment_sql(m: str) -> str:
     whens = []
     for numbers, comment in codes.ERROR_COMMENTS:
-        conditions = [f"{m} LIKE 'Error: {n}%'" for n in numbers]
+        conditions = [f"regexp_matches({m}, '^Error: ({'|'.join(map(str, numbers))})([^0-9]|$)')"]
         if numbers == [833]:
             conditions.append(f"{m} LIKE '{LONG_IO}'")
         whens.append(f"WHEN {' OR '.join(conditions)} THEN {_q(comment)}")

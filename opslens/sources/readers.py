@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from opslens.functions import xmls
 from opslens.operators import adjacent, changes
@@ -16,7 +16,7 @@ def read_table(spark: SparkSession, folder: str, name: str, since: str | None =
     """Captured table; ``since`` prunes the daily partitions before anything is read."""
     if name not in SCHEMAS:
         raise KeyError(f"no schema for {name}")
-    df = spark.read.schema(f"{schema_of(name)}, captured_date date").parquet(f"{folder}/{name}")
+    df = spark.read.schema(f"{schema_of(name)}, captured_at timestamp_ntz, captured_date date").parquet(f"{folder}/{name}")
     return df if since is None else df.filter(F.col("captured_date") >= F.lit(since).cast("date"))
 
 
@@ -79,23 +79,43 @@ ARCHIVE_NAME = r"ERRORLOG\.(\d+)$"
 def read_errorlog(spark: SparkSession, path: str, since: str | datetime | None = None) -> DataFrame:
     """Current and archived error logs with their number; old archives are not opened.
 
-    A line without a time of its own keeps its text and has a null time.
+    A line without a time of its own continues the entry before it in its file and has
+    that entry's time and process. ``server_name`` comes from a folder ``server_name=...``.
     """
     reader = spark.read
     if since is not None:
         moment = since if isinstance(since, str) else since.isoformat()
         reader = reader.option("modifiedAfter", moment.replace(" ", "T"))
-    lines = reader.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = numbered_lines(reader.text(path))
     number = F.regexp_extract("file", ARCHIVE_NAME, 1)
     is_entry = F.col("value").rlike(LOG_LINE)
 
     def part(group: int) -> Column:
         return F.when(is_entry, F.regexp_extract("value", LOG_LINE, group))
 
-    return lines.select(
-        F.coalesce(F.nullif(number, F.lit("")).cast("long"), F.lit(0)).alias("log_id"),
-        part(1).try_cast("timestamp_ntz").alias("log_date"), part(2).alias("spid"),
-        F.coalesce(part(3), F.col("value")).alias("log_msg"))
+    entry = F.when(is_entry, F.struct(part(1).try_cast("timestamp_ntz").alias("log_date"), part(2).alias("spid")))
+    rows = adjacent.carry_forward(lines, ["file"], "line_no", entry, adjacent.line_bucket("line_no"), "entry")
+    return rows.select(
+        server_of(F.col("file")).alias("server_name"),
+        F.coalesce(F.nullif(number, F.lit("")).cast("long"), F.lit(0)).alias("log_id"), "line_no",
+        "entry.log_date", "entry.spid", F.coalesce(part(3), F.col("value")).alias("log_msg"))
+
+
+def server_of(path: Column) -> Column:
+    """The server a captured file belongs to, from a folder ``server_name=...`` of its path; else null."""
+    return F.nullif(F.regexp_extract(path, r"server_name=([^/\\\\]+)", 1), F.lit(""))
+
+
+def numbered_lines(text: DataFrame) -> DataFrame:
+    """(file, line_no, value) of text files read by Spark.
+
+    A line's number is the byte at which its block starts and its place in the block: it
+    grows along a file whatever blocks the file is read in. A file in one block counts from 0.
+    """
+    rows = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_id"))
+    of_block = Window.partitionBy("file", "_block")
+    return rows.select("file", (F.col("_block") + F.col("_id") - F.min("_id").over(of_block)).alias("line_no"), "value")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -132,15 +152,24 @@ def read_file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> D
     return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
+# Fixed value: how the first line of a counter file begins.
+HEADER_LINE = r'^\s*"\(PDH-'
+
+
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
     """Performance-counter log in CSV form: one column per counter to one row per sample.
 
     The first column is the time; the others are named ``\\\\server\\object(instance)\\counter``.
     """
-    wide = spark.read.option("header", "true").option("escape", '"').csv(path)
-    time, *counters = wide.columns
-    rows = wide.withColumn("_at", F.col(f"`{time}`")).unpivot(
-        ["_at"], [F.col(f"`{c}`") for c in counters], "_counter", "_value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    cells = F.split(F.regexp_replace("value", r'^\s*"|"\s*$', ""), '"\\s*,\\s*"')
+    is_header = F.col("value").rlike(HEADER_LINE)
+    headers = lines.filter(is_header).select("file", cells.alias("_names"))
+    samples = lines.filter(~is_header & (F.trim("value") != "")).select("file", cells.alias("_values"))
+    rows = (samples.join(headers, "file")  # each file has a header of its own
+            .select(F.element_at("_values", 1).alias("_at"), F.explode(F.arrays_zip(
+                F.slice("_names", 2, F.size("_names")).alias("name"), F.slice("_values", 2, F.size("_names")).alias("value"))).alias("_c"))
+            .select("_at", F.col("_c.name").alias("_counter"), F.col("_c.value").alias("_value")))
     name = F.col("_counter")
     return rows.select(
         F.regexp_extract(name, r"^\\\\([^\\]+)\\", 1).alias("server_name"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,15 +45,27 @@ def scalar(df: DataFrame):
 
 
 def append_snapshot(df: DataFrame, table: str, captured_at: str | datetime, retention_days: int = 14) -> list[str]:
-    """Snapshot added to a table partitioned by day; days past their retention are dropped.
+    """Snapshot added to a table partitioned by day, capture and server; days past their retention are dropped.
 
-    Returns the dropped days. Capturing the same moment again replaces nothing
-    but itself only if the caller names a new moment; each call adds rows.
+    Returns the dropped days. A capture owns its partitions: the same servers captured
+    again for the same moment replace what they wrote, and nothing else, so a retry
+    leaves the table as it was.
     """
     spark = df.sparkSession
     stamped = df.withColumn("captured_at", dates.instant(captured_at)).withColumn(
-        "captured_date", F.col("captured_at").cast("date"))
-    stamped.write.mode("append").format("parquet").partitionBy("captured_date").saveAsTable(table)
+        "captured_date", F.col("captured_at").cast("date")).withColumn(
+        "capture", F.date_format("captured_at", "yyyyMMdd'T'HHmmss.SSSSSS"))
+    parts = ["captured_date", "capture", *[c for c in ("server_name",) if c in df.columns]]
+    if spark.catalog.tableExists(table):
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")  # an insert into a table takes it from the session only
+        try:
+            stamped.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+        finally:
+            spark.conf.set(mode, before)
+    else:
+        stamped.write.format("parquet").partitionBy(*parts).saveAsTable(table)
     return drop_old_days(spark, table, captured_at, retention_days)
 
 
@@ -60,8 +73,11 @@ def drop_old_days(spark: SparkSession, table: str, as_of: str | datetime, retent
     """Drops daily partitions older than the retention; the list of days is short."""
     today = datetime.fromisoformat(str(as_of)).date()
     oldest = today - timedelta(days=retention_days)
-    days = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    old = sorted(d for d in days if date.fromisoformat(d) < oldest)
-    for day in old:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (captured_date = DATE'{day}')")
+    found = [[part.split("=", 1) for part in r[0].split("/")] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    gone = [spec for spec in found if date.fromisoformat(spec[0][1]) < oldest]
+    quoted = lambda v: "'" + unquote(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    for start in range(0, len(gone), 500):
+        specs = ", ".join("PARTITION (" + ", ".join(f"{k} = {quoted(v)}" for k, v in spec) + ")" for spec in gone[start:start + 500])
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    old = sorted({spec[0][1] for spec in gone})
     return old

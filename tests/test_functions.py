@@ -64,7 +64,12 @@ def test_statement_slice(spark, start, end, shown):
     assert one(spark, column) == shown
 
 
-@pytest.mark.parametrize("start, end, shown", [(0, 6, "ab"), (2, 8, "abc"), (4, -1, "bcdef"), (0, -1, "abcdef")])
+def test_running_statement_keeps_a_long_open_end(spark):
+    whole = "select 1 -- " + "x" * 5000
+    assert one(spark, text.running_statement(F.lit(whole), F.lit(0), F.lit(-1))) == whole
+
+
+@pytest.mark.parametrize("start, end, shown", [(0, 6, "abc"), (2, 8, "abc"), (4, -1, "bcdef"), (0, -1, "abcdef")])
 def test_running_statement(spark, start, end, shown):
     assert one(spark, text.running_statement(F.lit("abcdef"), F.lit(start), F.lit(end))) == shown
 
@@ -124,6 +129,7 @@ def test_int_avg_truncates(spark):
     ("SQL Server has encountered 3 occurrence(s) longer than 15 seconds to", "Long IO detected: http://support.microsoft.com/kb/897284"),
     ("x cachestore flush y", "CacheStore flush"),
     ("nothing known", ""),
+    ("Error: 8021, Severity: 10", ""), ("Error: 6105, Severity: 10", ""), ("Error: 610, Severity: 21", "Page header invalid. Possible corruption"),
 ])
 def test_first_rule_wins(spark, message, comment):
     assert one(spark, codes.error_comment(F.lit(message))) == comment

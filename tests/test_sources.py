@@ -54,7 +54,8 @@ def test_error_logs_with_archives(spark, tmp_path):
     os.utime(tmp_path / "ERRORLOG.2", (0, 1_000_000_000))
     got = readers.read_errorlog(spark, str(tmp_path))
     assert rows(got, "log_id", "spid", "log_msg") == [
-        (0, "spid5s", "Error: 823, Severity: 24."), (0, None, "\tcontinued"), (2, "Logon", "Login failed")]
+        (0, "spid5s", "Error: 823, Severity: 24."), (0, "spid5s", "\tcontinued"), (2, "Logon", "Login failed")]
+    assert rows(got.filter("log_id = 0").select(F.col("log_date").cast("string"), "line_no")) == [("2024-01-31 10:00:00.12", 0), ("2024-01-31 10:00:00.12", 1)]
     assert rows(readers.read_errorlog(spark, str(tmp_path), since="2020-01-01 00:00:00"), "log_id") == [(0,), (0,)]
 
 
@@ -68,6 +69,24 @@ def test_counter_csv(spark, tmp_path):
         ("SRV1", "PhysicalDisk\\Disk Reads/sec", "0 C:", 2.5)]
 
 
+def test_counter_files_keep_their_own_header(spark, tmp_path):
+    for server in ("SRVA", "SRVB"):
+        (tmp_path / f"{server}.csv").write_text(
+            f'"(PDH-CSV 4.0)","\\\\{server}\\Memory\\Available MBytes"\n"01/31/2024 10:00:00.500","512"\n')
+    got = readers.read_counters(spark, str(tmp_path))
+    assert rows(got, "server_name", "value") == [("SRVA", 512.0), ("SRVB", 512.0)]
+
+
+def test_server_of_a_path(spark, tmp_path):
+    folder = tmp_path / "server_name=SRV7"
+    folder.mkdir()
+    (folder / "ERRORLOG").write_text("2024-01-31 10:00:00.12 spid5s      one\n\ttwo\n")
+    got = readers.read_errorlog(spark, str(folder))
+    assert rows(got, "server_name", "log_msg") == [("SRV7", "\ttwo"), ("SRV7", "one")]
+    from opslens.plans import logs
+    assert logs.errorlog_since(got, "2024-01-31 12:00:00", 1).count() == 2
+
+
 def test_file_inventory_and_lines(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.bak").write_bytes(b"12345")
@@ -127,6 +146,10 @@ def test_snapshots_keep_two_weeks(spark):
     assert sinks.append_snapshot(df, "snaps", datetime(2024, 1, 15, 8)) == []
     assert sinks.append_snapshot(df, "snaps", "2024-01-16 08:00:00") == ["2024-01-01"]
     assert rows(spark.table("snaps").select(F.col("captured_date").cast("string"))) == [("2024-01-15",), ("2024-01-16",)]
+    other = frame(spark, [("t", 5), ("t", 6)], "server_name string, v long")
+    sinks.append_snapshot(other, "snaps", "2024-01-16 08:00:00")     # another server, same moment
+    sinks.append_snapshot(df, "snaps", "2024-01-16 08:00:00")        # the first one again
+    assert rows(spark.table("snaps"), "server_name", "v") == [("s", 1), ("s", 1), ("t", 5), ("t", 6)]
     spark.sql("drop table snaps")
 
 

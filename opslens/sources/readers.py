@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from opslens.functions import xmls
 from opslens.operators import adjacent, changes
 from opslens.sources.schemas import SCHEMAS, schema_of
+from opslens.sources.sinks import scratch_table
+
+# Executors get the functions below with the tasks; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def read_table(spark: SparkSession, folder: str, name: str, since: str | None = None) -> DataFrame:
@@ -37,6 +44,34 @@ def read_fleet(spark: SparkSession, servers: list[str], read_one: Callable[[Spar
     return (changes.union_all(parts) if parts else None), failed
 
 
+def fetch_fleet(spark: SparkSession, servers: list[str], fetch: Callable[[str], Iterable[dict]], schema: str
+                ) -> tuple[DataFrame, DataFrame]:
+    """What ``fetch`` yields on every server, and a row ``(server_name, error)`` for each server that failed.
+
+    The servers are dealt over the executors, one call each; a failure at run time, also
+    half way through, becomes a row and the other servers' rows arrive. The answers are
+    written below the shared folder once, so no server is asked twice.
+    """
+    fields = spark.createDataFrame([], schema).schema
+    names = fields.names
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for server in frame["server_name"]:
+                rows, error = [], None
+                try:
+                    rows = list(fetch(server))
+                except Exception as failure:  # any failure of this one server
+                    rows, error = [], (str(failure).splitlines() or [type(failure).__name__])[0]
+                out = pd.DataFrame([{n: row.get(n) for n in names} for row in rows] or [dict.fromkeys(names)], columns=names, dtype=object)
+                yield out.assign(server_name=server, error=error, is_row=bool(rows))
+
+    types = T.StructType([*fields.fields, *T.StructType.fromDDL("server_name string, error string, is_row boolean").fields])
+    asked = spark.createDataFrame([(s,) for s in servers], "server_name string").repartition(max(1, len(servers)))
+    answers = scratch_table(asked.mapInPandas(ask, types), "fleet")
+    return answers.filter("is_row").drop("error", "is_row"), answers.filter("error is not null").select("server_name", "error")
+
+
 def jdbc_reader(url_of: Callable[[str], str], query: str, **options: str) -> Callable[[SparkSession, str], DataFrame]:
     """A ``read_one`` for :func:`read_fleet` that runs a query on a server."""
     settings = {"queryTimeout": "600", "loginTimeout": "15", **options}

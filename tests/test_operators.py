@@ -222,3 +222,12 @@ def test_equal_rows_are_reduced_before_an_anti_join(spark):
     left, right = spark.range(10).select("id"), spark.range(1000).select((F.col("id") % 2).alias("id"))
     plan = plan_of(changes.delete_matching(left, right, ["id"]))
     assert "HashAggregate" in plan
+
+
+def test_newest_capture_of_each_server(spark):
+    from opslens.operators import captures
+    data = [(s, at(f"2024-01-{d:02d} 10:00:00"), n) for s, days in (("a", (1, 2, 3)), ("b", (1,))) for d in days for n in range(2)]
+    df = frame(spark, data, "server_name string, captured_at timestamp_ntz, n int")
+    got = captures.as_of_capture(df, "2024-01-02 12:00:00")
+    assert rows(got.selectExpr("server_name", "day(captured_at)", "n")) == [("a", 2, 0), ("a", 2, 1), ("b", 1, 0), ("b", 1, 1)]
+    assert rows(captures.as_of_capture(df, "2024-01-02 12:00:00", within_days=1).select("server_name").distinct()) == [("a",)]

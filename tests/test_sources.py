@@ -69,6 +69,18 @@ def test_counter_csv(spark, tmp_path):
         ("SRV1", "PhysicalDisk\\Disk Reads/sec", "0 C:", 2.5)]
 
 
+def test_a_server_that_fails_at_run_time_is_a_row(spark):
+    def fetch(server):
+        yield {"v": 1, "w": "a"}
+        if server == "bad":
+            raise OSError("gone away")
+        yield {"v": 2, "w": None}
+
+    got, failed = readers.fetch_fleet(spark, ["s1", "bad", "s2"], fetch, "v long, w string")
+    assert rows(got, "server_name", "v") == [("s1", 1), ("s1", 2), ("s2", 1), ("s2", 2)]
+    assert rows(failed) == [("bad", "gone away")]
+
+
 def test_counter_files_keep_their_own_header(spark, tmp_path):
     for server in ("SRVA", "SRVB"):
         (tmp_path / f"{server}.csv").write_text(

@@ -34,7 +34,7 @@ def outages(t) -> DataFrame:
 def duplicates(t) -> DataFrame:
     keyed = events_stream(t).select("ts", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
     rows = jobs.run_to_end(jobs.suppress_duplicates(keyed, ["user_id", "event_type", "k"], "ts"))
-    return rows.select("user_id", "event_type", "k")
+    return rows.select("user_id", "event_type", "k", "ts")
 
 
 def archive_split(t) -> DataFrame:
@@ -63,7 +63,10 @@ QUERIES = {
         SELECT server_name, min(ts) AS outage_start, max(ts) + INTERVAL 30 MINUTE AS outage_end, count(*) AS failures
         FROM i GROUP BY server_name, island"""),
     "stream_dedup": Query(
-        duplicates, "SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events"),
+        duplicates,
+        """WITH e AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k, ts FROM events),
+          o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type, k ORDER BY ts) AS before FROM e)
+        SELECT user_id, event_type, k, ts FROM o WHERE before IS NULL OR ts > before + INTERVAL 1 HOUR"""),
     "archive_split": Query(
         archive_split,
         """SELECT *, 'archived' AS placed FROM orders WHERE year(o_orderdate) <= 1996

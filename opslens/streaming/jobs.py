@@ -100,9 +100,16 @@ def outages(failures: DataFrame, keys: list[str], ts: str, gap: str = "30 minute
         *keys, _zoneless("w.start").alias("outage_start"), _zoneless("w.end").alias("outage_end"), "failures")
 
 
-def suppress_duplicates(events: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
-    """First of equal events; a key is remembered for as long as late rows may come."""
-    return _with_event_time(events, ts, late).dropDuplicatesWithinWatermark(keys)
+def suppress_duplicates(events: DataFrame, keys: list[str], ts: str, quiet_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Events with no equal one in the ``quiet_seconds`` before them, by event time.
+
+    The answer follows from the times alone, so it is the same however the rows are dealt
+    to micro-batches, as long as they come in order; a row later than ``late`` is left out.
+    """
+    rows = _with_event_time(events, ts, late)
+    found = rows.groupBy(*keys).applyInPandasWithState(
+        state.first_of_equals(ts, quiet_seconds), rows.schema, state.LAST_SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn(ts, _zoneless(ts))
 
 
 # -- state --------------------------------------------------------------------------------------

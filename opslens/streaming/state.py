@@ -19,6 +19,8 @@ from opslens.functions.codes import MILESTONE_GAP_SECONDS, MILESTONES
 # Executors get the functions below with the tasks; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+LAST_SEEN_STATE = "seen long"
+
 MILESTONE_ROWS = ("server_name string, job_id long, milestone long, sampled_at timestamp, "
                   "percent_complete double, announced boolean")
 MILESTONE_STATE = "progress long, announced_at timestamp"
@@ -41,6 +43,37 @@ def _whole_seconds(a: pd.Timestamp, b: pd.Timestamp) -> int:
     return int(b.floor("s").timestamp()) - int(a.floor("s").timestamp())
 
 
+def first_of_equals(ts: str, quiet_seconds: int):
+    """Rows of a key with none of that key in the time before them; the state is the newest time.
+
+    Of a micro-batch the times of a key are held, and the few rows that are first within
+    their own chunk. A key's state ends when the watermark passes its quiet time.
+    """
+    quiet = quiet_seconds * 1_000_000
+
+    def run(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, firsts = [], []
+        for chunk in chunks:
+            ordered = chunk.sort_values(ts, kind="stable", ignore_index=True)
+            at = ordered[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+            alone = np.concatenate(([True], np.diff(at) > quiet))
+            times.append(at)
+            firsts.append(ordered[alone].assign(_at=at[alone]))
+        at = np.sort(np.concatenate(times))
+        before = np.concatenate(([state.get[0] if state.exists else np.iinfo(np.int64).min // 2], at[:-1]))
+        starts = at[at - before > quiet]
+        rows = pd.concat(firsts).drop_duplicates("_at")
+        newest = int(max(at[-1], before[0]))
+        state.update((newest,))
+        state.setTimeoutTimestamp(max(newest // 1000 + quiet // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[rows["_at"].isin(starts)].sort_values("_at").drop(columns="_at")
+
+    return run
+
+
 def milestones(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     progress, announced_at = state.get if state.exists else (0, None)
     firsts: dict[int, tuple] = {}

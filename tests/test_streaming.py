@@ -136,6 +136,21 @@ def test_outages_and_duplicates(spark, tmp_path):
     assert rows(got, "server_name") == [("a",), ("b",)]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_duplicates_do_not_depend_on_the_batches(spark, tmp_path, parts):
+    moments = [("ab"[i % 2], START + timedelta(minutes=17 * i * (1 + i % 5))) for i in range(60)]
+    moments += [("a", START), ("c", START + timedelta(minutes=1)), ("c", START + timedelta(minutes=61))]
+    moments.sort(key=lambda m: m[1])
+    last, want = {}, []
+    for key, moment in moments:
+        if key not in last or moment - last[key] > timedelta(hours=1):
+            want.append((key, moment))
+        last[key] = moment
+    got = through(spark, moments, "server_name string, ts timestamp_ntz", tmp_path / str(parts),
+                  lambda s: jobs.suppress_duplicates(s, ["server_name"], "ts"), parts)
+    assert rows(got, "server_name", "ts") == sorted(want, key=repr)
+
+
 def test_probe_failures(spark):
     probes = frame(spark, [("s1", START, True), ("s2", START, False)], "server_name string, probed_at timestamp_ntz, answered boolean")
     assert rows(logs.probe_failures(probes), "line") == [("s2 : 2024-01-01 00:00:00 - Request Timed Out",)]

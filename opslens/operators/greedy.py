@@ -11,9 +11,8 @@ the key is cut into time buckets:
    last kept time before each bucket;
 3. each bucket, now knowing where it starts, keeps its rows.
 
-Steps 1 and 3 run per key and bucket; only the step tables meet per key. The
-width of the buckets follows from the busiest hour of any key, so that a bucket
-holds about a set number of rows however uneven the keys are.
+Steps 1 and 3 run per key and bucket, on one row per time; only the step tables
+meet per key. The width of the buckets is a parameter.
 """
 
 from __future__ import annotations
@@ -91,18 +90,7 @@ def _keep(gap: int):
     return run
 
 
-HOUR = 3600
-ROWS_PER_BUCKET = 500_000
-
-
-def bucket_seconds(rows: DataFrame, gap_seconds: int) -> int:
-    """Width at which the busiest key fills a bucket with about the set number of rows.
-
-    Only the count of the busiest hour comes to the driver.
-    """
-    per_hour = rows.groupBy("_key", F.floor(F.col("_at") / (HOUR * _MICRO))).agg(F.count("*").alias("n"))
-    busiest = per_hour.agg(F.max("n")).first()[0] or 1
-    return max(gap_seconds, HOUR * ROWS_PER_BUCKET // busiest)
+DAY = 86_400
 
 
 def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int,
@@ -110,14 +98,16 @@ def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int
     """Rows of each key at least ``gap_seconds`` after the row kept before them.
 
     ``tie`` (a number) orders rows of equal time and, with the keys and the
-    time, names a row.
+    time, names a row. Only the first row of a time can be kept, so the times are
+    made distinct before they meet in a bucket. Buckets are ``width_seconds`` wide,
+    a day by default and never less than the gap.
     """
     micros: Column = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = df.select(*keys, ts, tie).select(
         F.to_json(F.struct(*keys)).alias("_key"), micros.alias("_at"), F.col(tie).cast("long").alias("_tie"))
-    gap, width = gap_seconds * _MICRO, (width_seconds or bucket_seconds(rows, gap_seconds)) * _MICRO
-    rows = rows.withColumn("_bucket", F.floor(F.col("_at") / width))
-    steps = rows.select("_key", "_bucket", "_at").distinct().groupBy("_key", "_bucket").applyInPandas(
+    gap, width = gap_seconds * _MICRO, max(width_seconds or DAY, gap_seconds) * _MICRO
+    rows = rows.groupBy("_key", "_at").agg(F.min("_tie").alias("_tie")).withColumn("_bucket", F.floor(F.col("_at") / width))
+    steps = rows.select("_key", "_bucket", "_at").groupBy("_key", "_bucket").applyInPandas(
         _steps(gap), "_key string, _bucket long, _first long, _end long")
     before = steps.groupBy("_key").applyInPandas(
         _fold(gap), "_key string, _bucket long, _before long")

@@ -82,10 +82,15 @@ def test_keep_gap_equals_greedy(spark, width):
     assert rows(greedy.keep_gap(df, ["k"], "t", "id", 60, width)) == sorted(want, key=repr)
 
 
-def test_bucket_width_follows_the_busiest_hour(spark):
-    many = spark.range(1000).select(F.lit("k").alias("_key"), (F.col("id") * 1000).alias("_at"))
-    assert greedy.bucket_seconds(many, 60) == 3600 * greedy.ROWS_PER_BUCKET // 1000
-    assert greedy.bucket_seconds(many.limit(0), 60) == 3600 * greedy.ROWS_PER_BUCKET
+def test_a_burst_in_one_second_keeps_one_row(spark):
+    burst = frame(spark, [("hot", START, n) for n in range(2000)] + [("a", START, 1)], "k string, t timestamp_ntz, id int")
+    assert rows(greedy.keep_gap(burst, ["k"], "t", "id", 60).select("k", "id")) == [("a", 1), ("hot", 0)]
+
+
+def test_a_long_interval_takes_few_blocks(spark):
+    from opslens.operators import joins
+    year = spark.range(1).select(F.size(joins._blocks(F.lit(1_700_000_123), F.lit(1_731_536_129))).alias("n"))
+    assert year.first()["n"] <= 64
 
 
 def test_forest(spark):

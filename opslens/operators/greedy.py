@@ -90,7 +90,7 @@ def _keep(gap: int):
     return run
 
 
-DAY = 86_400
+MONTH = 30 * 86_400
 
 
 def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int,
@@ -100,12 +100,12 @@ def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int
     ``tie`` (a number) orders rows of equal time and, with the keys and the
     time, names a row. Only the first row of a time can be kept, so the times are
     made distinct before they meet in a bucket. Buckets are ``width_seconds`` wide,
-    a day by default and never less than the gap.
+    30 days by default and never less than the gap.
     """
     micros: Column = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = df.select(*keys, ts, tie).select(
         F.to_json(F.struct(*keys)).alias("_key"), micros.alias("_at"), F.col(tie).cast("long").alias("_tie"))
-    gap, width = gap_seconds * _MICRO, max(width_seconds or DAY, gap_seconds) * _MICRO
+    gap, width = gap_seconds * _MICRO, max(width_seconds or MONTH, gap_seconds) * _MICRO
     rows = rows.groupBy("_key", "_at").agg(F.min("_tie").alias("_tie")).withColumn("_bucket", F.floor(F.col("_at") / width))
     steps = rows.select("_key", "_bucket", "_at").groupBy("_key", "_bucket").applyInPandas(
         _steps(gap), "_key string, _bucket long, _first long, _end long")

@@ -514,8 +514,9 @@ def xe_targets(q):
 
 def alert_events(q):
     return f"""SELECT {srv('user_id')} AS server_name, event_id, ts AS event_time,
-      {big(error_code())} AS error_number, 14 + event_id % 12 AS severity
-    FROM {{events}} WHERE event_type = 'error'"""
+      CASE WHEN event_type = 'error' THEN {big(error_code())} ELSE 0 END AS error_number,
+      CASE WHEN event_type = 'error' THEN 14 + event_id % 12 ELSE event_id % 10 END AS severity
+    FROM {{events}}"""
 
 
 def progress(q):
@@ -565,7 +566,7 @@ def account_spn_lines(q):
       CASE WHEN c_mktsegment = 'FURNITURE' THEN 'Registered ServicePrincipalNames for CN=x:'
         WHEN c_mktsegment = 'MACHINERY' THEN chr(9) || 'MSSQLSvc/OTHER' || {text('c_custkey % 5')} || '.corp:1433'
         ELSE chr(9) || 'MSSQLSvc/' || {_host(q)} || '.corp:' || {text('1433 + c_custkey % 15')} END AS output
-    FROM {{customer}} WHERE c_acctbal > 500"""
+    FROM {{customer}}"""
 
 
 def duplicate_spn_lines(q):
@@ -750,7 +751,7 @@ def objects(q):
       l_orderkey * 8 + {big('l_linenumber')} AS object_id, l_orderkey AS schema_id,
       'obj_' || {text('l_partkey')} AS name,
       CASE l_linenumber WHEN 1 THEN 'U' WHEN 2 THEN 'P' WHEN 3 THEN 'V' ELSE 'TR' END AS type
-    FROM {{lineitem}} l JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey WHERE l_returnflag = 'A'"""
+    FROM {{lineitem}} l JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey"""
 
 
 def role_members(q):
@@ -758,7 +759,7 @@ def role_members(q):
     return f"""SELECT {srv(did)} AS server_name, {db_name(did)} AS database_name,
       {pick('o_orderkey', ['db_owner', 'db_datareader', 'db_datawriter'])} AS role_name,
       CASE WHEN o_orderkey % 97 = 0 THEN 'dbo' ELSE 'user_' || {text('o_orderkey')} END AS member_name
-    FROM {{orders}} WHERE o_orderpriority <> '3-MEDIUM'"""
+    FROM {{orders}}"""
 
 
 def database_permissions(q):
@@ -787,7 +788,7 @@ def encryption_keys(q):
       'TP' || {text(q.idiv('c_custkey', 60) + ' * 4 + c_custkey % 4')} AS encryptor_thumbprint,
       CASE WHEN c_acctbal < 0 THEN 'CERTIFICATE' ELSE 'ASYMMETRIC KEY' END AS encryptor_type,
       'AES' AS key_algorithm, 128 + 64 * (c_custkey % 3) AS key_length
-    FROM {{customer}} WHERE c_mktsegment <> 'BUILDING'"""
+    FROM {{customer}}"""
 
 
 def certificates(q):

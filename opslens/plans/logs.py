@@ -79,8 +79,11 @@ def parse_events(xe: DataFrame, column: str = "event_xml", name: str | None = No
 
     The parse is the output of a generator, which filters on its fields cannot
     be pushed through; as a plain column it would be parsed again for each
-    filter. A wanted ``name`` is looked for in the text before the parse.
+    filter. A wanted ``name`` is looked for in the text before the parse. Rows that
+    a reader has parsed already (with ``event``) are only filtered.
     """
+    if column not in xe.columns and "event" in xe.columns:
+        return xe if name is None else xe.filter(F.col("event_name") == name)
     wanted = xe if name is None else xe.filter(F.col(column).contains(name))
     others = [c for c in xe.columns if c != column]
     rows = wanted.select(*others, F.explode(F.array(xmls.parse(F.col(column), xmls.EVENT))).alias("event"))
@@ -90,7 +93,9 @@ def parse_events(xe: DataFrame, column: str = "event_xml", name: str | None = No
 
 
 def parse_targets(targets: DataFrame) -> DataFrame:
-    """Ring buffer targets to one row per event."""
+    """Ring buffer targets to one row per event; rows that a reader has parsed already stay as they are."""
+    if "target_data" not in targets.columns:
+        return targets
     events = F.explode(xmls.parse(F.col("target_data"), xmls.RING_TARGET)["event"])
     rows = targets.select("server_name", events.alias("event"))
     return (rows.withColumn("event_name", F.col("event")["_name"])
@@ -131,7 +136,9 @@ def health_error_detail(targets: DataFrame) -> DataFrame:
 
 def health_finding(servers: DataFrame, targets: DataFrame) -> DataFrame:
     """One finding per server: whether its health session reported errors."""
-    hits = (parse_targets(targets.filter(F.col("target_data").contains("error_reported")))
+    if "target_data" in targets.columns:  # most documents need not be parsed
+        targets = targets.filter(F.col("target_data").contains("error_reported"))
+    hits = (parse_targets(targets)
             .filter("event_name = 'error_reported'").select("server_name").distinct().withColumn("_hit", F.lit(True)))
     return servers.select("server_name").distinct().join(hits, "server_name", "left").select(
         "server_name", F.lit(CATEGORY).alias("category"), F.lit("SystemHealth_Errors").alias("check"),

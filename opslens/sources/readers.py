@@ -88,11 +88,16 @@ def per_database(df: DataFrame, database: str | None = None) -> DataFrame:
 
 
 def read_xe(spark: SparkSession, path: str) -> DataFrame:
-    """Extended-event files (wildcards allowed): one row per event, parsed once."""
+    """Extended-event files (wildcards allowed): one row per event, parsed once.
+
+    ``server_name`` comes from a folder ``server_name=...``. The reports on events take
+    these rows as well as documents in a column.
+    """
     rows = spark.read.format("xml").option("rowTag", "event").schema(xmls.EVENT_COLUMNS).load(path)
+    rows = rows.withColumn("server_name", server_of(F.col("_metadata.file_path")))
     event = F.struct(*[F.col(c) for c in ("_name", "_timestamp", "data", "action")])
     return (rows.withColumn("event", event).withColumn("event_name", F.col("_name"))
-            .withColumn("event_time", xmls.event_time(F.col("event"))).select("event", "event_name", "event_time"))
+            .withColumn("event_time", xmls.event_time(F.col("event"))).select("server_name", "event", "event_name", "event_time"))
 
 
 def read_ring_buffer(spark: SparkSession, path: str) -> DataFrame:
@@ -181,10 +186,11 @@ def directory_listing(lines: DataFrame) -> DataFrame:
 
 
 def read_file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder with size and time; their content is never read."""
+    """Files below a folder with size and time, and their server; their content is never read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", pattern).load(path))
-    return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
+    return files.select(server_of(F.col("path")).alias("server_name"), "path", "length",
+                        F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
 # Fixed value: how the first line of a counter file begins.

@@ -47,6 +47,25 @@ def test_event_files(spark, tmp_path):
     assert readers.read_ring_buffer(spark, f"{tmp_path}/ring.xml").count() == 1
 
 
+def test_readers_feed_the_reports(spark, tmp_path):
+    from opslens.plans import availability, logs
+    event = ('<event name="{name}" timestamp="2024-01-31T10:00:0{n}.000Z"><data name="error_number"><value>{n}</value></data>'
+             '<data name="message"><value>error_reported here</value></data></event>')
+    for server, name in (("SRV1", "error_reported"), ("SRV2", "wait_info")):
+        folder = tmp_path / f"server_name={server}"
+        folder.mkdir()
+        (folder / "health.xml").write_text("<events>" + event.format(name=name, n=3) + event.format(name=name, n=4) + "</events>")
+    xe = readers.read_xe(spark, f"{tmp_path}/*/health.xml")
+    assert rows(availability.ha_errors(xe, "2024-01-31 12:00:00"), "server_name", "error_number") == [("SRV1", 3), ("SRV1", 4)]
+    assert rows(logs.health_error_detail(xe), "server_name", "error_number") == [("SRV1", 3), ("SRV1", 4)]
+    servers = frame(spark, [("SRV1",), ("SRV2",)], "server_name string")
+    assert rows(logs.health_finding(servers, xe), "server_name", "deviation") == [
+        ("SRV1", "[WARNING: System Health Session contains important messages.]"), ("SRV2", "[OK]")]
+    target = "<RingBufferTarget>" + event.format(name="wait_info", n=1) + "</RingBufferTarget>"
+    targets = frame(spark, [("SRV2", target)], "server_name string, target_data string")
+    assert logs.health_finding(servers, targets).filter("deviation <> '[OK]'").count() == 0
+
+
 def test_error_logs_with_archives(spark, tmp_path):
     import os
     (tmp_path / "ERRORLOG").write_text("2024-01-31 10:00:00.12 spid5s      Error: 823, Severity: 24.\n\tcontinued\n")

@@ -10,10 +10,12 @@ Rarity comes from a table of 2^24 hashed counts over all lines, kept as one byte
 16 MB whatever the corpus. A word whose count is one is in no other line and is not
 looked up at all.
 
-Equal sets are one class, of which the earliest line stays. For a class it is enough to
-find one earlier similar line, so a prefix word first pairs its earliest line with all
-others; only lines that are still open are then compared with the rest of the group. A
-group of near copies is settled by its first line and never paired up.
+Equal sets are one class, of which the earliest line stays; classes are numbered in the
+order of these lines, so that the smaller number is the earlier line. A pair that shares
+a prefix word is dropped before its sets are fetched unless 128-bit images of the two sets
+allow the overlap. For a class it is enough to find one earlier similar line. So a word of
+more than ``CROWD`` lines first pairs its earliest line with all others, and only lines
+that are still open meet the rest: a group of near copies is settled by its first line.
 
 Defined cases: a null or empty text has no lines; a line with fewer than ``least`` words
 is left alone; rows with the same id and text are one document and give one row; texts
@@ -26,16 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opslens.llm.common import bounded_batches, written
-from opslens.llm.shingles import folded, mixed, placed_words
+from opslens.llm.shingles import folded, placed_words
 
 BUCKETS, CHUNK = 1 << 24, 1 << 16
 #: Linked when SCALE * overlap >= SHARE * (size + size): a similarity of 4 / 5.
 SCALE, SHARE = 9, 4
 LEAST = 3
-SEED = np.uint64(0x9E3779B97F4A7C15)
+CROWD = 64
+CROWD_LEVEL = 8 * 6  # the level of a count of 64
 
 
 def line_sets(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +77,7 @@ def rarity(documents: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                _, _, words = line_sets(text)
+                words, _ = placed_words(folded(text))  # every occurrence: never fewer than the lines that hold the word
                 seen.append((words & np.uint64(BUCKETS - 1)).astype(np.uint32))
                 size += len(words)
                 if size > 4_000_000:
@@ -100,7 +103,8 @@ def rarity(documents: DataFrame) -> np.ndarray:
     return table
 
 
-LINE = "doc_id long, text_hash long, line long, n long, node long, check long, keys array<long>, places array<int>"
+LINE = ("doc_id long, text_hash long, line long, n long, node long, low long, high long, keys array<long>, places array<int>, "
+        "crowded array<boolean>")
 
 
 def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -111,7 +115,8 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
     spark = documents.sparkSession
     levels = spark.sparkContext.broadcast(rarity(documents))  # 2^24 bytes
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("node", pa.int64()),
-                        ("check", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+                        ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
+                        ("crowded", pa.list_(pa.bool_()))])
 
     def of(text: str | None, level: np.ndarray):
         line, start, words = line_sets(text)
@@ -119,7 +124,10 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
             return None
         n = np.diff(np.append(start, len(words)))
         node = np.add.reduceat(words, start).astype(np.int64)
-        check = np.add.reduceat(mixed(words + SEED), start).astype(np.int64)
+        bit = words >> np.uint64(57)  # 7 bits that the buckets do not use
+        one = np.uint64(1) << (bit & np.uint64(63))
+        low = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), start).astype(np.int64)
+        high = np.bitwise_or.reduceat(np.where(bit < 64, np.uint64(0), one), start).astype(np.int64)
         which = np.repeat(np.arange(len(line)), n)
         common = level[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
         order = np.lexsort((words, common, which))
@@ -127,7 +135,8 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
         prefix = n - (SHARE * n + SCALE - SHARE - 1) // (SCALE - SHARE) + 1
         keep = (place < prefix[which]) & (common[order] > 1) & (n[which] >= least)
         kept = np.bincount(which[keep], minlength=len(line))
-        return line, n, node, check, kept, words[order][keep].astype(np.int64), place[keep].astype(np.int32)
+        return (line, n, node, low, high, kept, words[order][keep].astype(np.int64), place[keep].astype(np.int32),
+                common[order][keep] > CROWD_LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -136,45 +145,46 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
             for i, text in enumerate(batch.column(2).to_pylist()):
                 own = of(text, level)
                 if own is None:
-                    own = (np.full(1, -1), *[np.zeros(1, dtype=np.int64)] * 3, np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
+                    own = (np.full(1, -1), *[np.zeros(1, dtype=np.int64)] * 5, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool))
                 found.append(own)
                 row.append(np.full(len(own[0]), i))
             if not found:
                 continue
-            line, n, node, check, kept, keys, places = [np.concatenate(c) for c in zip(*found, strict=True)]
+            line, n, node, low, high, kept, keys, places, crowded = [np.concatenate(c) for c in zip(*found, strict=True)]
             row = pa.array(np.concatenate(row))
             offsets = pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32())
             short = n < least
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(line, pa.int64(), mask=line < 0), pa.array(n, pa.int64()),
-                 pa.array(node, pa.int64(), mask=short), pa.array(check, pa.int64(), mask=short),
-                 pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32()))], schema=schema)
+                 pa.array(node, pa.int64(), mask=short), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
+                 pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32())),
+                 pa.ListArray.from_arrays(offsets, pa.array(crowded, pa.bool_()))], schema=schema)
 
     return _keyed(documents).mapInArrow(run, LINE)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    lines = (classes.join(wanted, "node", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-             .agg(F.collect_list(F.struct("line", "node")).alias("lines")))
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    lines = (classes.join(wanted, "id", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+             .agg(F.collect_list(F.struct("line", "id")).alias("lines")))
     texts = _keyed(documents).join(lines, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, items = [], []
+            ids, items = [], []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 line, start, words = line_sets(text)
                 stop = np.append(start[1:], len(words))
                 for one in asked:
                     i = int(np.searchsorted(line, one["line"]))
-                    nodes.append(one["node"])
+                    ids.append(one["id"])
                     items.append(words[start[i]:stop[i]].tobytes())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], names=["node", "items"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["id", "items"])
 
-    table = written(texts.select("text", "lines").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "line-sets")
-    left = table.select(F.col("node").alias("a"), F.col("items").alias("left"))
-    right = table.select(F.col("node").alias("b"), F.col("items").alias("right"))
+    table = written(texts.select("text", "lines").mapInArrow(sets, "id long, items binary").dropDuplicates(["id"]), "line-sets")
+    left = table.select(F.col("id").alias("a"), F.col("items").alias("left"))
+    right = table.select(F.col("id").alias("b"), F.col("items").alias("right"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,37 +199,22 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(link, "a long, b long")
 
 
-def _possible(n, place, other_n, other_place):
-    """The length filter and the positional filter; works on columns and on arrays."""
-    total = (n + other_n) * SHARE
-    return (total <= SCALE * n) & (total <= SCALE * other_n) & (total <= SCALE * (n - place)) & (total <= SCALE * (other_n - other_place))
-
-
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, place, open) sorted by key and order: every open line with the earlier ones, the first left out."""
-    def pairs(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(group)
-        node, n, place, open_ = [table[c].to_numpy() for c in ("node", "n", "place", "open")]
-        for j in np.flatnonzero(open_):
-            if j > 1:
-                hit = 1 + np.flatnonzero(_possible(n[1:j], place[1:j], n[j], place[j]))
-                if len(hit):
-                    yield pa.record_batch([pa.array(node[hit]), pa.array(np.full(len(hit), node[j]))], names=["a", "b"])
-
-    open_, key = [], None
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        if not len(keys):
-            continue
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            if open_ and keys[start] != key:
-                yield from pairs(open_)
-                open_ = []
-            key = keys[start]
-            open_.append(batch.slice(start, stop - start))
-    if open_:
-        yield from pairs(open_)
+def _possible(a: str, b: str) -> Column:
+    """The length filter, the positional filter and the bound by the images of the two sets, for columns of two lines."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    total = (c(a, "n") + c(b, "n")) * SHARE
+
+    def only(x: str, y: str) -> Column:  # words of x that y cannot hold
+        return sum((F.bit_count(c(x, i).bitwiseAND(F.bitwise_not(c(y, i)))) for i in ("low", "high")), F.lit(0))
+
+    return ((total <= SCALE * (c(a, "n") - c(a, "place"))) & (total <= SCALE * (c(b, "n") - c(b, "place")))
+            & (total <= SCALE * (c(a, "n") - only(a, b))) & (total <= SCALE * (c(b, "n") - only(b, a))))
+
+
+def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with a common prefix word, the earlier one first, that pass the filters."""
+    met = earlier.alias("a").join(later.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _possible("a", "b"))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 ORDER = ["doc_id", "text_hash", "line"]
@@ -230,24 +225,21 @@ def judged(documents: DataFrame, least: int = LEAST) -> DataFrame:
     bounded_batches(documents.sparkSession)
     table = written(line_table(documents, least), "line-table")
     whole = table.filter("node is not null")
-    first = F.min(F.struct(*ORDER, "n", "check", "keys", "places")).alias("first")
-    classes = written(whole.groupBy("node").agg(first).select("node", "first.*"), "line-classes")
-    posted = classes.select("node", "n", *ORDER, F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    posted = posted.select("node", "n", *ORDER, F.col("k.keys").alias("key"), F.col("k.places").alias("place"))
-    of_key = Window.partitionBy("key")
-    earliest = F.min(F.struct(*ORDER, "node", "n", "place")).over(of_key)
-    met = posted.withColumn("met", F.count(F.lit(1)).over(of_key)).withColumn("first", earliest).filter("met > 1")
-    met = written(met, "line-met")
-    stars = met.filter((F.col("node") != F.col("first.node")) & _possible(F.col("n"), F.col("place"), F.col("first.n"), F.col("first.place")))
-    stars = written(stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "line-stars")
-    gone = written(verified(stars, classes, documents).select(F.col("b").alias("node")).distinct(), "line-gone")
-    rest = met.filter("met > 2").join(gone.withColumn("gone", F.lit(True)), "node", "left").withColumn("open", F.col("gone").isNull())
-    asked = rest.filter(F.col("open") & (F.col("node") != F.col("first.node"))).select("key").distinct()
-    rest = rest.join(asked, "key", "left_semi").select("key", "node", "n", "place", "open", *ORDER)
-    more = rest.repartition("key").sortWithinPartitions("key", *ORDER).mapInArrow(_rest, "a long, b long").distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "line-more")
-    gone = gone.unionByName(written(verified(more, classes, documents).select(F.col("b").alias("node")).distinct(), "line-gone")).distinct()
-    stays = classes.join(gone, "node", "left_anti").select("node", *[F.col(c).alias(f"first_{c}") for c in ORDER])
+    first = F.min(F.struct(*ORDER, "n", "low", "high", "keys", "places", "crowded")).alias("first")
+    ordered = whole.groupBy("node").agg(first).select("node", "first.*")
+    ordered = ordered.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    classes = written(ordered.withColumn("id", F.monotonically_increasing_id()), "line-classes")  # numbered in order
+    posted = classes.select("id", "n", "low", "high", F.explode(F.arrays_zip("keys", "places", "crowded")).alias("k"))
+    posted = posted.select("id", "n", "low", "high", F.col("k.keys").alias("key"), F.col("k.places").alias("place"), F.col("k.crowded").alias("crowded"))
+    of = ["key", "id", "n", "place", "low", "high"]
+    crowd, few = written(posted.filter("crowded").select(*of), "line-crowds"), posted.filter("not crowded").select(*of)
+    leader = crowd.groupBy("key").agg(F.min(F.struct("id", "n", "place", "low", "high")).alias("s")).select("key", "s.*")
+    stars = written(_pairs(leader, crowd), "line-stars")
+    gone = written(verified(stars, classes, documents).select(F.col("b").alias("id")).distinct(), "line-gone")
+    more = written(_pairs(crowd, crowd.join(gone, "id", "left_anti")).unionByName(_pairs(few, few)).distinct(), "line-more")
+    more = more.join(stars, ["a", "b"], "left_anti")
+    gone = gone.unionByName(written(verified(more, classes, documents).select(F.col("b").alias("id")).distinct(), "line-gone")).distinct()
+    stays = classes.join(gone, "id", "left_anti").select("node", *[F.col(c).alias(f"first_{c}") for c in ORDER])
     own = whole.join(stays, "node", "left")
     same = F.col("first_line").isNotNull()
     for c in ORDER:

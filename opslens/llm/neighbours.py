@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opslens.llm.common import written
@@ -47,31 +48,73 @@ def points(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.stack(column.to_numpy())
+    """Vectors of one length, from their bytes."""
+    return np.frombuffer(b"".join(column), dtype="<f8").reshape(len(column), -1)
 
 
-def _near(node: np.ndarray, x: np.ndarray, k: np.ndarray) -> pd.DataFrame:
-    """The nearest of a block for each member: as many as its list holds, and all above the threshold."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, arrays of doubles, as bytes."""
+    for batch in batches:
+        units = batch.column(batch.num_columns - 1)
+        packed = [np.asarray(u.values, dtype="<f8").tobytes() for u in units]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=batch.schema.names)
+
+
+PAIR = "a long, b long, similarity double"
+MEMBER = ["first_key", "second_key", "node", "k", "worst", "unit"]
+
+
+def _near(node: np.ndarray, k: np.ndarray, worst: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each member of a block the others that would enter its list: at most as many as that holds."""
     similar = x @ x.T
     np.fill_diagonal(similar, -2.0)
     take = min(len(node) - 1, int(k.max()))
     if take < 1:
-        return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        return node[:0], node[:0], similar[0, :0]
     best = np.argpartition(-similar, take - 1, axis=1)[:, :take]
     rows = np.repeat(np.arange(len(node)), take)
     columns = best.ravel()
-    return pd.DataFrame({"a": node[rows], "b": node[columns], "similarity": similar[rows, columns]})
-
-
-PAIR = "a long, b long, similarity double"
-
-
-def _leaf(frame: pd.DataFrame) -> pd.DataFrame:
-    found = []
-    for _, same in frame.groupby(frame["unit"].map(len)):
-        if len(same) > 1:
-            found.append(_near(same["node"].to_numpy(), _matrix(same["unit"]), same["k"].to_numpy()))
-    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "similarity": []})
+    found = similar[rows, columns]
+    better = found > worst[rows]
+    return node[rows[better]], node[columns[better]], found[better]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``MEMBER`` sorted by the two keys: what the members of each block propose to one another."""
+    def proposed(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, k, worst = (block[c].to_numpy() for c in ("node", "k", "worst"))
+        return _near(node, k, worst, _matrix(block["unit"].to_pylist()))
+
+    def batch_of(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+                               names=["a", "b", "similarity"])
+
+    open_, key, found, size = [], None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1, [len(one)]))
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if open_ and (one[start], two[start]) != key:
+                found.append(proposed(pa.Table.from_batches(open_)))
+                size += len(found[-1][0])
+                open_ = []
+                if size > 100_000:
+                    yield batch_of(found)
+                    found, size = [], 0
+            key = (one[start], two[start])
+            open_.append(batch.slice(start, stop - start))
+    if open_:
+        found.append(proposed(pa.Table.from_batches(open_)))
+    if found:
+        yield batch_of(found)
+
+
+def _proposals(members: DataFrame) -> DataFrame:
+    keys = MEMBER[:2]
+    return members.select(*MEMBER).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_met, PAIR)
 
 
 def _bits(dimensions: int, bits: int, seed: int) -> np.ndarray:
@@ -82,36 +125,38 @@ def _started(table: DataFrame, k: int, tables: int, leaf: int, seed: int) -> Dat
     """First neighbours: members of the same hyperplane leaf, for several sets of hyperplanes.
 
     The number of hyperplanes follows from the size of the label; a leaf that is still
-    larger than the bound is dealt into blocks by hash.
+    larger than the bound is dealt into blocks by hash. A label is told by a hash of it
+    and of the vectors' length.
     """
-    sizes = table.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    sizes = table.groupBy("kind").agg(F.count(F.lit(1)).alias("members"))
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("members") / leaf)), F.lit(0)), F.lit(40)).cast("int")
-    sized = table.join(sizes.select("label", bits.alias("bits")), "label")
+    sized = table.join(sizes.select("kind", bits.alias("bits")), "kind")
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for length, same in frame.groupby(frame["unit"].map(len)):
-                x, b = _matrix(same["unit"]), same["bits"].to_numpy()
+            for length, same in frame.groupby("dimensions"):
+                x, b = _matrix(list(same["unit"])), same["bits"].to_numpy()
                 for t in range(tables):
                     on = x @ _bits(int(length), 40, seed + t).T > 0
                     code = (on & (np.arange(40)[None, :] < b[:, None])) @ (1 << np.arange(40, dtype=np.int64))
-                    out.append(pd.DataFrame({"node": same["node"], "label": same["label"], "side": t, "cell": code}))
+                    out.append(pd.DataFrame({"node": same["node"], "kind": same["kind"], "side": t, "cell": code}))
             if out:
                 yield pd.concat(out)
 
-    schema = "node long, label {}, side int, cell long".format(table.schema["label"].dataType.simpleString())
-    celled = written(sized.select("node", "label", "unit", "bits").mapInPandas(cells, schema), "nn-cells")
-    crowd = celled.groupBy("label", "side", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("deals"))
-    dealt = celled.join(crowd, ["label", "side", "cell"]).withColumn("deal", F.pmod(F.xxhash64(F.lit(seed), "side", "node"), F.col("deals")))
-    dealt = dealt.join(table.select("node", "unit"), "node").withColumn("k", F.lit(k))
-    return dealt.groupBy("label", "side", "cell", "deal").applyInPandas(lambda f: _leaf(f), PAIR)
+    celled = sized.select("node", "kind", "dimensions", "unit", "bits").mapInPandas(cells, "node long, kind long, side int, cell long")
+    celled = written(celled, "nn-cells")
+    crowd = celled.groupBy("kind", "side", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("deals"))
+    deal = F.pmod(F.xxhash64(F.lit(seed), "side", "node"), F.col("deals"))
+    dealt = celled.join(crowd, ["kind", "side", "cell"]).select(
+        "node", F.xxhash64("kind", "side").alias("first_key"), (F.col("cell") * (1 << 23) + deal).alias("second_key"))
+    return _proposals(dealt.join(table.select("node", "unit"), "node").withColumn("k", F.lit(k)).withColumn("worst", F.lit(-2.0)))
 
 
 def _best(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """The nearest of each point, as many as its list holds."""
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    both = pairs.join(lists, F.col("a") == F.col("node")).drop("node")
+    both = pairs.join(lists.select("node", "k"), F.col("a") == F.col("node")).drop("node")
     return both.withColumn("place", F.row_number().over(order)).filter("place <= k").drop("place", "k")
 
 
@@ -119,33 +164,36 @@ def edges(vectors: DataFrame, threshold: float = THRESHOLD, k: int = 10, rounds:
           leaf: int = 48, block: int = 256, longest: int = 160, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, classes, links): links (a, b) between classes of equal vectors, a < b, all verified in doubles.
 
-    Rounds end early when one adds no link and no list is saturated anew.
+    Rounds end early when one adds no link.
     """
     table = written(points(vectors), "nn-points")
-    classes = written(table.groupBy("node").agg(F.min(F.struct("label", "unit")).alias("p"), F.count(F.lit(1)).alias("copies"))
-                      .select("node", "p.*", "copies"), "nn-classes")
+    kind = F.xxhash64("p.label", F.size("p.unit"))
+    classes = table.groupBy("node").agg(F.min(F.struct("label", "unit")).alias("p"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("node", kind.alias("kind"), F.size("p.unit").alias("dimensions"), "copies", "p.unit")
+    classes = written(classes.mapInArrow(_packed, "node long, kind long, dimensions int, copies long, unit binary"), "nn-classes")
     unit = classes.select("node", "unit")
     both_ways = lambda p: p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    nearest = lambda p: p.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     lists = classes.select("node", F.lit(k).alias("k"))
-    found = written(_started(classes, k, tables, leaf, seed).distinct(), "nn-start")
+    found = written(nearest(both_ways(_started(classes, k, tables, leaf, seed))), "nn-start")
     links = written(_links(found, threshold), "nn-links")
-    graph = written(_best(both_ways(found).distinct(), lists), "nn-graph")
+    graph = written(_best(found, lists), "nn-graph")
     before = links.count()
     for i in range(rounds):
         full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("held"), F.min("similarity").alias("least"))
         grown = lists.join(full, F.col("node") == F.col("a"), "left")
-        saturated = (F.col("held") >= F.col("k")) & (F.col("least") >= threshold)
-        lists = written(grown.select("node", F.when(saturated, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k")), "nn-lists")
+        is_full = F.col("held") >= F.col("k")
+        saturated = is_full & (F.col("least") >= threshold)
+        lists = written(grown.select("node", F.when(saturated, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k"),
+                                     F.when(is_full & ~saturated, F.col("least")).otherwise(-2.0).alias("worst")), "nn-lists")
         around = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(graph.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
-        around = around.unionByName(classes.select(F.col("node").alias("at"), "node"))
-        around = written(around, "nn-around")
+        around = written(around.unionByName(classes.select(F.col("node").alias("at"), "node")), "nn-around")
         crowd = around.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / block).alias("deals"))
-        dealt = around.join(crowd, "at").withColumn("deal", F.pmod(F.xxhash64(F.lit(seed + i), "at", "node"), F.col("deals")))
-        met = dealt.join(unit, "node").join(lists, "node")
-        proposed = met.groupBy("at", "deal").applyInPandas(lambda f: _leaf(f), PAIR)
-        proposed = written(proposed.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "nn-proposed")
+        deal = F.pmod(F.xxhash64(F.lit(seed + i), "at", "node"), F.col("deals"))
+        dealt = around.join(crowd, "at").select("node", F.col("at").alias("first_key"), deal.alias("second_key"))
+        proposed = written(nearest(_proposals(dealt.join(unit, "node").join(lists, "node"))), "nn-proposed")
         links = written(links.unionByName(_links(proposed, threshold)).distinct(), "nn-links")
-        graph = written(_best(graph.unionByName(both_ways(proposed)).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), lists), "nn-graph")
+        graph = written(_best(nearest(graph.unionByName(both_ways(proposed))), lists), "nn-graph")
         now = links.count()
         if now == before:
             break
@@ -172,14 +220,12 @@ def _completed(classes: DataFrame, links: DataFrame, lists: DataFrame, k: int, t
     sent = own.withColumn("meets", F.explode(others)).select("root", "meets.*", "own", "node", "unit")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, same in frame.groupby(frame["unit"].map(len)):
-            left, right = same[same["own"] == same["first"]], same[same["own"] == same["last"]]
-            if len(left) and len(right):
-                i, j = np.nonzero(_matrix(left["unit"]) @ _matrix(right["unit"]).T >= threshold)
-                a, b = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
-                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates())
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
+        left, right = frame[frame["own"] == frame["first"]], frame[frame["own"] == frame["last"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        i, j = np.nonzero(_matrix(list(left["unit"])) @ _matrix(list(right["unit"])).T >= threshold)
+        a, b = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
 
     inside = sent.groupBy("root", "first", "last").applyInPandas(compare, "a long, b long")
     return links.unionByName(inside).distinct()

@@ -1,16 +1,24 @@
 """Embedding near-duplicates by NN-descent.
 
-Only vectors with equal labels are compared. Every vector starts with neighbours from a
-few random hyperplane leaves. Then, round after round, each vector proposes its
+Only vectors with equal labels are compared. Every vector starts with neighbours from
+random hyperplane leaves; the more hyperplanes a label needs, the more sets of them, so
+that a pair at the threshold shares a leaf as often. Then, round after round, each vector proposes its
 neighbours (in both directions) to one another, a join on the vector they share: what is
 near a neighbour tends to be near itself. Lists hold the ``k`` nearest; a list in which
 all are above the threshold is saturated, and it may hold twice as many from the next
-round on. Every pair found at or above the threshold is an edge.
+round on. Every pair found at or above the threshold is an edge. Rounds go on until no
+list changes; only vectors with a new neighbour, or with one whose list has grown, propose.
 
 A crowd of near copies would need lists as long as the crowd. So when the rounds end,
 saturated lists are enlarged to what they stand for: inside a component of edges that
 holds a saturated list all members are compared, in blocks of bounded size, so that
-counts of links are whole there. ``audit`` compares a fixed set of vectors with all rows.
+counts of links are whole there.
+
+The recall is measured before links are given out: of each label, every 50th id (by hash
+about ``asked`` of these where there are more) is compared with the whole label. A label
+short of ``recall`` gets further tables, twice as many each time, and rounds of its own;
+one that is short after ``passes`` of these is compared whole, block by block. The links
+the measurement meets are not added, so that it says something about all the others.
 
 Hubs are split: the lists that meet at a vector are dealt into blocks of at most
 ``block`` members; every vector with its own nearest is in all of them. Equal vectors
@@ -24,6 +32,7 @@ repeated ids are points of their own that share an id; extra columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pandas as pd
@@ -34,6 +43,11 @@ from opslens.llm.common import written
 from opslens.llm.components import components
 
 THRESHOLD = 0.93
+RECALL = 0.99
+#: How often a pair at the threshold shares a first leaf; a label of 2,000 needs 6 tables for that.
+MEET = 0.977
+MOST_BITS = 40
+PASS = 1 << 20  # seeds between two passes
 
 
 def points(vectors: DataFrame) -> DataFrame:
@@ -121,30 +135,36 @@ def _bits(dimensions: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimensions]).normal(size=(bits, dimensions))
 
 
-def _started(table: DataFrame, k: int, tables: int, leaf: int, seed: int) -> DataFrame:
+def _tables(threshold: float, least: int) -> list[int]:
+    """For each number of hyperplanes how many sets of them let a pair at the threshold meet with odds ``MEET``."""
+    same_side = 1 - acos(min(1.0, max(-1.0, threshold))) / pi
+    together = [same_side ** bits for bits in range(MOST_BITS + 1)]
+    return [max(least, ceil(log(1 - MEET) / log(1 - p)) if 0 < p < 1 else 1) for p in together]
+
+
+def _started(table: DataFrame, k: int, threshold: float, tables: int, leaf: int, seed: int, times: int = 1) -> DataFrame:
     """First neighbours: members of the same hyperplane leaf, for several sets of hyperplanes.
 
-    The number of hyperplanes follows from the size of the label; a leaf that is still
-    larger than the bound is dealt into blocks by hash. A label is told by a hash of it
+    The number of hyperplanes follows from the size of the label, and the number of sets,
+    ``tables`` or more, from that of hyperplanes; a leaf that is still larger than the bound is dealt into blocks by hash. A label is told by a hash of it
     and of the vectors' length.
     """
     sizes = table.groupBy("kind").agg(F.count(F.lit(1)).alias("members"))
-    bits = F.least(F.greatest(F.ceil(F.log2(F.col("members") / leaf)), F.lit(0)), F.lit(40)).cast("int")
-    sized = table.join(sizes.select("kind", bits.alias("bits")), "kind")
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("members") / leaf)), F.lit(0)), F.lit(MOST_BITS)).cast("int")
+    wanted = F.element_at(F.array(*[F.lit(times * t) for t in _tables(threshold, tables)]), F.col("bits") + 1)
+    sized = table.join(sizes.select("kind", bits.alias("bits")).withColumn("tables", wanted), "kind")
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for length, same in frame.groupby("dimensions"):
-                x, b = _matrix(list(same["unit"])), same["bits"].to_numpy()
-                for t in range(tables):
-                    on = x @ _bits(int(length), 40, seed + t).T > 0
-                    code = (on & (np.arange(40)[None, :] < b[:, None])) @ (1 << np.arange(40, dtype=np.int64))
-                    out.append(pd.DataFrame({"node": same["node"], "kind": same["kind"], "side": t, "cell": code}))
-            if out:
-                yield pd.concat(out)
-
-    celled = sized.select("node", "kind", "dimensions", "unit", "bits").mapInPandas(cells, "node long, kind long, side int, cell long")
+                x, b, wanted = _matrix(list(same["unit"])), same["bits"].to_numpy(), same["tables"].to_numpy()
+                for t in range(int(wanted.max())):
+                    own = wanted > t
+                    on = x[own] @ _bits(int(length), MOST_BITS, seed + t).T > 0
+                    code = (on & (np.arange(MOST_BITS)[None, :] < b[own, None])) @ (1 << np.arange(MOST_BITS, dtype=np.int64))
+                    yield pd.DataFrame({"node": same["node"][own], "kind": same["kind"][own], "side": t, "cell": code})
+
+    celled = sized.select("node", "kind", "dimensions", "unit", "bits", "tables").mapInPandas(cells, "node long, kind long, side int, cell long")
     celled = written(celled, "nn-cells")
     crowd = celled.groupBy("kind", "side", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("deals"))
     deal = F.pmod(F.xxhash64(F.lit(seed), "side", "node"), F.col("deals"))
@@ -160,45 +180,75 @@ def _best(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(order)).filter("place <= k").drop("place", "k")
 
 
-def edges(vectors: DataFrame, threshold: float = THRESHOLD, k: int = 10, rounds: int = 4, tables: int = 6,
-          leaf: int = 48, block: int = 256, longest: int = 160, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(points, classes, links): links (a, b) between classes of equal vectors, a < b, all verified in doubles.
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
 
-    Rounds end early when one adds no link.
-    """
-    table = written(points(vectors), "nn-points")
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def _classes(table: DataFrame) -> DataFrame:
+    """(node, kind, dimensions, copies, unit): equal vectors of a label as one, the vector as bytes."""
     kind = F.xxhash64("p.label", F.size("p.unit"))
     classes = table.groupBy("node").agg(F.min(F.struct("label", "unit")).alias("p"), F.count(F.lit(1)).alias("copies"))
     classes = classes.select("node", kind.alias("kind"), F.size("p.unit").alias("dimensions"), "copies", "p.unit")
-    classes = written(classes.mapInArrow(_packed, "node long, kind long, dimensions int, copies long, unit binary"), "nn-classes")
-    unit = classes.select("node", "unit")
-    both_ways = lambda p: p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    nearest = lambda p: p.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    lists = classes.select("node", F.lit(k).alias("k"))
-    found = written(nearest(both_ways(_started(classes, k, tables, leaf, seed))), "nn-start")
-    links = written(_links(found, threshold), "nn-links")
-    graph = written(_best(found, lists), "nn-graph")
-    before = links.count()
-    for i in range(rounds):
+    return written(classes.mapInArrow(_packed, "node long, kind long, dimensions int, copies long, unit binary"), "nn-classes")
+
+
+def _refined(unit: DataFrame, graph: DataFrame, links: DataFrame, lists: DataFrame, found: DataFrame, threshold: float, block: int,
+             longest: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(graph, links, lists) after rounds that begin with the pairs found and end when no list changes."""
+    while True:
+        links = written(links.unionByName(_links(found, threshold)).distinct(), "nn-links")
+        before, graph = graph, written(_best(_nearest(graph.unionByName(found)), lists), "nn-graph")
         full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("held"), F.min("similarity").alias("least"))
-        grown = lists.join(full, F.col("node") == F.col("a"), "left")
-        is_full = F.col("held") >= F.col("k")
+        grown = lists.select("node", "k").join(full, F.col("node") == F.col("a"), "left")
+        is_full = F.coalesce(F.col("held") >= F.col("k"), F.lit(False))
         saturated = is_full & (F.col("least") >= threshold)
-        lists = written(grown.select("node", F.when(saturated, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k"),
-                                     F.when(is_full & ~saturated, F.col("least")).otherwise(-2.0).alias("worst")), "nn-lists")
-        around = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(graph.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
-        around = written(around.unionByName(classes.select(F.col("node").alias("at"), "node")), "nn-around")
+        lists = written(grown.select("node", F.when(saturated, F.greatest("k", F.least(F.col("k") * 2, F.lit(longest)))).otherwise(F.col("k")).alias("k"),
+                                     F.when(is_full & ~saturated, F.col("least")).otherwise(-2.0).alias("worst"),
+                                     (saturated & (F.col("k") < longest)).alias("grew")), "nn-lists")
+        around = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(graph.select(F.col("b").alias("at"), F.col("a").alias("node")))
+        around = around.unionByName(unit.select(F.col("node").alias("at"), "node")).distinct()
+        new = graph.join(before, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("at"))
+        longer = around.join(lists.filter("grew").select("node"), "node", "left_semi").select("at")
+        active = written(new.unionByName(longer).distinct(), "nn-active")
+        if not active.count():
+            return graph, links, lists
+        around = written(around.join(active, "at", "left_semi"), "nn-around")
         crowd = around.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / block).alias("deals"))
-        deal = F.pmod(F.xxhash64(F.lit(seed + i), "at", "node"), F.col("deals"))
+        seed += 1
+        deal = F.pmod(F.xxhash64(F.lit(seed), "at", "node"), F.col("deals"))
         dealt = around.join(crowd, "at").select("node", F.col("at").alias("first_key"), deal.alias("second_key"))
-        proposed = written(nearest(_proposals(dealt.join(unit, "node").join(lists, "node"))), "nn-proposed")
-        links = written(links.unionByName(_links(proposed, threshold)).distinct(), "nn-links")
-        graph = written(_best(nearest(graph.unionByName(both_ways(proposed))), lists), "nn-graph")
-        now = links.count()
-        if now == before:
+        proposed = _proposals(dealt.join(unit, "node").join(lists.select("node", "k", "worst"), "node"))
+        found = written(_nearest(_both_ways(written(_nearest(proposed), "nn-proposed"))), "nn-found")
+
+
+def edges(vectors: DataFrame, threshold: float = THRESHOLD, k: int = 10, tables: int = 6, leaf: int = 48, block: int = 256,
+          longest: int = 160, seed: int = 1, recall: float = RECALL, passes: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, classes, links): links (a, b) between classes of equal vectors, a < b, all verified in doubles."""
+    table = written(points(vectors), "nn-points")
+    classes = _classes(table)
+    unit = classes.select("node", "unit")
+    truth = written(_truth(table, classes, threshold), "nn-truth")
+    found = written(_nearest(_both_ways(_started(classes, k, threshold, tables, leaf, seed))), "nn-start")
+    graph, links = found.filter(F.lit(False)), _links(found, threshold).filter(F.lit(False))
+    lists = classes.select("node", F.lit(k).alias("k"))
+    for i in range(passes + 1):
+        graph, links, lists = _refined(unit, graph, links, lists, found, threshold, block, longest, seed + PASS * i)
+        links = written(_completed(unit, graph, links, k, threshold, block), "nn-links")
+        short = written(_short(truth, links, recall), "nn-short")
+        if not short.count():
             break
-        before = now
-    return table, classes, written(_completed(classes, links, lists, k, threshold, block), "nn-links")
+        left = classes.join(short, "kind", "left_semi")
+        if i == passes:
+            inside = _compared(left.select("node", F.col("kind").alias("root")), unit, threshold, block)
+            links = written(links.unionByName(inside).distinct(), "nn-links")
+        else:
+            further = _started(left, k, threshold, tables, leaf, seed + PASS * (i + 1), 2 ** (i + 1))
+            found = written(_nearest(_both_ways(further)), "nn-start")
+    return table, classes, links
 
 
 def _links(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -206,13 +256,18 @@ def _links(pairs: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _completed(classes: DataFrame, links: DataFrame, lists: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
-    """Adds all links inside components that hold a saturated list, comparing their members block by block."""
+def _completed(unit: DataFrame, graph: DataFrame, links: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
+    """Adds all links inside components that hold a saturated list, one of ``k`` links or more."""
     roots = written(components(links), "nn-roots")
-    full = lists.filter(F.col("k") > k).join(roots, "node").select("root").distinct()
-    crowd = roots.join(full, "root", "left_semi")
+    saturated = graph.filter(F.col("similarity") >= threshold).groupBy("a").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= k)
+    full = roots.join(saturated, F.col("node") == F.col("a"), "left_semi").select("root").distinct()
+    return links.unionByName(_compared(roots.join(full, "root", "left_semi"), unit, threshold, block)).distinct()
+
+
+def _compared(crowd: DataFrame, unit: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All links (a, b) between members (node, root) of one root, comparing them block by block."""
     sizes = crowd.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = crowd.join(sizes, "root").join(classes.select("node", "unit"), "node")
+    own = crowd.join(sizes, "root").join(unit, "node")
     own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets every block once: it is sent to the pairs (own, other) with own first or last
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
@@ -227,8 +282,42 @@ def _completed(classes: DataFrame, links: DataFrame, lists: DataFrame, k: int, t
         a, b = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
 
-    inside = sent.groupBy("root", "first", "last").applyInPandas(compare, "a long, b long")
-    return links.unionByName(inside).distinct()
+    return sent.groupBy("root", "first", "last").applyInPandas(compare, "a long, b long")
+
+
+def _truth(table: DataFrame, classes: DataFrame, threshold: float, every: int = 50, asked: int = 4096, block: int = 512, rows: int = 8192) -> DataFrame:
+    """(kind, a, b): the links of every 50th id, found by comparing these queries with their whole label.
+
+    Of a label with more than ``asked`` such vectors about so many are taken, by hash, so the work follows
+    the rows. A pair closer to the threshold than doubles can tell is left out.
+    """
+    queries = classes.join(table.filter(F.col("vec_id") % every == 0).select("node").distinct(), "node", "left_semi")
+    thin = queries.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / asked).alias("thin"))
+    queries = queries.join(thin, "kind").filter(F.pmod(F.xxhash64(F.lit(every), "node"), F.col("thin")) == 0)
+    queries = written(queries.select("kind", "node", "unit"), "nn-queries")
+    parts = classes.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+    own = classes.join(parts, "kind").select("kind", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "unit")
+    sent = queries.join(parts, "kind").select("kind", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "unit")
+
+    def compare(asking: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(all_):
+            return pd.DataFrame({"kind": [], "a": [], "b": []})
+        x, node, out = _matrix(list(all_["unit"])), all_["node"].to_numpy(), []
+        for start in range(0, len(asking), block):
+            q = asking.iloc[start:start + block]
+            i, j = np.nonzero(_matrix(list(q["unit"])) @ x.T >= threshold + 1e-9)
+            a, b = q["node"].to_numpy()[i], node[j]
+            out.append(pd.DataFrame({"kind": all_["kind"].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b])
+        return pd.concat(out)
+
+    both = sent.groupBy("kind", "part").cogroup(own.groupBy("kind", "part"))
+    return both.applyInPandas(compare, "kind long, a long, b long").distinct()
+
+
+def _short(truth: DataFrame, links: DataFrame, recall: float) -> DataFrame:
+    """The kinds of which ``links`` holds a smaller share of the true links than ``recall``."""
+    seen = truth.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("kind").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("all"))
+    return seen.filter(F.col("hits") < F.lit(recall) * F.col("all")).select("kind")
 
 
 def grouped(vectors: DataFrame, **options) -> DataFrame:
@@ -253,21 +342,9 @@ def grouped(vectors: DataFrame, **options) -> DataFrame:
 
 
 def audit(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD, every: int = 50, block: int = 512) -> tuple[int, int]:
-    """(found, all): links of every 50th id, by comparing these queries with all rows in blocks, against ``links`` between classes."""
-    table = points(vectors)
-    queries = table.filter(F.col("vec_id") % every == 0).withColumn("deal", F.floor(F.col("vec_id") / (every * block)))
-    parts = queries.groupBy("label", "deal").agg(F.collect_list(F.struct("node", "unit")).alias("queries"))
-    own = table.select("label", "node", "unit").distinct().join(parts, "label")
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for node, unit, asked in zip(frame["node"], frame["unit"], frame["queries"], strict=True):
-                x = np.array(unit)
-                out += [(q["node"], node) for q in asked if len(q["unit"]) == len(x) and q["node"] != node and float(np.dot(x, q["unit"])) >= threshold]
-            yield pd.DataFrame({"a": [min(p) for p in out], "b": [max(p) for p in out]})
-
-    truth = own.select("node", "unit", "queries").mapInPandas(compare, "a long, b long").distinct()
+    """(found, all): links of every 50th id, by comparing these queries with their whole label, against ``links`` between classes."""
+    table = written(points(vectors), "nn-points")
+    truth = _truth(table, _classes(table), threshold, every, block=block).select("a", "b")
     row = truth.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("hit"), F.count(F.lit(1))).first()
     return row[0], row[1]
 

@@ -241,3 +241,34 @@ def test_recall_and_a_crowd(spark):
     np.fill_diagonal(close, False)
     got = {row["vec_id"]: row["n_links"] for row in neighbours.grouped(frame, block=64).collect()}
     assert sum(got[row[0]] for row in rows) >= 0.99 * close.sum() and all(got[row[0]] <= close[i].sum() for i, row in enumerate(rows))
+
+
+def close_pairs(rows, threshold=0.93):
+    """All links of (vec_id, vector, label) rows, by brute force."""
+    x = np.array([row[1] for row in rows], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    same = np.array([row[2] for row in rows])
+    close = np.triu((x @ x.T >= threshold) & (same[:, None] == same[None, :]), 1)
+    return {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(close), strict=True)}
+
+
+def test_lone_pairs_of_many_small_leaves(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=48).tolist(), 1) for i in range(800)]
+    rows += [(1000 + i, (np.array(rows[i][1]) + 0.35 * r.normal(size=48)).tolist(), 1) for i in range(300)]
+    want = close_pairs(rows)
+    frame = spark.createDataFrame([(*row, "x") for row in rows], VECTORS)
+    got = neighbours.grouped(frame, k=2, tables=1, leaf=2).agg(F.sum("n_links")).first()[0]
+    assert len(want) > 200 and 0.99 * 2 * len(want) <= got <= 2 * len(want)
+
+
+def test_crowds_with_links_across_are_compared_whole_when_the_recall_stays_low(spark):
+    r = np.random.default_rng(9)
+    one = r.normal(size=32)
+    two = one + 0.32 * r.normal(size=32)  # members of one crowd fill their lists; many links run between the two
+    rows = [(i, ((one, two)[i % 2] + 0.07 * r.normal(size=32)).tolist(), 1) for i in range(400)]
+    want = close_pairs(rows)
+    across = sum((i + j) % 2 for i, j in want)
+    frame = spark.createDataFrame([(*row, "x") for row in rows], VECTORS)
+    got = neighbours.grouped(frame, passes=0, leaf=400, recall=1.0).agg(F.sum("n_links")).first()[0]
+    assert across > 1000 and got == 2 * len(want)

@@ -52,6 +52,24 @@ def test_model_adds_written_out_forms_and_leaves_numbers_alone(model):
     assert pii.redacted("mail a@b.co!", [("email", 5, 11)]) == "mail [EMAIL]!"
 
 
+def test_addresses_are_found_whole_with_or_without_a_written_dot(model):
+    long = " dot ".join(f"part{i}" for i in range(30))  # far longer than what is read at first
+    for address in ("jane (at) example.org", "jane[at]example.org", "jane(at)example.co.uk", "JANE AT EXAMPLE DOT ORG", "jane [AT] example (DOT) org",
+                    f"{long} at example dot org", f"jane at {long} dot org", "jane (at) example dot org"):
+        text = f"please write to {address}, today"
+        assert ("email", 16, 16 + len(address)) in pii.candidates(text), address
+    for address in ("jane (at) example.org", "jane[at]example.org", "JANE AT EXAMPLE DOT ORG", "jane [AT] example (DOT) org"):
+        text = f"please write to {address}, today"
+        assert pii.redactions(text, model)[1] == [("email", 16, 16 + len(address))], address
+    for text in ("we met at home.Then we left", "look at the dot here", "a" * 300 + " at " + "b" * 300):
+        assert pii.redactions(text, model) == ([], []), text
+
+
+def test_runs_of_address_parts_take_linear_time(model):
+    for text in ("a at " * 50_000, "a.b@" * 50_000, "a dot " * 50_000 + "at b dot c", "x(at)" * 50_000, ("a." * 40 + "a at b.c ") * 2_000):
+        pii.redactions(text, model)
+
+
 def test_pii_on_odd_rows(spark, model):
     rows = pii.scan(odd.documents(spark), model, with_text=True).collect()
     assert len(rows) == odd.documents(spark).count()

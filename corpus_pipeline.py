@@ -23,6 +23,8 @@ from opslens.llm import language, lines, mixing, ngram_join, packing
 from opslens.session import new_folder
 
 LEAST_SCORE = 0.5
+#: Lines of one or two words (headings, answers, ends of verses) repeat without being copies, and their texts need them.
+LEAST_WORDS = 3
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.cleaned(docs)
+    left = lines.cleaned(docs, least=LEAST_WORDS)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left

@@ -17,8 +17,8 @@ allow the overlap. For a class it is enough to find one earlier similar line. So
 more than ``CROWD`` lines first pairs its earliest line with all others, and only lines
 that are still open meet the rest: a group of near copies is settled by its first line.
 
-Defined cases: a null or empty text has no lines; a line with fewer than ``least`` words
-is left alone; rows with the same id and text are one document and give one row; texts
+Defined cases: a null or empty text has no lines; a line with fewer than ``least`` words,
+repeated ones counted, is left alone; rows with the same id and text are one document and give one row; texts
 of one id are ordered by hash, a null id comes first; extra columns are ignored.
 """
 
@@ -39,11 +39,13 @@ SCALE, SHARE = 9, 4
 LEAST = 3
 BLOOM = 1 << 20
 CROWD = 64
+#: A smaller set is that similar to no set but itself, which its class tells: 9 a >= 4 (a + a + 1) takes four words.
+APART = 4
 CROWD_LEVEL = 8 * 6  # the level of a count of 64
 
 
-def line_sets(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line with words: (line number, start in words, sorted word hashes)."""
+def line_sets(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each line with words: (line number, start in words, sorted word hashes), and how many words it has in all."""
     raw = folded(text)
     words, at = placed_words(raw)
     ends = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
@@ -53,11 +55,12 @@ def line_sets(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     else:
         order = np.lexsort((words, line))
     line, words = line[order], words[order]
+    total = np.unique(line, return_counts=True)[1]
     fresh = np.ones(len(words), dtype=bool)
     fresh[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
     line, words = line[fresh], words[fresh]
     start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, dtype=np.int64)
-    return line[start], start, words
+    return line[start], start, words, total
 
 
 def _by_rarity(which: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -131,7 +134,7 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
                         ("crowded", pa.list_(pa.bool_()))])
 
     def of(text: str | None, level: np.ndarray):
-        line, start, words = line_sets(text)
+        line, start, words, total = line_sets(text)
         if not len(line):
             return None
         n = np.diff(np.append(start, len(words)))
@@ -145,9 +148,9 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
         order = np.lexsort((words, common, which)) if len(words) >= 1 << 28 else _by_rarity(which, common)
         place = np.arange(len(words)) - np.repeat(start, n)
         prefix = n - (SHARE * n + SCALE - SHARE - 1) // (SCALE - SHARE) + 1
-        keep = (place < prefix[which]) & (common[order] > 1) & (n[which] >= least)
+        keep = (place < prefix[which]) & (common[order] > 1) & (n[which] >= APART) & (total[which] >= least)
         kept = np.bincount(which[keep], minlength=len(line))
-        return (line, n, node, low, high, kept, words[order][keep].astype(np.int64), place[keep].astype(np.int32),
+        return (line, n, node, low, high, total, kept, words[order][keep].astype(np.int64), place[keep].astype(np.int32),
                 common[order][keep] > CROWD_LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +160,15 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
             for i, text in enumerate(batch.column(2).to_pylist()):
                 own = of(text, level)
                 if own is None:
-                    own = (np.full(1, -1), *[np.zeros(1, dtype=np.int64)] * 5, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool))
+                    own = (np.full(1, -1), *[np.zeros(1, dtype=np.int64)] * 6, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool))
                 found.append(own)
                 row.append(np.full(len(own[0]), i))
             if not found:
                 continue
-            line, n, node, low, high, kept, keys, places, crowded = [np.concatenate(c) for c in zip(*found, strict=True)]
+            line, n, node, low, high, total, kept, keys, places, crowded = [np.concatenate(c) for c in zip(*found, strict=True)]
             row = pa.array(np.concatenate(row))
             offsets = pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32())
-            short = n < least
+            short = (total < least) | (line < 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(line, pa.int64(), mask=line < 0), pa.array(n, pa.int64()),
                  pa.array(node, pa.int64(), mask=short), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
@@ -190,7 +193,7 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
         for batch in batches:
             ids, items = [], []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                line, start, words = line_sets(text)
+                line, start, words, _ = line_sets(text)
                 stop = np.append(start[1:], len(words))
                 for one in asked:
                     i = int(np.searchsorted(line, one["line"]))

@@ -34,7 +34,7 @@ def op5_chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_similar_lines(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.removed_lines(_table(spark, folder, "documents"))
+    found = lines.removed_lines(_table(spark, folder, "documents"), least=1)
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
 
 

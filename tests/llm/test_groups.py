@@ -9,7 +9,7 @@ import numpy as np
 import odd
 from pyspark.sql import functions as F
 
-from opslens.llm import chat, components, lines, mixing, neighbours, ngram_join, packing
+from opslens.llm import chat, components, lines, mixing, neighbours, ngram_join, packing, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -272,3 +272,13 @@ def test_crowds_with_links_across_are_compared_whole_when_the_recall_stays_low(s
     frame = spark.createDataFrame([(*row, "x") for row in rows], VECTORS)
     got = neighbours.grouped(frame, passes=0, leaf=400, recall=1.0).agg(F.sum("n_links")).first()[0]
     assert across > 1000 and got == 2 * len(want)
+
+
+def test_short_lines_that_are_repeated_go(spark, tmp_path):
+    rows = [(1, "And so.\nha ha ha\nyes\none line of its own here"), (2, "and SO.\nha ha\nno\nso and."), (3, "ha\nyes yes yes"), (4, "so. and\n\nyes"), (5, "ha ha ha ha")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed_lines"]) for r in queries.op6_similar_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, ""), 2: (4, 2, "0,1"), 3: (2, 2, "0,1"), 4: (2, 2, "0,2"), 5: (1, 1, "0")}
+    left = {r["doc_id"]: list(r["removed"]) for r in lines.removed_lines(docs, least=3).collect()}
+    assert left == {1: [], 2: [], 3: [], 4: [], 5: [0]}  # "ha ha ha ha" has four words, though one distinct

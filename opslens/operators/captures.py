@@ -1,22 +1,35 @@
-"""State as of a moment: the newest capture of each server, out of a table that holds many."""
+"""State as of a moment: the newest capture of each server, out of tables that hold many.
+
+Captured tables are partitioned by day, capture and server, so which captures there are
+is known from the catalog alone. ``state_as_of`` chooses the newest capture of each server
+that all tables of a report share, and each table is read with a filter on its partition
+columns: no other capture's files are opened, and a report never pairs two captures.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opslens.functions import dates
+from opslens.operators import changes
+
+#: The partition columns of a captured table, and how a capture's moment is spelled in its name.
+PARTS = ["captured_date", "capture", "server_name"]
+CAPTURE = "yyyyMMdd'T'HHmmss.SSSSSS"
+NO_SERVER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def as_of_capture(df: DataFrame, as_of: str | datetime, keys: list[str] | None = None, within_days: int | None = None) -> DataFrame:
     """Rows of the newest capture at or before ``as_of`` per server, ``captured_at`` kept.
 
-    A table that was captured many times must not be read whole by a state report: its
-    joins on session or database numbers would pair the captures with each other.
-    ``within_days`` bounds how old a capture may be; with the column ``captured_date``
-    it prunes the daily partitions. Only one row per key and task is shuffled for the
-    newest moments; the rows themselves are filtered by joining these few back.
+    For rows that are no catalog table: the newest moments are an aggregate over them, joined
+    back. ``within_days`` bounds how old a capture may be; with the column ``captured_date``
+    it prunes the daily partitions. Tables of the catalog have ``state_as_of``.
     """
     keys = keys or ["server_name"]
     moment = dates.instant(as_of)
@@ -28,3 +41,82 @@ def as_of_capture(df: DataFrame, as_of: str | datetime, keys: list[str] | None =
             rows = rows.filter(F.col("captured_date").between(oldest.cast("date"), moment.cast("date")))
     newest = rows.groupBy(*keys).agg(F.max("captured_at").alias("_newest"))
     return rows.join(newest, keys).filter(F.col("captured_at") == F.col("_newest")).select(*df.columns)
+
+
+def capture_index(spark: SparkSession, table: str) -> DataFrame:
+    """(captured_date, capture, server_name) of every capture of a table, from its partitions; no data is read.
+
+    A server that had no rows in a capture is listed too, as an empty partition.
+    """
+    listed = spark.sql(f"SHOW PARTITIONS {table}")
+
+    def value(name: str) -> Column:
+        text = F.regexp_extract("partition", f"(?:^|/){name}=([^/]*)", 1)
+        return F.when(text != NO_SERVER, F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
+    return listed.select(value("captured_date").cast("date").alias("captured_date"), value("capture").alias("capture"),
+                         value("server_name").alias("server_name"))
+
+
+def newest_captures(indexes: list[DataFrame], as_of: str | datetime, within_days: int | None = None) -> DataFrame:
+    """The newest capture of each server, at or before ``as_of``, that all the indexes hold."""
+    moment = dates.instant(as_of)
+    shared = changes.union_all([index.withColumn("_table", F.lit(i)) for i, index in enumerate(indexes)])
+    shared = shared.filter((F.col("captured_date") <= moment.cast("date")) & (F.col("capture") <= F.date_format(moment, CAPTURE)))
+    if within_days is not None:
+        oldest = dates.ago(as_of, within_days, "day")
+        shared = shared.filter((F.col("captured_date") >= oldest.cast("date")) & (F.col("capture") >= F.date_format(oldest, CAPTURE)))
+    complete = shared.groupBy(*PARTS).agg(F.countDistinct("_table").alias("_n")).filter(F.col("_n") == len(indexes))
+    return complete.groupBy("server_name").agg(F.max_by(F.struct("captured_date", "capture"), "capture").alias("c")).select("c.*", "server_name")
+
+
+def _is_in(column: Column, values: list) -> Column:
+    found = column.isin([v for v in values if v is not None])
+    return found | column.isNull() if None in values else found
+
+
+def partition_filter(chosen: list[tuple], there: dict[tuple, set]) -> Column:
+    """The chosen (day, capture, server) as a filter on partition columns; servers are named only where a capture is taken in part."""
+    by_capture = defaultdict(list)
+    for day, capture, server in chosen:
+        by_capture[day, capture].append(server)
+    parts = []
+    for (day, capture), servers in sorted(by_capture.items()):
+        part = (F.col("captured_date") == F.lit(day)) & (F.col("capture") == capture)
+        parts.append(part if there[day, capture] == set(servers) else part & _is_in(F.col("server_name"), sorted(servers, key=str)))
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+@dataclass
+class State:
+    """Tables of one moment by name, and the capture each server's rows come from."""
+
+    captures: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.tables[name]
+
+    def stamped(self, report: DataFrame) -> DataFrame:
+        """A report with ``captured_at``, which with the server's name is part of every row's key."""
+        return report.join(self.captures, "server_name", "left")
+
+
+def state_as_of(spark: SparkSession, tables: dict[str, str], as_of: str | datetime, within_days: int | None = None) -> State:
+    """The tables of a report (name in the report to name in the catalog) as of a moment.
+
+    One row per server comes to the driver, as does the list of partitions when Spark plans
+    the scan. A server whose newest capture lacks one of the tables is shown as of its newest
+    whole one; a server without any is not shown.
+    """
+    indexes = {name: capture_index(spark, table) for name, table in tables.items()}
+    chosen = [tuple(r) for r in newest_captures(list(indexes.values()), as_of, within_days).collect()]
+    captures = {capture for _, capture, _ in chosen}
+    state = State(spark.createDataFrame([(server, capture) for _, capture, server in chosen], "server_name string, capture string").select(
+                      "server_name", F.to_timestamp_ntz("capture", F.lit(CAPTURE)).alias("captured_at")))
+    for name, table in tables.items():
+        there = defaultdict(set)
+        for day, capture, server in indexes[name].filter(F.col("capture").isin(sorted(captures))).collect():
+            there[day, capture].add(server)
+        rows = spark.table(table).filter(partition_filter(chosen, there))
+        state.tables[name] = rows.drop("captured_at", "captured_date", "capture")
+    return state

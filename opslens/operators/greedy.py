@@ -1,118 +1,89 @@
 """Least gap between kept rows of a key, chosen greedily from the first.
 
-Whether a row is kept depends on the row kept before it, so the choice runs
-through a key from its first row on. To keep one busy key out of a single task
-the key is cut into time buckets:
-
-1. each bucket works out, for every possible last kept time before it, the last
-   kept time after it. That answer is a step function with few steps, because
-   choices that start apart soon meet;
-2. the steps of a key's buckets are folded from the first bucket on, giving the
-   last kept time before each bucket;
-3. each bucket, now knowing where it starts, keeps its rows.
-
-Steps 1 and 3 run per key and bucket, on one row per time; only the step tables
-meet per key. The width of the buckets is a parameter.
+Whether a row is kept depends on the row kept before it, so the choice runs through a key
+from its first row on. Here it is taken by jump pointers, all as equi-joins:
+
+1. links: each time's successor is the first time of the key at least a gap later, found
+   in buckets of time (``adjacent``);
+2. up: from the successors the ``FAN``-fold ones, from these the ``FAN * FAN``-fold ones,
+   and so on, until no first row has one. A level keeps only times that are the first of
+   their key or a successor on the level below; choices that start apart soon meet, so the
+   levels get smaller fast;
+3. down: the kept times of a level are those of the level above and the hops in between.
+
+No step gathers the rows of a key, however many it has: a join meets single times of a key,
+and a bucket of the first step holds what happens in its minutes. The number of levels is
+the logarithm of the longest choice. Levels are written below the shared folder when the
+DataFrame is built; going down is one lazy plan.
 """
 
 from __future__ import annotations
 
-import sys
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
-
-# Executors get the functions below with the tasks; the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from opslens.operators import adjacent
+from opslens.session import scratch
 
 _MICRO = 1_000_000
+FAN = 4
+MINUTES = 300
+
 
+def _links(times: DataFrame, gap: int, width: int) -> DataFrame:
+    """(key, at, to): the first time at least ``gap`` later, null if there is none.
 
-def _next_kept(at: np.ndarray, gap: int) -> np.ndarray:
-    """For each row the first row at least ``gap`` later (``len(at)`` if none)."""
-    return np.searchsorted(at, at + gap, side="left")
-
-
-def _last_kept(at: np.ndarray, gap: int) -> np.ndarray:
-    """For each row, if it is kept, the last kept time of the bucket."""
-    following = _next_kept(at, gap)
-    last = np.arange(len(at))
-    for i in range(len(at) - 1, -1, -1):
-        if following[i] < len(at):
-            last[i] = last[following[i]]
-    return at[last]
-
-
-def _steps(gap: int):
-    """Per bucket: rows that can be its first kept one, and where each choice ends."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.unique(pdf["_at"].to_numpy())
-        ends = _last_kept(at, gap)
-        can_be_first = at < at[0] + gap
-        can_be_first[min(int(can_be_first.sum()), len(at) - 1)] = True
-        starts, ends = at[can_be_first], ends[can_be_first]
-        # Choices that end alike are one step, named by the latest start it covers.
-        last_of_step = np.append(ends[1:] != ends[:-1], True)
-        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "_bucket": pdf["_bucket"].iloc[0],
-                             "_first": starts[last_of_step], "_end": ends[last_of_step]})
-    return run
-
-
-def _fold(gap: int):
-    """Per key: last kept time before each bucket, bucket by bucket."""
-    def run(steps_of_key: pd.DataFrame) -> pd.DataFrame:
-        pdf = steps_of_key.sort_values(["_bucket", "_first"], ignore_index=True)
-        kept, rows = None, []
-        for bucket, steps in pdf.groupby("_bucket", sort=True):
-            rows.append((pdf["_key"].iloc[0], bucket, kept))
-            first = steps["_first"].to_numpy()
-            i = 0 if kept is None else int(np.searchsorted(first, kept + gap, side="left"))
-            if i < len(first):
-                kept = int(steps["_end"].iloc[i])
-        return pd.DataFrame(rows, columns=["_key", "_bucket", "_before"]).astype({"_before": "Int64"})
-    return run
-
-
-def _keep(gap: int):
-    """Per bucket: the kept times, from the last one kept before the bucket."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.sort_values(["_at", "_tie"], ignore_index=True)
-        at = order["_at"].to_numpy()
-        before = order["_before"].iloc[0]
-        i = 0 if pd.isna(before) else int(np.searchsorted(at, int(before) + gap, side="left"))
-        chosen = []
-        while i < len(at):
-            chosen.append(i)
-            i = int(np.searchsorted(at, at[i] + gap, side="left"))
-        return order.iloc[chosen][["_key", "_bucket", "_at", "_tie"]]
-    return run
-
-
-MONTH = 30 * 86_400
-
-
-def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int,
-             width_seconds: int | None = None) -> DataFrame:
+    Time runs backwards here, so that the first later time is the latest earlier one.
+    """
+    asking = times.select("_key", "_at", (1 - F.col("_at") - gap).alias("_turned"))
+    there = times.select("_key", (-F.col("_at")).alias("_turned"))
+    found = adjacent.as_of_previous(asking, there, ["_key"], "_turned", F.floor(F.col("_turned") / width))
+    return found.select("_key", "_at", (-F.col("prev__turned")).alias("_to"))
+
+
+def _hops(links: DataFrame) -> DataFrame:
+    """(key, at, hops): the next ``FAN`` times of each time, null where they end."""
+    step = links.filter("_to is not null")
+    found = links.select("_key", "_at", F.col("_to").alias("_hop1"))
+    for i in range(1, FAN):
+        onward = step.select("_key", F.col("_at").alias(f"_hop{i}"), F.col("_to").alias(f"_hop{i + 1}"))
+        found = found.join(onward, ["_key", f"_hop{i}"], "left")
+    return found.select("_key", "_at", F.array(*[F.col(f"_hop{i + 1}") for i in range(FAN)]).alias("_hops"))
+
+
+def _levels(links: DataFrame, firsts: DataFrame) -> list[DataFrame]:
+    """Hops over 1, FAN, FAN * FAN, ... successors each, up to the level where no first row goes further."""
+    levels = []
+    while True:
+        possible = links.filter("_to is not null").select("_key", F.col("_to").alias("_at")).unionByName(firsts.select("_key", "_at")).distinct()
+        nodes = _hops(links).join(possible, ["_key", "_at"], "left_semi").join(firsts.withColumn("_first", F.lit(True)), ["_key", "_at"], "left")
+        going = Observation()
+        last = F.element_at("_hops", FAN)
+        level = scratch(nodes.observe(going, F.count(F.when(F.col("_first") & last.isNotNull(), 1)).alias("n")), "gap-level").drop("_first")
+        levels.append(level)
+        if not going.get["n"]:
+            return levels
+        links = level.select("_key", "_at", F.element_at("_hops", FAN).alias("_to"))
+
+
+def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int, width_seconds: int | None = None) -> DataFrame:
     """Rows of each key at least ``gap_seconds`` after the row kept before them.
 
-    ``tie`` (a number) orders rows of equal time and, with the keys and the
-    time, names a row. Only the first row of a time can be kept, so the times are
-    made distinct before they meet in a bucket. Buckets are ``width_seconds`` wide,
-    30 days by default and never less than the gap.
+    ``tie`` (a number) orders rows of equal time and, with the keys and the time, names a
+    row. Only the first row of a time can be kept, so the times are made distinct first; a
+    row without a time is not kept. Successors are looked up in buckets of ``width_seconds``,
+    five minutes by default and never less than the gap.
     """
+    if gap_seconds <= 0:
+        raise ValueError("the gap must be positive")
     micros: Column = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(*keys, ts, tie).select(
-        F.to_json(F.struct(*keys)).alias("_key"), micros.alias("_at"), F.col(tie).cast("long").alias("_tie"))
-    gap, width = gap_seconds * _MICRO, max(width_seconds or MONTH, gap_seconds) * _MICRO
-    rows = rows.groupBy("_key", "_at").agg(F.min("_tie").alias("_tie")).withColumn("_bucket", F.floor(F.col("_at") / width))
-    steps = rows.select("_key", "_bucket", "_at").groupBy("_key", "_bucket").applyInPandas(
-        _steps(gap), "_key string, _bucket long, _first long, _end long")
-    before = steps.groupBy("_key").applyInPandas(
-        _fold(gap), "_key string, _bucket long, _before long")
-    kept = rows.join(before, ["_key", "_bucket"]).groupBy("_key", "_bucket").applyInPandas(
-        _keep(gap), "_key string, _bucket long, _at long, _tie long")
-    named = df.withColumn("_key", F.to_json(F.struct(*keys))).withColumn("_at", micros).withColumn(
-        "_tie", F.col(tie).cast("long"))
-    return named.join(kept.drop("_bucket"), ["_key", "_at", "_tie"], "left_semi").drop("_key", "_at", "_tie")
+    named = df.withColumn("_key", F.to_json(F.struct(*keys))).withColumn("_at", micros).withColumn("_tie", F.col(tie).cast("long"))
+    times = named.filter("_at is not null").groupBy("_key", "_at").agg(F.min("_tie").alias("_tie"))
+    times = scratch(times, "gap-times")
+    firsts = times.groupBy("_key").agg(F.min("_at").alias("_at"))
+    links = scratch(_links(times, gap_seconds * _MICRO, max(width_seconds or MINUTES, gap_seconds) * _MICRO), "gap-links")
+    kept = firsts.select("_key", "_at")
+    for level in reversed(_levels(links, firsts)):
+        hops = kept.join(level, ["_key", "_at"]).select("_key", F.explode(F.concat(F.array("_at"), F.slice("_hops", 1, FAN - 1))).alias("_at"))
+        kept = hops.filter("_at is not null")
+    rows = times.join(kept, ["_key", "_at"], "left_semi")
+    return named.join(rows, ["_key", "_at", "_tie"], "left_semi").drop("_key", "_at", "_tie")

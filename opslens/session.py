@@ -43,3 +43,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch(df: DataFrame, purpose: str) -> DataFrame:
+    """Written once below the shared folder and read again; the write names its columns, so reading scans nothing to learn them."""
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslens.functions import dates
+from opslens.operators.captures import CAPTURE, PARTS
 from opslens.session import cut_lineage, new_folder
 
 
@@ -44,18 +45,20 @@ def scalar(df: DataFrame):
     return None if row is None else row[0]
 
 
-def append_snapshot(df: DataFrame, table: str, captured_at: str | datetime, retention_days: int = 14) -> list[str]:
+def append_snapshot(df: DataFrame, table: str, captured_at: str | datetime, retention_days: int = 14,
+                    servers: list[str] | None = None, path: str | None = None) -> list[str]:
     """Snapshot added to a table partitioned by day, capture and server; days past their retention are dropped.
 
     Returns the dropped days. A capture owns its partitions: the same servers captured
     again for the same moment replace what they wrote, and nothing else, so a retry
-    leaves the table as it was.
+    leaves the table as it was. ``servers`` are the servers that answered: one without rows
+    gets an empty partition, so that it is known to have been empty. A new table is kept at
+    ``path``, if one is given.
     """
     spark = df.sparkSession
     stamped = df.withColumn("captured_at", dates.instant(captured_at)).withColumn(
-        "captured_date", F.col("captured_at").cast("date")).withColumn(
-        "capture", F.date_format("captured_at", "yyyyMMdd'T'HHmmss.SSSSSS"))
-    parts = ["captured_date", "capture", *[c for c in ("server_name",) if c in df.columns]]
+        "captured_date", F.col("captured_at").cast("date")).withColumn("capture", F.date_format("captured_at", CAPTURE))
+    parts = [c for c in PARTS if c in stamped.columns]
     if spark.catalog.tableExists(table):
         mode = "spark.sql.sources.partitionOverwriteMode"
         before = spark.conf.get(mode)
@@ -65,19 +68,28 @@ def append_snapshot(df: DataFrame, table: str, captured_at: str | datetime, rete
         finally:
             spark.conf.set(mode, before)
     else:
-        stamped.write.format("parquet").partitionBy(*parts).saveAsTable(table)
+        writer = stamped.write.format("parquet").partitionBy(*parts)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+    if servers:
+        moment = datetime.fromisoformat(str(captured_at))
+        named = [f"PARTITION (captured_date = '{moment:%Y-%m-%d}', capture = '{moment:%Y%m%dT%H%M%S.%f}', server_name = {_quoted(s)})" for s in servers]
+        for start in range(0, len(named), 500):
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(named[start:start + 500])}")
     return drop_old_days(spark, table, captured_at, retention_days)
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def drop_old_days(spark: SparkSession, table: str, as_of: str | datetime, retention_days: int) -> list[str]:
     """Drops daily partitions older than the retention; the list of days is short."""
     today = datetime.fromisoformat(str(as_of)).date()
     oldest = today - timedelta(days=retention_days)
     found = [[part.split("=", 1) for part in r[0].split("/")] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
     gone = [spec for spec in found if date.fromisoformat(spec[0][1]) < oldest]
-    quoted = lambda v: "'" + unquote(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
     for start in range(0, len(gone), 500):
-        specs = ", ".join("PARTITION (" + ", ".join(f"{k} = {quoted(v)}" for k, v in spec) + ")" for spec in gone[start:start + 500])
+        specs = ", ".join("PARTITION (" + ", ".join(f"{k} = {_quoted(unquote(v))}" for k, v in spec) + ")" for spec in gone[start:start + 500])
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
     old = sorted({spec[0][1] for spec in gone})
     return old

@@ -199,3 +199,52 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Spark())
+
+
+def snapshots(spark, table, captures, schema):
+    spark.sql(f"drop table if exists {table}")
+    for moment, data, servers in captures:
+        sinks.append_snapshot(frame(spark, data, schema), table, moment, servers=servers)
+
+
+def test_state_is_read_from_the_newest_whole_capture(spark):
+    from opslens.operators import captures
+    eight, nine, ten = (f"2024-01-0{d} 10:00:00" for d in (1, 2, 3))
+    snapshots(spark, "states", [(eight, [("a b", 1), ("s", 2)], None), (nine, [("a b", 3), ("s", 4)], None), (ten, [("s", 5)], ["s", "empty'd+"])],
+              "server_name string, v long")
+    snapshots(spark, "others", [(eight, [("a b", 10), ("s", 20)], None), (nine, [("s", 40)], ["a b", "s"]), (ten, [("s", 50), ("empty'd+", 60)], None)],
+              "server_name string, w long")
+    index = rows(captures.capture_index(spark, "states").select("capture", "server_name"))
+    assert index == [("20240101T100000.000000", "a b"), ("20240101T100000.000000", "s"), ("20240102T100000.000000", "a b"),
+                     ("20240102T100000.000000", "s"), ("20240103T100000.000000", "empty'd+"), ("20240103T100000.000000", "s")]
+    both = {"x": "states", "y": "others"}
+    now = captures.state_as_of(spark, both, "2024-01-03 12:00:00")
+    # "a b" was last captured on the second, when it had no rows in one of the tables; a server without rows is no older state
+    assert rows(now["x"], "server_name", "v") == [("a b", 3), ("s", 5)]
+    assert rows(now["y"], "server_name", "w") == [("empty'd+", 60), ("s", 50)]
+    assert rows(now.captures.select("server_name", F.col("captured_at").cast("string"))) == [
+        ("empty'd+", ten), ("a b", "2024-01-02 10:00:00"), ("s", ten)]
+    assert now["x"].columns == ["v", "server_name"]
+    before = captures.state_as_of(spark, both, "2024-01-02 09:59:59")
+    assert rows(before["x"], "server_name", "v") == [("a b", 1), ("s", 2)]
+    assert rows(captures.state_as_of(spark, both, "2024-01-03 12:00:00", within_days=1)["x"], "server_name", "v") == [("s", 5)]
+    assert captures.state_as_of(spark, both, "2023-01-01")["x"].count() == 0
+    snapshots(spark, "partial", [(nine, [("s", 1), ("t", 1)], None)], "server_name string, u long")
+    mixed = captures.state_as_of(spark, {"x": "states", "z": "partial"}, "2024-01-03 12:00:00")
+    assert rows(mixed["x"], "server_name", "v") == [("s", 4)] and rows(mixed["z"], "server_name", "u") == [("s", 1)]
+    for table in ("states", "others", "partial"):
+        spark.sql(f"drop table {table}")
+
+
+def test_state_reports_open_only_their_capture(spark):
+    from opslens.operators import captures
+    from helpers import plan_of
+    days = [(f"2024-01-{d:02d} 10:00:00", [("s", d), ("t", d)], None) for d in range(1, 6)]
+    snapshots(spark, "daily", days, "server_name string, v long")
+    state = captures.state_as_of(spark, {"d": "daily"}, "2024-01-04 00:00:00")
+    scan = next(line for line in plan_of(state["d"]).split("\n") if "FileScan" in line)
+    filters = scan[scan.index("PartitionFilters"):]
+    assert "captured_date" in filters and "= 2024-01-03" in filters and "(capt" in filters
+    read = state["d"].select(F.input_file_name()).distinct().collect()
+    assert len(read) == 2 and all("capture=20240103T100000.000000" in r[0] for r in read)
+    spark.sql("drop table daily")

@@ -30,39 +30,40 @@ MINUTES = 300
 
 
 def _links(times: DataFrame, gap: int, width: int) -> DataFrame:
-    """(key, at, to): the first time at least ``gap`` later, null if there is none.
+    """(id, to, first) of each time: the first time of its key at least ``gap`` later, null if there is none.
 
     Time runs backwards here, so that the first later time is the latest earlier one.
     """
-    asking = times.select("_key", "_at", (1 - F.col("_at") - gap).alias("_turned"))
+    asking = times.select("_key", "_id", (1 - F.col("_at") - gap).alias("_turned"))
     there = times.select("_key", (-F.col("_at")).alias("_turned"))
     found = adjacent.as_of_previous(asking, there, ["_key"], "_turned", F.floor(F.col("_turned") / width))
-    return found.select("_key", "_at", (-F.col("prev__turned")).alias("_to"))
+    onward = times.select("_key", (-F.col("_at")).alias("prev__turned"), F.col("_id").alias("to"))
+    firsts = times.groupBy("_key").agg(F.min_by("_id", "_at").alias("_id")).select("_id", F.lit(True).alias("first"))
+    found = found.join(onward, ["_key", "prev__turned"], "left").join(firsts, "_id", "left")
+    return found.select(F.col("_id").alias("id"), "to", F.coalesce("first", F.lit(False)).alias("first"))
 
 
 def _hops(links: DataFrame) -> DataFrame:
-    """(key, at, hops): the next ``FAN`` times of each time, null where they end."""
-    step = links.filter("_to is not null")
-    found = links.select("_key", "_at", F.col("_to").alias("_hop1"))
+    """(id, first, hops): the next ``FAN`` times of each time that is a first one or follows another, null where they end."""
+    step = links.filter("to is not null")
+    follows = step.select(F.col("to").alias("id")).distinct().withColumn("follows", F.lit(True))
+    found = links.join(follows, "id", "left").filter("first or follows").select("id", "first", F.col("to").alias("hop1"))
     for i in range(1, FAN):
-        onward = step.select("_key", F.col("_at").alias(f"_hop{i}"), F.col("_to").alias(f"_hop{i + 1}"))
-        found = found.join(onward, ["_key", f"_hop{i}"], "left")
-    return found.select("_key", "_at", F.array(*[F.col(f"_hop{i + 1}") for i in range(FAN)]).alias("_hops"))
+        onward = step.select(F.col("id").alias(f"hop{i}"), F.col("to").alias(f"hop{i + 1}"))
+        found = found.join(onward, f"hop{i}", "left")
+    return found.select("id", "first", F.array(*[F.col(f"hop{i + 1}") for i in range(FAN)]).alias("hops"))
 
 
-def _levels(links: DataFrame, firsts: DataFrame) -> list[DataFrame]:
+def _levels(links: DataFrame) -> list[DataFrame]:
     """Hops over 1, FAN, FAN * FAN, ... successors each, up to the level where no first row goes further."""
     levels = []
     while True:
-        possible = links.filter("_to is not null").select("_key", F.col("_to").alias("_at")).unionByName(firsts.select("_key", "_at")).distinct()
-        nodes = _hops(links).join(possible, ["_key", "_at"], "left_semi").join(firsts.withColumn("_first", F.lit(True)), ["_key", "_at"], "left")
-        going = Observation()
-        last = F.element_at("_hops", FAN)
-        level = scratch(nodes.observe(going, F.count(F.when(F.col("_first") & last.isNotNull(), 1)).alias("n")), "gap-level").drop("_first")
+        going, last = Observation(), F.element_at("hops", FAN)
+        level = scratch(_hops(links).observe(going, F.count(F.when(F.col("first") & last.isNotNull(), 1)).alias("n")), "gap-level")
         levels.append(level)
         if not going.get["n"]:
             return levels
-        links = level.select("_key", "_at", F.element_at("_hops", FAN).alias("_to"))
+        links = level.select("id", last.alias("to"), "first")
 
 
 def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int, width_seconds: int | None = None) -> DataFrame:
@@ -78,12 +79,12 @@ def keep_gap(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int
     micros: Column = F.unix_micros(F.col(ts).cast("timestamp"))
     named = df.withColumn("_key", F.to_json(F.struct(*keys))).withColumn("_at", micros).withColumn("_tie", F.col(tie).cast("long"))
     times = named.filter("_at is not null").groupBy("_key", "_at").agg(F.min("_tie").alias("_tie"))
-    times = scratch(times, "gap-times")
-    firsts = times.groupBy("_key").agg(F.min("_at").alias("_at"))
+    times = scratch(times.withColumn("_id", F.monotonically_increasing_id()), "gap-times")  # numbered once, when written
     links = scratch(_links(times, gap_seconds * _MICRO, max(width_seconds or MINUTES, gap_seconds) * _MICRO), "gap-links")
-    kept = firsts.select("_key", "_at")
-    for level in reversed(_levels(links, firsts)):
-        hops = kept.join(level, ["_key", "_at"]).select("_key", F.explode(F.concat(F.array("_at"), F.slice("_hops", 1, FAN - 1))).alias("_at"))
-        kept = hops.filter("_at is not null")
-    rows = times.join(kept, ["_key", "_at"], "left_semi")
+    levels = _levels(links)
+    kept = levels[-1].filter("first").select("id")
+    for level in reversed(levels):
+        hops = kept.join(level, "id").select(F.explode(F.concat(F.array("id"), F.slice("hops", 1, FAN - 1))).alias("id"))
+        kept = hops.filter("id is not null")
+    rows = times.join(kept, F.col("_id") == F.col("id"), "left_semi")
     return named.join(rows, ["_key", "_at", "_tie"], "left_semi").drop("_key", "_at", "_tie")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from opslens.functions import dates
 from opslens.operators.captures import CAPTURE, PARTS
@@ -16,9 +17,52 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Rows added to a log folder."""
-    df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, batch: str | int, facts: dict[str, Column] | None = None) -> bool:
+    """Rows added to a log, exactly once per ``batch``: a name the caller gives its rows, the same when it tries again.
+
+    A batch owns one folder. Its rows are written first and published after that by a row in
+    the ledger beside them; ``read_log`` shows published batches only. So a writer that dies
+    in between leaves nothing to see, its second try replaces what it left, and a batch that
+    is published already is left alone. ``facts`` are aggregates over the rows that the ledger
+    keeps. Returns whether the rows were added.
+    """
+    spark = df.sparkSession
+    entry = f"{path}/ledger/batch={batch}"
+    if _published(spark, entry):
+        return False
+    seen = Observation()
+    found = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[value.alias(name) for name, value in (facts or {}).items()])
+    found.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    kinds = df.agg(F.count(F.lit(1)).alias("rows"), *[value.alias(name) for name, value in (facts or {}).items()]).schema
+    spark.createDataFrame([tuple(seen.get[k] for k in kinds.names)], kinds).coalesce(1).write.mode("overwrite").parquet(entry)
+    return True
+
+
+def _published(spark: SparkSession, entry: str) -> bool:
+    try:
+        return bool(spark.read.parquet(entry).head(1))
+    except AnalysisException:  # no such folder, or none that was finished
+        return False
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """(batch, rows, facts...) of the published batches of a log; None if there is none."""
+    try:
+        return spark.read.parquet(f"{path}/ledger")
+    except AnalysisException:
+        return None
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType | None = None, batch_type: str = "string") -> DataFrame:
+    """Published rows of a log with their ``batch``; unpublished folders are pruned by the join on the partition column."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    ledger = read_ledger(spark, path)
+    if ledger is None:
+        return spark.createDataFrame([], T.StructType([*(schema.fields if schema else []), T.StructField("batch", T.StringType())])).withColumn(
+            "batch", F.col("batch").cast(batch_type))
+    published = ledger.select(F.col("batch").cast("string"))
+    return reader.parquet(f"{path}/rows").withColumn("batch", F.col("batch").cast("string")).join(published, "batch", "left_semi").withColumn(
+        "batch", F.col("batch").cast(batch_type))
 
 
 def to_xml_rows(df: DataFrame, row_tag: str = "Transaction") -> DataFrame:

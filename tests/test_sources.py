@@ -161,9 +161,14 @@ def test_writers(spark, tmp_path):
     df = frame(spark, [(1, "a,b"), (2, None)], "id long, n string")
     sinks.write_csv(df, f"{tmp_path}/csv")
     assert rows(spark.read.option("header", True).schema("id long, n string").csv(f"{tmp_path}/csv")) == rows(df)
-    for _ in range(2):
-        sinks.append_log(df, f"{tmp_path}/log")
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+    log = f"{tmp_path}/log"
+    assert sinks.read_log(spark, log, df.schema).count() == 0
+    assert [sinks.append_log(df, log, b, {"most": F.max("id")}) for b in ("a b", 2, "a b")] == [True, True, False]
+    assert rows(sinks.read_log(spark, log), "batch", "id") == [("2", 1), ("2", 2), ("a b", 1), ("a b", 2)]
+    assert rows(sinks.read_ledger(spark, log), "rows", "most") == [(2, 2), (2, 2)]
+    df.limit(1).write.parquet(f"{log}/rows/batch=3")  # a writer that died before it published
+    assert sinks.read_log(spark, log).count() == 4
+    assert sinks.append_log(df, log, 3) and rows(sinks.read_log(spark, log, df.schema, "string"), "batch", "id")[2:4] == [("3", 1), ("3", 2)]
     assert "<id>1</id>" in sinks.to_xml_rows(df).filter("id = 1").first()["xml"]
     assert rows(sinks.materialize(df)) == rows(df)
     assert rows(sinks.materialize(df, f"{tmp_path}/m")) == rows(df)

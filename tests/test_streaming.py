@@ -18,6 +18,15 @@ COUNTERS = ("server_name string, counter_name string, instance_name string, samp
             "captured_at timestamp_ntz, value long")
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A stateful step starts a worker for each partition and micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def write_parts(spark, data, schema, folder, parts):
     """Rows in time order over several files, as they would arrive."""
     size = -(-len(data) // parts)
@@ -82,16 +91,50 @@ def test_alert_responses(spark, tmp_path, parts, restarts):
     assert rows(got, "rule", "event_id") == rows(want, "rule", "event_id")
 
 
-@pytest.mark.parametrize("parts, restarts", [(1, 1), (3, 2)])
-def test_counter_rates(spark, tmp_path, parts, restarts):
+def heartbeat(columns, days=30):
+    """A sample of a key of its own, far ahead: the watermark passes all others."""
+    return tuple({"captured_at": START + timedelta(days=days), "sample_id": -1, "value": 0}.get(c, "beat") for c in columns)
+
+
+@pytest.mark.parametrize("parts, restarts, mixed", [(1, 1, False), (3, 2, False), (8, 1, True)])
+def test_counter_rates(spark, tmp_path, parts, restarts, mixed):
     rng = random.Random(3)
     data = [("s", "c", rng.choice("xy"), i, START + timedelta(seconds=5 * (i // 2)), 1000 * i * i) for i in range(80)]
-    got = through(spark, data, COUNTERS, tmp_path, jobs.counter_rates, parts, restarts)
     want = availability.counter_rate(frame(spark, data, COUNTERS))
+    if mixed:
+        rng.shuffle(data)
+    data += [heartbeat([c.split()[0] for c in COUNTERS.split(", ")])] * restarts
+    got = through(spark, data, COUNTERS, tmp_path, jobs.counter_rates, parts, restarts).filter("server_name = 's'")
     columns = ["instance_name", "sample_id", "seconds", "change", "rate_per_second"]
     assert rows(got, *columns) == rows(want, *columns)
 
 
+def test_milestones_go_on_from_a_history(spark, tmp_path):
+    data = progress(200)
+    want = workload.progress_milestones(frame(spark, data, SAMPLES)).withColumn("milestone", F.col("milestone").cast("long"))
+    old, new = data[:90], data[90:]
+    before = workload.progress_milestones(frame(spark, old, SAMPLES)).withColumn("milestone", F.col("milestone").cast("long"))
+    history = jobs.milestone_history(before)
+    assert before.count() > 1
+    after = through(spark, new, SAMPLES, tmp_path, lambda s: jobs.milestones(s, history), 3, 2)
+    columns = ["server_name", "job_id", "milestone", "sampled_at", "percent_complete", "announced"]
+    assert rows(before.select(*columns).unionByName(after.select(*columns))) == rows(want.select(*columns))
+
+
+def test_changed_rules_are_taken_up(spark, tmp_path):
+    events = "server_name string, event_id long, event_time timestamp_ntz, error_number long, severity long"
+    day = [("s", i, START + timedelta(seconds=40 * i), 823 if i % 2 else 9, 3) for i in range(20)]
+    rules = "rule string, message_id long, rule_severity long"
+    seen = {}
+    for n, (part, own) in enumerate([(day[:10], [("a", 823, 0)]), (day[10:], [("a", 823, 0), ("b", 9, 0)])]):
+        write_parts(spark, part, events, f"{tmp_path}/in", 1)
+        stream = jobs.read_stream(spark, f"{tmp_path}/in", events)
+        out = jobs.run_to_end(jobs.rule_responses(stream, frame(spark, own, rules), 100), folder=f"{tmp_path}/out")
+    for r in out.collect():
+        seen.setdefault(r["rule"], []).append(r["event_id"])
+    assert sorted(seen["a"]) == [1, 5, 9, 13, 17] and sorted(seen["b"]) == [10, 14, 18]
+
+
 def test_failing_queries_are_captured_once(spark, tmp_path):
     schema = "error_number long, severity long"
     data = [(17830, 20), (208, 16), (50000, 10), (823, 24)]
@@ -121,14 +164,33 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert rows(got, "n") == [(1,), (2,)]
 
 
+@pytest.mark.parametrize("slide", [None, "10 minutes"])
+def test_late_rows_are_counted_apart(spark, tmp_path, slide):
+    rng = random.Random(4)
+    data = [("ab"[i % 2], START + timedelta(minutes=rng.randrange(0, 900))) for i in range(200)]
+    write_parts(spark, data, "k string, ts timestamp_ntz", f"{tmp_path}/in", 5)
+    stream = jobs.read_stream(spark, f"{tmp_path}/in", "k string, ts timestamp_ntz", files_per_batch=1)
+    for _ in range(2):  # a second start finds nothing new
+        jobs.counts_with_late(stream, ["k"], "ts", "30 minutes", f"{tmp_path}/out", slide, "1 hour").awaitTermination()
+    got = jobs.corrected_counts(spark, f"{tmp_path}/out", ["k"])
+    whole = jobs.event_counts(frame(spark, data, "k string, ts timestamp_ntz"), ["k"], "ts", "30 minutes", slide)
+    assert rows(got, "window_start", "k", "n") == rows(whole, "window_start", "k", "n")
+    late, newest = 0, None
+    for i in range(5):
+        part = data[40 * i:40 * i + 40]
+        late += sum(newest is not None and t < newest - timedelta(hours=1) for _, t in part)
+        newest = max([t for _, t in part] + ([newest] if newest else []))
+    assert late > 20 and got.agg(F.sum("late")).first()[0] == late * (3 if slide else 1)
+    assert got.filter("counted + late <> n").count() == 0
+
+
 def test_outages_and_duplicates(spark, tmp_path):
     schema = "server_name string, ts timestamp_ntz"
     minutes = [0, 10, 39, 80, 81, 200]
-    write_parts(spark, [("s", START + timedelta(minutes=m)) for m in minutes], schema, f"{tmp_path}/in", 1)
+    write_parts(spark, [("s", START + timedelta(minutes=m)) for m in minutes] + [("beat", START + timedelta(days=9))], schema, f"{tmp_path}/in", 1)
     stream = jobs.read_stream(spark, f"{tmp_path}/in", schema)
-    out = jobs.run_to_end(jobs.outages(stream, ["server_name"], "ts"), "complete", f"{tmp_path}/out")
-    newest = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    assert rows(newest, "failures") == [(1,), (2,), (3,)]
+    out = jobs.run_to_end(jobs.outages(stream, ["server_name"], "ts"), folder=f"{tmp_path}/out")
+    assert rows(out.filter("server_name = 's'"), "failures") == [(1,), (2,), (3,)]
 
     doubled = [("a", START), ("a", START + timedelta(minutes=5)), ("b", START)]
     got = through(spark, doubled, schema, tmp_path / "dup",
@@ -154,3 +216,16 @@ def test_duplicates_do_not_depend_on_the_batches(spark, tmp_path, parts):
 def test_probe_failures(spark):
     probes = frame(spark, [("s1", START, True), ("s2", START, False)], "server_name string, probed_at timestamp_ntz, answered boolean")
     assert rows(logs.probe_failures(probes), "line") == [("s2 : 2024-01-01 00:00:00 - Request Timed Out",)]
+
+
+def test_a_hot_server_sends_outages_not_failures(spark, tmp_path):
+    schema = "server_name string, ts timestamp_ntz"
+    data = [("hot", START + timedelta(seconds=i)) for i in range(4000)] + [("beat", START + timedelta(days=9))]
+    write_parts(spark, data, schema, f"{tmp_path}/in", 2)
+    stream = jobs.read_stream(spark, f"{tmp_path}/in", schema)
+    spark.conf.set(jobs.MERGE_SESSIONS, "true")
+    query = jobs.start(jobs.outages(stream, ["server_name"], "ts"), f"{tmp_path}/out")
+    query.awaitTermination()
+    assert any(p.stateOperators[0].numRowsUpdated and p.stateOperators[0].numRowsUpdated < 10 for p in query.recentProgress)
+    out = jobs.results(spark, jobs.outages(stream, ["server_name"], "ts"), f"{tmp_path}/out")
+    assert rows(out.filter("server_name = 'hot'"), "failures") == [(4000,)]

@@ -24,6 +24,21 @@ def event_time(event: Column) -> Column:
         .cast("timestamp_ntz")
 
 
+#: Fixed value: what stands before the time in the tag that a document begins with.
+TIME_MARK = 'timestamp="'
+
+
+def maybe_since(document: Column, bound: Column) -> Column:
+    """False for a document whose first tag carries a time before the bound; the text is scanned, not parsed.
+
+    Times are compared as text, to the second. A tag without the mark begins with ``<``,
+    which is behind every digit, so such a document stays, for the parser to judge.
+    """
+    tag = F.substring_index(F.ltrim(document), ">", 1)
+    at = F.translate(F.substring_index(tag, TIME_MARK, -1), " ", "T")
+    return at >= F.date_format(bound, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def nth(event: Column, kind: str, position: int) -> Column:
     """The n-th ``value`` or ``text`` node of all data nodes, in document order."""
     present = F.filter(event["data"], lambda node: node[kind].isNotNull())

@@ -55,9 +55,18 @@ def connections_union(connections: DataFrame, sessions: DataFrame, listener_ips:
 # -- health events ------------------------------------------------------------------------------
 
 def _recent(xe: DataFrame, name: str | None, as_of: str | datetime, hours: int, utc_offset: int) -> DataFrame:
-    """Parsed events of a kind in the last hours, with local time."""
-    rows = parse_events(xe, name=name).withColumn("timestamp", dates.shift_hours(F.col("event_time"), utc_offset))
-    return rows.filter(F.col("timestamp") >= dates.ago(as_of, hours, "hour"))
+    """Parsed events of a kind in the last hours, with local time.
+
+    The bound is moved to the time of the events, so that older days are not read (an event
+    is captured on its day or later) and older documents are not parsed.
+    """
+    bound = dates.shift_hours(dates.ago(as_of, hours, "hour"), -utc_offset)
+    if "captured_date" in xe.columns:
+        xe = xe.filter(F.col("captured_date") >= bound.cast("date"))
+    if "event_xml" in xe.columns:  # a reader may have parsed them already
+        xe = xe.filter(xmls.maybe_since(F.col("event_xml"), bound))
+    rows = parse_events(xe, name=name)
+    return rows.filter(F.col("event_time") >= bound).withColumn("timestamp", dates.shift_hours(F.col("event_time"), utc_offset))
 
 
 def _value(position: int) -> Column:

@@ -163,6 +163,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["lines"]).parquet(path)
 
 
+def printed_output(lines: DataFrame) -> DataFrame:
+    """(server_name, line, output) of what servers printed, from captured lines; a blank line is null.
+
+    The server is that of the lines, where they carry one, else the one their file belongs to.
+    """
+    server = F.coalesce(F.col("server_name"), server_of(F.col("file"))) if "server_name" in lines.columns else server_of(F.col("file"))
+    return lines.select(server.alias("server_name"), F.col("line_no").alias("line"), F.when(F.trim("line") != "", F.col("line")).alias("output"))
+
+
 # Lines of a printed directory listing.
 DIRECTORY_LINE = r"^\s*Directory of\s+(.*?)\s*$"
 FILE_LINE = r"^(\d\d/\d\d/\d{4}\s+\d\d:\d\d [AP]M)\s+(\d+) (.+)$"
@@ -201,13 +210,14 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     """Performance-counter log in CSV form: one column per counter to one row per sample.
 
     The first column is the time; the others are named ``\\\\server\\object(instance)\\counter``.
+    A file may have several headers (counters were added): each names the samples up to the next.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = numbered_lines(spark.read.text(path)).filter(F.trim("value") != "")
     cells = F.split(F.regexp_replace("value", r'^\s*"|"\s*$', ""), '"\\s*,\\s*"')
     is_header = F.col("value").rlike(HEADER_LINE)
-    headers = lines.filter(is_header).select("file", cells.alias("_names"))
-    samples = lines.filter(~is_header & (F.trim("value") != "")).select("file", cells.alias("_values"))
-    rows = (samples.join(headers, "file")  # each file has a header of its own
+    named = adjacent.carry_forward(lines.withColumn("_values", cells).withColumn("_header", is_header), ["file"], "line_no", F.when(F.col("_header"), F.col("_values")),
+                                   adjacent.line_bucket("line_no"), "_names")
+    rows = (named.filter(~F.col("_header") & F.col("_names").isNotNull())  # a header names the samples up to the next one
             .select(F.element_at("_values", 1).alias("_at"), F.explode(F.arrays_zip(
                 F.slice("_names", 2, F.size("_names")).alias("name"), F.slice("_values", 2, F.size("_names")).alias("value"))).alias("_c"))
             .select("_at", F.col("_c.name").alias("_counter"), F.col("_c.value").alias("_value")))

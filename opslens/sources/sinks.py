@@ -28,7 +28,7 @@ def append_log(df: DataFrame, path: str, batch: str | int, facts: dict[str, Colu
     """
     spark = df.sparkSession
     entry = f"{path}/ledger/batch={batch}"
-    if _published(spark, entry):
+    if _exists(spark, f"{entry}/_SUCCESS"):  # written last
         return False
     seen = Observation()
     found = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[value.alias(name) for name, value in (facts or {}).items()])
@@ -38,18 +38,19 @@ def append_log(df: DataFrame, path: str, batch: str | int, facts: dict[str, Colu
     return True
 
 
-def _published(spark: SparkSession, entry: str) -> bool:
-    try:
-        return bool(spark.read.parquet(entry).head(1))
-    except AnalysisException:  # no such folder, or none that was finished
-        return False
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it is."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """(batch, rows, facts...) of the published batches of a log; None if there is none."""
+    if not _exists(spark, f"{path}/ledger"):
+        return None
     try:
         return spark.read.parquet(f"{path}/ledger")
-    except AnalysisException:
+    except AnalysisException:  # the first entry was not finished
         return None
 
 

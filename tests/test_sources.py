@@ -108,6 +108,33 @@ def test_counter_files_keep_their_own_header(spark, tmp_path):
     assert rows(got, "server_name", "value") == [("SRVA", 512.0), ("SRVB", 512.0)]
 
 
+def test_a_second_header_names_what_follows(spark, tmp_path):
+    (tmp_path / "c.csv").write_text(
+        '"(PDH-CSV 4.0)","\\\\S\\Memory\\Free"\n"01/31/2024 10:00:00.000","1"\n"01/31/2024 10:00:05.000","2"\n'
+        '"(PDH-CSV 4.0)","\\\\S\\Memory\\Free","\\\\S\\Disk(0)\\Reads"\n"01/31/2024 10:00:10.000","3","4"\n')
+    got = readers.read_counters(spark, str(tmp_path))
+    assert rows(got, "counter_name", "value") == [("Disk\\Reads", 4.0), ("Memory\\Free", 1.0), ("Memory\\Free", 2.0), ("Memory\\Free", 3.0)]
+
+
+def test_printed_output_feeds_the_reports(spark):
+    lines = frame(spark, [("/x/server_name=S1/out.txt", 0, "a"), ("/x/server_name=S1/out.txt", 1, "  ")], "file string, line_no long, line string")
+    assert rows(readers.printed_output(lines)) == [("S1", 0, "a"), ("S1", 1, None)]
+
+
+def test_old_events_are_not_parsed(spark):
+    from opslens.functions import xmls
+    from opslens.plans import availability
+    event = '<event name="error_reported" package="x" timestamp="{}"><data name="error_number"><value>5</value></data></event>'
+    odd = "<event name='error_reported' timestamp='2024-01-31T09:59:59.999Z'/>"
+    texts = [event.format("2024-01-31T10:00:00.000Z"), event.format("2024-01-30T10:00:00.000Z"), "  " + odd, "<?xml version='1.0'?>" + odd, "junk", None]
+    xe = frame(spark, [("s", t) for t in texts], "server_name string, event_xml string")
+    kept = xe.filter(xmls.maybe_since(F.col("event_xml"), F.expr("TIMESTAMP_NTZ'2024-01-31 10:00:00'")))
+    assert [r["event_xml"] for r in kept.collect()] == [texts[0], texts[2], texts[3], "junk"]  # only the quotes of the server's own are read
+    for offset, hours, want in ((0, 2, 1), (1, 2, 1), (0, 27, 2), (-3, 29, 1), (3, 21, 2)):
+        got = availability.ha_errors(xe.filter("event_xml like '<event%'"), "2024-01-31 12:00:00", hours + offset, offset)
+        assert got.count() == want, (offset, hours)
+
+
 def test_server_of_a_path(spark, tmp_path):
     folder = tmp_path / "server_name=SRV7"
     folder.mkdir()

@@ -20,17 +20,18 @@ repeated rows each get their own result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from opslens.llm.common import bounded_batches
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of word characters; numbers such as ``²`` or ``Ⅳ`` are among them and are taken out after.
+RUNS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 SURE_WORDS = 20
 ROWS = 300_000
@@ -40,34 +41,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters (the categories L), as the training counts them."""
+    found = RUNS.findall(text.lower()) if text else []
+    if text and not text.isascii() and not all(map(str.isalpha, found)):
+        found = [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
+    return found
+
+
 class Model:
     """Languages, and log frequencies of words and n-grams in each."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: list[tuple[list[str], np.ndarray]]):
         self.languages = languages
-        self.names, self.rows = list(words), np.array(list(words.values()), dtype=np.float32).reshape(len(words), len(languages))
-        self.grams = [(list(g), np.array(list(g.values()), dtype=np.float32).reshape(len(g), len(languages))) for g in grams]
+        self.names, self.rows = words
+        self.grams = grams
 
 
 def counted(rows: list[tuple[str, str, int]], languages: list[str], smooth: float = 0.5) -> Model:
     """The model of (word, language, count) rows."""
     place = {language: i for i, language in enumerate(languages)}
-    zero = lambda: np.zeros(len(languages))
-    words: dict[str, np.ndarray] = defaultdict(zero)
-    grams: list[dict[str, np.ndarray]] = [defaultdict(zero) for _ in range(LONGEST)]
-    for word, language, n in rows:
-        words[word][place[language]] += n
-    for word, counts in words.items():
+    names: dict[str, int] = {}
+    at = [names.setdefault(word, len(names)) for word, _, _ in rows]
+    words = np.zeros((len(names), len(languages)))
+    np.add.at(words, (at, [place[language] for _, language, _ in rows]), [n for _, _, n in rows])
+    index: list[dict[str, int]] = [{} for _ in range(LONGEST)]
+    met = [(array("i"), array("i")) for _ in range(LONGEST)]  # n-gram, word
+    for i, word in enumerate(names):
         for n, gram in _pieces(word):
-            grams[n - 1][gram] += counts
+            met[n - 1][0].append(index[n - 1].setdefault(gram, len(index[n - 1])))
+            met[n - 1][1].append(i)
 
-    def logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def logs(table: dict[str, int], counts: np.ndarray) -> tuple[list[str], np.ndarray]:
         if not table:
-            return {}
-        total = np.sum(list(table.values()), axis=0) + smooth * len(table)
-        return {k: np.log((v + smooth) / total) for k, v in table.items()}
+            return [], np.zeros((0, len(languages)), dtype=np.float32)
+        return list(table), np.log((counts + smooth) / (counts.sum(axis=0) + smooth * len(table))).astype(np.float32)
 
-    return Model(languages, logs(words), [logs(g) for g in grams])
+    grams = []
+    for table, (gram, of) in zip(index, met):
+        counts = np.zeros((len(table), len(languages)))
+        np.add.at(counts, np.array(gram, dtype=np.int64), words[np.array(of, dtype=np.int64)])
+        grams.append(logs(table, counts))
+    return Model(languages, logs(names, words), grams)
 
 
 def _pieces(word: str) -> list[tuple[int, str]]:
@@ -105,7 +120,7 @@ class Scorer:
         return place
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         total, known, seen = np.zeros(len(self.languages)), self.known, self.seen
@@ -138,7 +153,11 @@ class Scorer:
 
 
 def fitted(documents: DataFrame, per_language: int = 1500, vocabulary: int = 60_000, seed: int = 9) -> Model:
-    """Counts the model; about ``per_language`` documents of each language are read."""
+    """Counts the model; about ``per_language`` documents of each language are read.
+
+    Each language gives the same number of words, its most frequent ones: ``vocabulary`` in
+    all. A language with few documents does not lose its words to the others.
+    """
     labelled = documents.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -149,7 +168,8 @@ def fitted(documents: DataFrame, per_language: int = 1500, vocabulary: int = 60_
     sample = labelled.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(parts)) < limits[F.col("lang")])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     pairs = words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
-    top = pairs.orderBy(F.desc("n"), "word", "lang").limit(vocabulary).collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # over the words of a bounded sample
+    top = pairs.withColumn("rank", rank).filter(F.col("rank") <= max(1, vocabulary // len(languages))).collect()
     return counted([(r["word"], r["lang"], r["n"]) for r in top], languages)
 
 

@@ -279,9 +279,10 @@ def cleaned(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without their removed lines; a document that lost all its lines goes."""
     found = removed_lines(documents, least).filter("n_removed > 0").select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_lines", "n_removed", "removed")
-    own = documents.withColumn("h_own", F.xxhash64(F.col("text").isNull(), "text"))
-    both = own.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h_own") == F.col("h")), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")  # names of the columns may be any
+    own = documents.select(row, F.col("doc_id").alias("id"), F.xxhash64(F.col("text").isNull(), "text").alias("h_own"))
+    both = own.join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("h_own") == F.col("h")), "left")
     both = both.filter("n_removed is null or n_removed < n_lines")
-    left = F.filter(F.split("text", "\n", -1), lambda l, i: ~F.array_contains("removed", i.cast("long")))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return both.withColumn("text", text).select(*[F.col(f"`{c}`") for c in documents.columns])
+    left = F.filter(F.split("row.text", "\n", -1), lambda l, i: ~F.array_contains("removed", i.cast("long")))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])

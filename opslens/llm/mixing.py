@@ -183,14 +183,19 @@ RESULT = ["doc_id", "size", "source_size", "target", "taken"]
 
 
 def repeated(documents: DataFrame, **options) -> DataFrame:
-    """The rows of the documents, each as often as the mix takes it."""
-    copies = mix(documents, **options)
-    place = Window.partitionBy("doc_id", "text_hash").orderBy("source", "copies")
-    copies = copies.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("source").alias("s"), "copies",
-                           F.row_number().over(place).alias("i")).filter("copies > 0")
-    order = Window.partitionBy("doc_id", "h_own").orderBy("source")
-    own = (documents.withColumn("h_own", F.xxhash64(F.col("text").isNull(), "text"))
-           .withColumn("i_own", F.row_number().over(order)))
-    both = own.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h_own") == F.col("h")) & (F.col("i_own") == F.col("i")))
-    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The rows of the documents, each as often as the mix takes it.
+
+    Rows of one id, text and source share their copies evenly, the first of them taking what
+    is left over. The texts are shuffled once, and the rows of a key are counted where the
+    join has put them.
+    """
+    key = lambda id, source: F.xxhash64(id.isNull(), id, source.isNull(), source)
+    taken = mix(documents, **options).select(key(F.col("doc_id"), F.col("source")).alias("k"), F.col("text_hash").alias("h"), "copies")
+    taken = taken.groupBy("k", "h").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).filter("copies > 0")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")  # names of the columns may be any
+    own = documents.select(row, key(F.col("doc_id").cast("long"), F.col("source")).alias("k"), F.xxhash64(F.col("text").isNull(), "text").alias("h"))
+    both = own.join(taken, ["k", "h"])
+    place = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(1)))
+    each = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("int")
+    both = both.withColumn("own", each.cast("int")).filter("own > 0")
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslens.llm.common import bounded_batches, written
 from opslens.llm.components import components
@@ -43,16 +43,21 @@ LEAF = 64
 SCALE, SHARE = 175, 75
 
 
+def text_hash() -> Column:
+    """Tells texts of one id apart; a null text is none of them."""
+    return F.xxhash64(F.col("text").isNull(), "text").alias("text_hash")
+
+
 def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, node, check, keys, counts): size, a 128-bit hash of the set, its least hashes, its point."""
+    """(doc_id, text_hash, n, node, check, keys, counts): size, a 128-bit hash of the set, its least hashes, its point."""
     bounded_batches(documents.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()),
                         ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[] for _ in range(5)]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingle_set(text)
                 spread = mixed(own + np.uint64(0x9E3779B97F4A7C15))
                 rows[0].append(len(own))
@@ -62,10 +67,10 @@ def sketches(documents: DataFrame) -> DataFrame:
                 counts = np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
                 rows[4].append(np.minimum(counts, FULL).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(r, f.type) for r, f in zip(rows, list(schema)[1:], strict=True)]], schema=schema)
+                [batch.column(0), batch.column(1), *[pa.array(r, f.type) for r, f in zip(rows, list(schema)[2:], strict=True)]], schema=schema)
 
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id long, n long, node long, check long, keys array<long>, counts binary")
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text")
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, n long, node long, check long, keys array<long>, counts binary")
 
 
 def survivors(sizes: np.ndarray, component: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
@@ -203,7 +208,7 @@ def verified(pairs: DataFrame, members: DataFrame, documents: DataFrame) -> Data
 
 
 def linked(documents: DataFrame, hot: int = 256) -> tuple[DataFrame, DataFrame]:
-    """All documents as (doc_id, n, node), and links (a, b) between nodes that connect what is connected."""
+    """All documents as (doc_id, text_hash, n, node), and links (a, b) between nodes that connect what is connected."""
     table = written(sketches(documents), "ngram-sketches")
     full = table.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     points = written(full.groupBy("node").agg(F.min(F.struct("doc_id", "n", "keys", "counts")).alias("p")).select("node", "p.*"), "ngram-points")
@@ -227,20 +232,31 @@ def linked(documents: DataFrame, hot: int = 256) -> tuple[DataFrame, DataFrame]:
     more = written(rows.mapInArrow(_trees, "a long, b long").distinct(), "ngram-more")
     more = more.join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(written(verified(more, members, documents), "ngram-links"))
-    return table.select("doc_id", "n", "node"), links
+    return table.select("doc_id", "text_hash", "n", "node"), links
 
 
-def grouped(documents: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _placed(documents: DataFrame, **options) -> DataFrame:
+    """All documents with ``first``, the least (doc_id, text_hash) of their component; null without shingles or id."""
     table, links = linked(documents, **options)
     full = table.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    own = full.groupBy("node").agg(F.min("doc_id").alias("low"))
+    own = full.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low"))
     roots = components(links)
     placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(lowest, "root").select(F.col("node").alias("of"), "component_id")
-    both = table.join(named, (F.col("node") == F.col("of")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    return both.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    lowest = placed.groupBy("root").agg(F.min("low").alias("first"))
+    named = placed.join(lowest, "root").select(F.col("node").alias("of"), "first")
+    return table.join(named, (F.col("node") == F.col("of")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+
+
+def grouped(documents: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    both = _placed(documents, **options)
+    return both.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def copies(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, text_hash) of the documents that are not the first of their component; an id may have several texts."""
+    both = _placed(documents, **options)
+    return both.filter(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
 
 
 SQL = r"""

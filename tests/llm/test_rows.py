@@ -134,6 +134,21 @@ def test_language_on_odd_rows(spark):
     assert set(docs.columns) <= set(passed.columns) and passed.count() == docs.count()
 
 
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (3, "der hund und die katze", "de"), (4, "² ½ ①", None), (5, "Ⅳ", None), (6, "cat²the ٣", None)],
+                                 "doc_id long, text string, lang string")
+    model = language.counted([("the", "en", 5), ("cat", "en", 2), ("der", "de", 5)], ["de", "en"])
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predicted(docs, model).collect()}
+    assert found[4] == found[5] == "und" and found[6] == found[1] == "en"
+    assert language.words_of("cat²the Ⅳ é1") == ["cat", "the", "é"]
+
+
+def test_a_small_language_keeps_its_words(spark):
+    rows = [(i, f"word{'abcdefgh'[i % 8] * (1 + i % 5)} the of", "en") for i in range(400)] + [(1000 + i, "kissa istuu matolla", "fi") for i in range(3)]
+    model = language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary=8)
+    assert {"kissa", "istuu", "matolla"} & set(model.names)
+
+
 def test_predictions_read_the_text_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fitted(docs)

@@ -41,12 +41,12 @@ def line_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.grouped(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    own = left.withColumn("_text_hash", F.xxhash64(F.col("text").isNull(), "text"))
-    named, nameless = own.filter("doc_id is not null"), own.filter("doc_id is null")
-    return named.dropDuplicates(["doc_id", "_text_hash"]).unionByName(nameless).drop("_text_hash")
+    gone = ngram_join.copies(docs).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    # the row goes along in one column, so that columns of any name pass through
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), ngram_join.text_hash())
+    left = own.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti")
+    named, nameless = left.filter("id is not null"), left.filter("id is null")
+    return named.dropDuplicates(["id", "text_hash"]).unionByName(nameless).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from opslens.registry.common import Query
 
-FAMILIES = ["backup", "jobs", "storage", "workload", "logs", "availability", "inventory", "security", "streams", "captured"]
+FAMILIES = ["backup", "jobs", "storage", "workload", "logs", "availability", "inventory", "security", "streams", "captured", "kept"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -15,7 +15,7 @@ RUNS = {name: run for name, run in contract.queries().items() if name in OWN}
 SQLS = contract.oracle_sql()
 # Reports that run jobs while they are built: their plan is that of the last step.
 EAGER = {"blocking_tree", "block_leaders", "stream_event_counts", "stream_outages", "stream_dedup", "stream_late_counts", "stream_counter_rates",
-         "stream_alert_responses", "stream_milestones"}
+         "stream_alert_responses", "stream_milestones", "archive_move", *(name for name in OWN if name.endswith("_as_of"))}
 # At this size no row of the data qualifies.
 MAY_BE_EMPTY = {"bad_login_jobs", "jobs_running_at", "last_service_start"}
 

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from opslens.functions import xmls
-from opslens.operators import adjacent, changes
+from opslens.operators import adjacent, captures, changes
 from opslens.sources.schemas import SCHEMAS, schema_of
 from opslens.sources.sinks import scratch_table
 
@@ -27,6 +27,14 @@ def read_table(spark: SparkSession, folder: str, name: str, since: str | None =
     return df if since is None else df.filter(F.col("captured_date") >= F.lit(since).cast("date"))
 
 
+def read_state(spark: SparkSession, folder: str, name: str, as_of: str | datetime, within_days: int | None = None) -> DataFrame:
+    """A captured table as of a moment, with the columns a report joins on: the newest capture of each server.
+
+    Tables of the catalog have ``captures.state_as_of``, which opens no other capture's files.
+    """
+    return captures.as_of_capture(read_table(spark, folder, name), as_of, within_days=within_days).drop("captured_at", "captured_date")
+
+
 def read_fleet(spark: SparkSession, servers: list[str], read_one: Callable[[SparkSession, str], DataFrame]
                ) -> tuple[DataFrame | None, DataFrame]:
     """The same read on every server, rows tagged with the server.

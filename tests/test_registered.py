@@ -53,3 +53,32 @@ def test_flagship(spark):
     df = contract.entry(spark)
     assert df.columns == ["server_name", "database_name", "type", "avg_hours"]
     assert df.count() > 0
+
+
+def test_every_captured_table_has_a_schema(spark):
+    from opslens.bindings import Ops
+    from opslens.bindings.tables import TABLES
+    from opslens.sources.schemas import SCHEMAS
+    derived = {"ring_buffer_values", "xe_values", "alert_events", "ini_lines"}
+    tables = Ops(spark, FOLDER)
+    for name in set(TABLES) - derived:
+        declared = dict(spark.createDataFrame([], SCHEMAS[name]).dtypes)
+        bound = {c: kind for c, kind in getattr(tables, name).dtypes if c != "server_name"}
+        assert bound.items() <= declared.items(), (name, bound.items() - declared.items())
+
+
+def test_a_report_starts_from_captured_tables(spark, tmp_path):
+    from opslens.bindings import Ops
+    from opslens.plans import workload
+    from opslens.sources import readers
+    tables = Ops(spark, FOLDER)
+    names = ["sessions", "session_transactions", "database_transactions", "active_requests", "query_texts", "jobs"]
+    from pyspark.sql import functions as F
+    for name in names:
+        for hour, rows in ((1, getattr(tables, name).limit(3)), (2, getattr(tables, name)), (5, getattr(tables, name).limit(2))):
+            at = F.expr(f"TIMESTAMP_NTZ'2024-01-30 0{hour}:00:00'")
+            rows.withColumn("captured_at", at).withColumn("captured_date", at.cast("date")).write.mode("append").partitionBy("captured_date").parquet(f"{tmp_path}/{name}")
+    read = [readers.read_state(spark, str(tmp_path), name, "2024-01-30 04:00:00", within_days=1) for name in names]
+    got = workload.long_transactions(*read, "2024-01-31 00:00:00")
+    want = workload.long_transactions(*[getattr(tables, name) for name in names], "2024-01-31 00:00:00")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opslens.llm.common import SPACES, let, spaced_words
+from opslens.llm.common import let
 
 #: The symbols that are counted, separators of navigation bars, marks that end a sentence.
 SYMBOLS = "#*$%&|<>"
@@ -21,10 +21,16 @@ BOILERPLATE = (r"(?i)\b(cookie policy|accept (all )?cookies|uses cookies|subscri
                r"|all rights reserved|privacy policy|terms of (use|service)|click here|read more|share this"
                r"|enable javascript|follow us on|back to top|lorem ipsum)\b")
 WINDOW = 5
+SPACE, NO_SPACE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+WORD = f"{NO_SPACE}+"
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def _repeated(words: Column) -> Column:
@@ -55,16 +61,16 @@ def _repeated(words: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
+    return line.rlike(NO_SPACE)
 
 
 def _bad(line: Column) -> Column:
     """A line that is navigation, boilerplate, noise of symbols or marks, or a stub without a sentence end."""
-    words = F.size(spaced_words(line))
-    bars = _without(line, BARS)
+    words = _count(line, WORD)
+    bars = _count(line, f"[{BARS}]")
     doubled = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     return ((bars >= 3) & (bars * 4 >= words)
-            | (_without(line, SYMBOLS) * 10 >= F.length(line))
+            | (_count(line, f"[{SYMBOLS}]") * 10 >= F.length(line))
             | (doubled >= 2) & (doubled * 4 >= words)
             | (words < 4) & ~line.rlike(SENTENCE_END)
             | line.rlike(BOILERPLATE))
@@ -82,10 +88,10 @@ def judged(documents: DataFrame, text: str = "text", max_lost: float = 0.5, min_
 
     def parts(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n", -1), _has_word)
-        return let(spaced_words(t), lambda words: let(lines, lambda worded: F.struct(
+        return let(_words(t), lambda words: let(lines, lambda worded: F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-            _without(t, SYMBOLS).cast("long").alias("n_symbols"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            _count(t, f"[{SYMBOLS}]").cast("long").alias("n_symbols"),
             (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
             _repeated(words).alias("n_repeat_words"),
             F.array_join(F.filter(F.split(t, "\n", -1), lambda l: ~(_has_word(l) & _bad(l))), "\n").alias("cleaned_text"))))
@@ -93,7 +99,7 @@ def judged(documents: DataFrame, text: str = "text", max_lost: float = 0.5, min_
     found = documents.withColumn("_parts", F.explode(F.array(let(whole, parts))))
     failed = ((F.col("_parts.n_words") < min_words)
               | (F.col("_parts.n_repeat_words") * 100 > F.col("_parts.n_words") * F.lit(max_repeated)))
-    left = F.length(F.translate("_parts.cleaned_text", SPACES, ""))
+    left = F.length(F.regexp_replace("_parts.cleaned_text", f"{SPACE}+", ""))
     lost = F.when(F.col("_parts.word_chars") == 0, 0.0).otherwise(1 - left / F.col("_parts.word_chars"))
     return (found.select(*[F.col(f"`{c}`") for c in documents.columns], "_parts.*", failed.alias("base_failed"),
                          lost.alias("lost"))

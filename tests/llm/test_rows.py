@@ -65,6 +65,15 @@ def test_addresses_are_found_whole_with_or_without_a_written_dot(model):
         assert pii.redactions(text, model) == ([], []), text
 
 
+def test_prose_hosts_times_and_amounts_are_left_alone(model):
+    for text in ("look at www.example.com", "meet at noon.Tomorrow", "see me at home.Then go", "file at data.csv is big", "we met at home.Then we left",
+                 "2024-01-02 10:11:12.123", "logged 2023-11-05 23:59:59,999 by x", "values 1 000 000 000 000 000", "in 2019-2020 we sold 12 500 000 units",
+                 "price 12,345,678.90 total", "look at page 12.3 now", "ratio 3.14159265358979", "isbn 978-12-3456"):
+        assert pii.redactions(text, model) == ([], []), text
+    for text in ("jane (at) example.org", "card 4111.1111.1111.1111 was", "call 555-123-4567 today"):
+        assert pii.redactions(text, model)[1], text
+
+
 def test_runs_of_address_parts_take_linear_time(model):
     for text in ("a at " * 50_000, "a.b@" * 50_000, "a dot " * 50_000 + "at b dot c", "x(at)" * 50_000, ("a." * 40 + "a at b.c ") * 2_000):
         pii.redactions(text, model)

@@ -1,8 +1,6 @@
-"""Per-key state of the streaming jobs.
+"""Suppression of repeated events: a key's newest time is all its state.
 
-Rows of a key come in chunks; only times and numbers are kept of them, and the
-state is a handful of values. Samples of one key must not arrive in a later
-micro-batch than newer ones.
+Rows of a key must not arrive in a later micro-batch than newer ones.
 """
 
 from __future__ import annotations
@@ -14,34 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
-from opslens.functions.codes import MILESTONE_GAP_SECONDS, MILESTONES
-
 # Executors get the functions below with the tasks; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LAST_SEEN_STATE = "seen long"
 
-MILESTONE_ROWS = ("server_name string, job_id long, milestone long, sampled_at timestamp, "
-                  "percent_complete double, announced boolean")
-MILESTONE_STATE = "progress long, announced_at timestamp"
-
-RESPONSE_ROWS = ("server_name string, rule string, event_id long, event_time timestamp, "
-                 "error_number long, severity long")
-RESPONSE_STATE = "responded_at timestamp"
-
-RATE_ROWS = ("server_name string, counter_name string, instance_name string, sample_id long, "
-             "captured_at timestamp, seconds long, change long, rate_per_second long")
-RATE_STATE = "captured_at timestamp, value long"
-
-
-def _stamp(value) -> pd.Timestamp:
-    return pd.Timestamp(value)
-
-
-def _whole_seconds(a: pd.Timestamp, b: pd.Timestamp) -> int:
-    """Second boundaries between two times."""
-    return int(b.floor("s").timestamp()) - int(a.floor("s").timestamp())
-
 
 def first_of_equals(ts: str, quiet_seconds: int):
     """Rows of a key with none of that key in the time before them; the state is the newest time.
@@ -72,66 +47,3 @@ def first_of_equals(ts: str, quiet_seconds: int):
         yield rows[rows["_at"].isin(starts)].sort_values("_at").drop(columns="_at")
 
     return run
-
-
-def milestones(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    progress, announced_at = state.get if state.exists else (0, None)
-    firsts: dict[int, tuple] = {}
-    for chunk in chunks:
-        for low, high in MILESTONES:
-            inside = chunk[(chunk["percent_complete"] >= low) & (chunk["percent_complete"] < high)]
-            if len(inside):
-                row = inside.sort_values(["sampled_at", "sample_id"]).iloc[0]
-                found = (row["sampled_at"], int(row["sample_id"]), float(row["percent_complete"]))
-                firsts[low] = min(firsts.get(low, found), found)
-    rows = []
-    for low, (sampled_at, _, percent) in sorted(firsts.items(), key=lambda item: item[1]):
-        if low <= progress:
-            continue
-        progress = low
-        last = None if announced_at is None else _stamp(announced_at)
-        told = last is None or _whole_seconds(last, sampled_at) > MILESTONE_GAP_SECONDS
-        if told:
-            announced_at = sampled_at
-        rows.append((*key, low, sampled_at, percent, told))
-    state.update((progress, announced_at))
-    yield pd.DataFrame(rows, columns=["server_name", "job_id", "milestone", "sampled_at", "percent_complete",
-                                      "announced"])
-
-
-def rate_limit(delay_seconds: int):
-    gap = pd.Timedelta(seconds=delay_seconds)
-
-    def run(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = _stamp(state.get[0]) if state.exists else None
-        waiting = [c if last is None else c[c["event_time"] >= last + gap] for c in chunks]
-        rows = pd.concat(waiting).sort_values(["event_time", "event_id"], ignore_index=True)
-        times = rows["event_time"]
-        chosen = []
-        i = 0 if last is None else int(times.searchsorted(last + gap, side="left"))
-        while i < len(rows):
-            chosen.append(i)
-            last = times.iloc[i]
-            i = int(times.searchsorted(last + gap, side="left"))
-        if last is not None:
-            state.update((last,))
-        yield rows.iloc[chosen][["server_name", "rule", "event_id", "event_time", "error_number", "severity"]]
-
-    return run
-
-
-def rates(key: tuple, chunks: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(chunks)).sort_values(["captured_at", "sample_id"], ignore_index=True)
-    before_at, before_value = rows["captured_at"].shift(), rows["value"].shift()
-    if state.exists:
-        at, value = state.get
-        before_at.iloc[0], before_value.iloc[0] = _stamp(at), value
-    state.update((rows["captured_at"].iloc[-1], int(rows["value"].iloc[-1])))
-    known = before_at.notna()
-    rows, before_at, before_value = rows[known], before_at[known], before_value[known]
-    seconds = ((rows["captured_at"].dt.floor("s") - before_at.dt.floor("s")) // pd.Timedelta(seconds=1)).astype("int64")
-    change = (rows["value"] - before_value).astype("int64")
-    per_second = pd.Series(np.where(seconds > 0, np.trunc(change / seconds.replace(0, 1)), np.nan),
-                           index=rows.index).astype("Int64")
-    yield rows[["server_name", "counter_name", "instance_name", "sample_id", "captured_at"]].assign(
-        seconds=seconds, change=change, rate_per_second=per_second)

@@ -118,20 +118,21 @@ def rarity(documents: DataFrame) -> np.ndarray:
     return table
 
 
-LINE = ("doc_id long, text_hash long, line long, n long, node long, low long, high long, keys array<long>, places array<int>, "
-        "crowded array<boolean>")
+LINE = "doc_id long, text_hash long, line long, n long, node long, low long, high long, keys array<long>"
+#: A key is 48 bits of a word's hash (the bucket's among them), 15 of its place and one that tells a crowded word. A
+#: place beyond the last of these is stored as that one, which only weakens the positional filter.
+WORD, LAST_PLACE = 16, (1 << 15) - 1
 
 
 def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """A row per line with words: its set's size and hash, and the words of its prefix with their places.
+    """A row per line with words: its set's size, hash and image, and the keys of its prefix.
 
     A document without such lines gives one row with a null line. Lines under ``least`` words have no hash.
     """
     spark = documents.sparkSession
     levels = spark.sparkContext.broadcast(rarity(documents))  # 2^24 bytes
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("node", pa.int64()),
-                        ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
-                        ("crowded", pa.list_(pa.bool_()))])
+                        ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def of(text: str | None, level: np.ndarray):
         line, start, words, total = line_sets(text)
@@ -150,8 +151,9 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
         prefix = n - (SHARE * n + SCALE - SHARE - 1) // (SCALE - SHARE) + 1
         keep = (place < prefix[which]) & (common[order] > 1) & (n[which] >= APART) & (total[which] >= least)
         kept = np.bincount(which[keep], minlength=len(line))
-        return (line, n, node, low, high, total, kept, words[order][keep].astype(np.int64), place[keep].astype(np.int32),
-                common[order][keep] > CROWD_LEVEL)
+        keys = ((words[order][keep] << np.uint64(WORD)) | (np.minimum(place[keep], LAST_PLACE).astype(np.uint64) << np.uint64(1))
+                | (common[order][keep] > CROWD_LEVEL).astype(np.uint64))
+        return line, n, node, low, high, total, kept, keys.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -160,20 +162,19 @@ def line_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
             for i, text in enumerate(batch.column(2).to_pylist()):
                 own = of(text, level)
                 if own is None:
-                    own = (np.full(1, -1), *[np.zeros(1, dtype=np.int64)] * 6, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool))
+                    own = (np.full(1, -1), *[np.zeros(1, dtype=np.int64)] * 6, np.zeros(0, dtype=np.int64))
                 found.append(own)
                 row.append(np.full(len(own[0]), i))
             if not found:
                 continue
-            line, n, node, low, high, total, kept, keys, places, crowded = [np.concatenate(c) for c in zip(*found, strict=True)]
+            line, n, node, low, high, total, kept, keys = [np.concatenate(c) for c in zip(*found, strict=True)]
             row = pa.array(np.concatenate(row))
             offsets = pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32())
             short = (total < least) | (line < 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(line, pa.int64(), mask=line < 0), pa.array(n, pa.int64()),
                  pa.array(node, pa.int64(), mask=short), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-                 pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32())),
-                 pa.ListArray.from_arrays(offsets, pa.array(crowded, pa.bool_()))], schema=schema)
+                 pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64()))], schema=schema)
 
     return _keyed(documents).mapInArrow(run, LINE)
 
@@ -236,24 +237,40 @@ def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def _posted(classes: DataFrame, crowded: bool) -> DataFrame:
+    """A row per class and word of its prefix, of the words that are crowded or of the others."""
+    flag = 1 if crowded else 0
+    keys = F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == flag)
+    return classes.select("id", "n", "low", "high", F.explode(keys).alias("k")).select(
+        F.shiftright("k", WORD).alias("key"), "id", "n", _place("k"), "low", "high")
+
+
+def _place(key: str) -> Column:
+    return F.shiftright(F.col(key).bitwiseAND(F.lit(2 * LAST_PLACE)), 1).alias("place")
+
+
+def _leaders(classes: DataFrame, crowd: DataFrame) -> DataFrame:
+    """The earliest class of each word, as a row of ``crowd``."""
+    least = crowd.groupBy("key").agg(F.min("id").alias("id"))  # fixed width: combined in hash tables before the shuffle
+    own = classes.select("id", "n", "low", "high", "keys").join(least, "id")
+    k = F.filter("keys", lambda k: F.shiftright(k, WORD) == F.col("key"))[0]
+    return own.withColumn("k", k).select("key", "id", "n", _place("k"), "low", "high")
+
+
 ORDER = ["doc_id", "text_hash", "line"]
 
 
 def judged(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, text_hash, line, removed): every line with words; a document without any has one row with a null line."""
     bounded_batches(documents.sparkSession)
-    table = written(line_table(documents, least), "line-table")
+    table = written(line_table(documents, least).withColumn("uid", F.monotonically_increasing_id()), "line-table")
     whole = table.filter("node is not null")
-    first = F.min(F.struct(*ORDER, "n", "low", "high", "keys", "places", "crowded")).alias("first")
-    ordered = whole.groupBy("node").agg(first).select("node", "first.*")
-    ordered = ordered.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    classes = written(ordered.withColumn("id", F.monotonically_increasing_id()), "line-classes")  # numbered in order
-    posted = classes.select("id", "n", "low", "high", F.explode(F.arrays_zip("keys", "places", "crowded")).alias("k"))
-    posted = posted.select("id", "n", "low", "high", F.col("k.keys").alias("key"), F.col("k.places").alias("place"), F.col("k.crowded").alias("crowded"))
-    of = ["key", "id", "n", "place", "low", "high"]
-    crowd, few = written(posted.filter("crowded").select(*of), "line-crowds"), posted.filter("not crowded").select(*of)
-    leader = crowd.groupBy("key").agg(F.min(F.struct("id", "n", "place", "low", "high")).alias("s")).select("key", "s.*")
-    stars = written(_pairs(leader, crowd), "line-stars")
+    # classes are found and numbered on narrow rows; the keys follow once, by the number of the earliest line
+    first = whole.groupBy("node").agg(F.min(F.struct(*ORDER, "uid")).alias("first")).select("node", "first.*")
+    numbered = first.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("uid", F.monotonically_increasing_id().alias("id"))
+    classes = written(whole.join(numbered, "uid").drop("uid"), "line-classes")  # ids are in the order of the lines
+    crowd, few = _posted(classes, True), _posted(classes, False)
+    stars = written(_pairs(_leaders(classes, crowd), crowd), "line-stars")
     gone = written(verified(stars, classes, documents).select(F.col("b").alias("id")).distinct(), "line-gone")
     more = written(_pairs(crowd, crowd.join(gone, "id", "left_anti")).unionByName(_pairs(few, few)).distinct(), "line-more")
     more = more.join(stars, ["a", "b"], "left_anti")

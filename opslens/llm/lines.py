@@ -233,7 +233,8 @@ def _possible(a: str, b: str) -> Column:
 
 def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes with a common prefix word, the earlier one first, that pass the filters."""
-    met = earlier.alias("a").join(later.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _possible("a", "b"))
+    open_ = F.when(~F.col("b.gone"), F.col("b.id")) if "gone" in later.columns else F.col("b.id")
+    met = earlier.alias("a").join(later.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < open_) & _possible("a", "b"))
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
@@ -241,20 +242,19 @@ def _posted(classes: DataFrame, crowded: bool) -> DataFrame:
     """A row per class and word of its prefix, of the words that are crowded or of the others."""
     flag = 1 if crowded else 0
     keys = F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == flag)
-    return classes.select("id", "n", "low", "high", F.explode(keys).alias("k")).select(
-        F.shiftright("k", WORD).alias("key"), "id", "n", _place("k"), "low", "high")
+    own = ["id", "n", "low", "high", *[c for c in classes.columns if c == "gone"]]
+    return classes.select(*own, F.explode(keys).alias("k")).select(F.shiftright("k", WORD).alias("key"), _place("k"), *own)
 
 
 def _place(key: str) -> Column:
     return F.shiftright(F.col(key).bitwiseAND(F.lit(2 * LAST_PLACE)), 1).alias("place")
 
 
-def _leaders(classes: DataFrame, crowd: DataFrame) -> DataFrame:
+def _leaders(crowd: DataFrame) -> DataFrame:
     """The earliest class of each word, as a row of ``crowd``."""
-    least = crowd.groupBy("key").agg(F.min("id").alias("id"))  # fixed width: combined in hash tables before the shuffle
-    own = classes.select("id", "n", "low", "high", "keys").join(least, "id")
-    k = F.filter("keys", lambda k: F.shiftright(k, WORD) == F.col("key"))[0]
-    return own.withColumn("k", k).select("key", "id", "n", _place("k"), "low", "high")
+    least = crowd.groupBy("key").agg(F.min("id").alias("least"))  # fixed width: combined in hash tables before the shuffle
+    # not an equality, so that this join meets by the key alone, as the next does, and one shuffle serves both
+    return crowd.join(least, "key").filter("id <= least").drop("least")
 
 
 ORDER = ["doc_id", "text_hash", "line"]
@@ -270,9 +270,12 @@ def judged(documents: DataFrame, least: int = LEAST) -> DataFrame:
     numbered = first.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("uid", F.monotonically_increasing_id().alias("id"))
     classes = written(whole.join(numbered, "uid").drop("uid"), "line-classes")  # ids are in the order of the lines
     crowd, few = _posted(classes, True), _posted(classes, False)
-    stars = written(_pairs(_leaders(classes, crowd), crowd), "line-stars")
+    stars = written(_pairs(_leaders(crowd), crowd), "line-stars")
     gone = written(verified(stars, classes, documents).select(F.col("b").alias("id")).distinct(), "line-gone")
-    more = written(_pairs(crowd, crowd.join(gone, "id", "left_anti")).unionByName(_pairs(few, few)).distinct(), "line-more")
+    # a class that is gone still takes others along; told by a column, so that one shuffle serves both sides
+    told = classes.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    crowd = _posted(told, True)
+    more = written(_pairs(crowd, crowd).unionByName(_pairs(few, few)).distinct(), "line-more")
     more = more.join(stars, ["a", "b"], "left_anti")
     gone = gone.unionByName(written(verified(more, classes, documents).select(F.col("b").alias("id")).distinct(), "line-gone")).distinct()
     stays = classes.join(gone, "id", "left_anti").select("node", *[F.col(c).alias(f"first_{c}") for c in ORDER])

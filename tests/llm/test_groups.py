@@ -134,6 +134,34 @@ def test_a_crowd_of_near_copies_of_a_line(spark):
     assert {r["doc_id"]: list(r["removed"]) for r in lines.removed_lines(docs).collect()} == odd.removed(rows)
 
 
+def test_line_keys_meet_for_every_similar_pair_and_for_few_others():
+    r = np.random.default_rng(5)
+    vocabulary = np.sort(r.integers(0, 1 << 63, 900).astype(np.uint64))
+    levels = dict(zip(vocabulary.tolist(), r.permutation([*range(90, 150)] * 14 + [20, 40, 60] * 20).tolist(), strict=True))  # most are crowded
+    sets = []
+    for size in [*r.integers(4, 40, 600), 120, 200]:
+        own = r.choice(vocabulary, size, replace=False)
+        for changed in (0, 1, size // 9, size // 5):
+            other = np.concatenate((own[changed:], r.choice(vocabulary, r.integers(0, changed + 1))))
+            sets.append(np.unique(other))
+    sets = [s for s in sets if len(s) >= lines.APART]
+    words, n = np.concatenate(sets), np.array([len(s) for s in sets])
+    line, keys = lines.line_keys(words, np.repeat(np.arange(len(n)), n), n, np.array([levels[w] for w in words.tolist()], dtype=np.uint8))
+    assert (np.diff(line) >= 0).all()
+    own = [set(k.tolist()) for k in np.split(keys, np.searchsorted(line, np.arange(1, len(n))))]
+    whole = [set(s.tolist()) for s in sets]
+    similar, met = 0, 0
+    for i in range(len(n)):
+        for j in range(i):
+            if whole[i] != whole[j] and 9 * len(whole[i] & whole[j]) >= 4 * (n[i] + n[j]):
+                assert own[i] & own[j]
+                similar += 1
+            met += bool(own[i] & own[j])
+    prefix = [set(sorted(s, key=lambda w: (levels[w], w))[:len(s) - -(-4 * len(s) // 5) + 1]) for s in whole]
+    by_one_word = sum(bool(prefix[i] & prefix[j]) for i in range(len(n)) for j in range(i))
+    assert similar > 1000 and met < by_one_word / 2, (similar, met, by_one_word)
+
+
 def test_lines_on_odd_rows(spark):
     docs = odd.documents(spark)
     found = {r["doc_id"]: r for r in lines.removed_lines(docs).collect()}

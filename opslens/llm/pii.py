@@ -7,10 +7,14 @@ it; boosted trees score it, and a threshold per kind, calibrated on examples the
 have not seen, decides. Base spans always stay; accepted candidates are added where they
 overlap neither a base span nor a better candidate.
 
-The trees learn from two bounded sets: candidates of at most ``sample`` documents chosen
-by hash, labelled by the base rules' own checks, and a fixed list of made-up forms of
-the kinds the base rules do not cover. They are fitted on the driver in well under a
-second and travel to the tasks as small arrays; every document is then read once.
+The trees learn from two sets: what the base rules match in all documents, labelled by
+the rules' own checks, and a fixed list of made-up forms of the kinds the base rules do
+not cover. Equal examples are one row with a count. Only sums per node, feature and bin
+reach the driver; they are whole numbers, so the order in which they are added does not
+matter. Where the distinct examples are few they are kept on the driver and added up
+there, else Spark adds them up, a job per level of a tree, with the same sums. All
+examples of the documents together weigh at most as much as the made-up ones. Trees
+travel to the tasks as small arrays.
 
 Defined cases: a null text is empty; digits of any length are compared without being
 turned into numbers; repeated rows each get their own result; extra columns are ignored.
@@ -22,6 +26,7 @@ import bisect
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opslens.llm.common import bounded_batches
+from opslens.llm.common import bounded_batches, written
 
 #: The base patterns, in the order in which kinds are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -171,66 +176,116 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+#: Sums are counted in these units, so that they are whole numbers; scores are counted in steps of a grid.
+UNIT, GRID = float(1 << 36), 4096
+LARGEST = 255  # features are whole numbers; larger ones count as this in examples
+
+
+@dataclass
+class Examples:
+    """Distinct examples: bytes of features, label, weight, and whether they are held out of the fit."""
+    x: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+    held: np.ndarray
+
+
 class Boosted:
-    """Boosted trees for two classes over binned features: Newton steps on the log loss, shallow greedy trees."""
+    """Boosted trees for two classes over binned features: Newton steps on the log loss, shallow greedy trees.
+
+    The fit sees its examples only through ``added``, which applies a function from
+    examples to (slot, sums) to all of them and adds up the sums per slot.
+    """
 
     def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 16, least: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)], axis=1)
-        rate = min(max(float(y.mean()), 0.01), 0.99)
+        self.cuts: list[np.ndarray] = []
+
+    def values(self, rows: Examples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight by feature and value, and by label."""
+        fit = ~rows.held
+        x, w, y = rows.x[fit].astype(np.int64), np.rint(rows.weight[fit] * UNIT), rows.y[fit]
+        wide = x.shape[1]
+        slot = (np.arange(wide) * (LARGEST + 1) + x).ravel()
+        total = np.bincount(slot, np.repeat(w, wide), wide * (LARGEST + 1))
+        return _filled(np.append(total, 0), np.append(np.zeros(len(total)), (w * y).sum()))
+
+    def level(self, rows: Examples, tree: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slopes and curves by node of a level, feature and bin."""
+        at = np.zeros(len(rows.y), dtype=np.int64)
+        for _ in range(depth):
+            at = np.where(at >= 0, self._step(tree, rows.x, np.maximum(at, 0)), -1)
+        use = (at >= 0) & ~rows.held
+        x, y, w, at = rows.x[use], rows.y[use], rows.weight[use], at[use] - ((1 << depth) - 1)
+        p = self.score(x)
+        slope, curve = np.rint(w * (p - y) * UNIT), np.rint(w * (p * (1 - p) + 1e-6) * UNIT)
+        slots = (1 << depth) * self.bins
+        both = [[np.bincount(at * self.bins + np.searchsorted(cuts, x[:, j], side="left"), v, slots) for v in (slope, curve)] for j, cuts in enumerate(self.cuts)]
+        return _filled(*[np.concatenate([b[k] for b in both]) for k in (0, 1)])
+
+    def grid(self, rows: Examples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight and weight of the true ones by kind and step of the score, of the examples that are held out."""
+        x, y, w = rows.x[rows.held], rows.y[rows.held], np.rint(rows.weight[rows.held] * UNIT)
+        slot = x[:, :len(KINDS)].argmax(axis=1) * (GRID + 1) + np.floor(self.score(x) * GRID).astype(np.int64)
+        return _filled(*[np.bincount(slot, v, len(KINDS) * (GRID + 1)) for v in (w, w * y)])
+
+    def fit(self, added, width: int) -> "Boosted":
+        total, true = added(self.values, width * (LARGEST + 1) + 1)
+        total, true = total[:-1].reshape(width, -1), true[-1]
+        all_ = total[0].sum()
+        shares = np.linspace(0, 1, self.bins + 1)[1:-1]
+        self.cuts = [np.unique(np.searchsorted(np.cumsum(t), shares * all_)).astype(float) for t in total]
+        rate = min(max(float(true / all_), 0.01), 0.99)
         self.start = float(np.log(rate / (1 - rate)))
-        score = np.full(len(y), self.start)
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._tree(binned, p - y, p * (1 - p) + 1e-6)
-            self.trees.append(tree)
-            score += self._walk(tree, x)
+            self.trees.append(self._tree(added))
         return self
 
-    def _tree(self, binned, slope, curve):
+    def _tree(self, added):
         size = (1 << (self.depth + 1)) - 1
-        feature, cut, value = np.full(size, -1), np.zeros(size), np.zeros(size)
-        rows = {0: np.arange(len(slope))}
-        for node in range(size):
-            own = rows.pop(node, None)
-            if own is None or not len(own):
-                continue
-            g, h = slope[own].sum(), curve[own].sum()
-            value[node] = -self.rate * g / (h + self.least)
-            if node >= (size >> 1):
-                continue
-            best = (1e-6, -1, 0)
-            for j, cuts in enumerate(self.cuts):
-                if not len(cuts):
-                    continue
-                at = binned[own, j]
-                left_g = np.bincount(at, slope[own], len(cuts) + 1).cumsum()[:-1]
-                left_h = np.bincount(at, curve[own], len(cuts) + 1).cumsum()[:-1]
-                gain = left_g ** 2 / (left_h + self.least) + (g - left_g) ** 2 / (h - left_h + self.least) - g ** 2 / (h + self.least)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (gain[k], j, k)
-            if best[1] >= 0:
-                feature[node], cut[node] = best[1], self.cuts[best[1]][best[2]]
-                below = binned[own, best[1]] <= best[2]
-                rows[2 * node + 1], rows[2 * node + 2] = own[below], own[~below]
-        return feature, cut, value
+        feature, cut, value = tree = np.full(size, -1), np.zeros(size), np.zeros(size)
+        newton = lambda g, h: -self.rate * g / (h + self.least)
+        for depth in range(self.depth):
+            nodes = [n for n in range((1 << depth) - 1, (2 << depth) - 1) if not n or feature[(n - 1) // 2] >= 0]
+            if not nodes:
+                break
+            slope, curve = added(lambda rows: self.level(rows, tree, depth), len(self.cuts) * (1 << depth) * self.bins)  # noqa: B023
+            slope, curve = (v.reshape(len(self.cuts), 1 << depth, self.bins) / UNIT for v in (slope, curve))
+            for node in nodes:
+                own_g, own_h = slope[:, node - ((1 << depth) - 1)], curve[:, node - ((1 << depth) - 1)]
+                g, h = own_g[0].sum(), own_h[0].sum()
+                value[node] = newton(g, h)
+                best = (1e-6, -1, 0, 0.0, 0.0)
+                for j, cuts in enumerate(self.cuts):
+                    if not len(cuts):
+                        continue
+                    left_g, left_h = own_g[j].cumsum()[:len(cuts)], own_h[j].cumsum()[:len(cuts)]
+                    gain = left_g ** 2 / (left_h + self.least) + (g - left_g) ** 2 / (h - left_h + self.least) - g ** 2 / (h + self.least)
+                    k = int(gain.argmax())
+                    if gain[k] > best[0]:
+                        best = (gain[k], j, k, left_g[k], left_h[k])
+                if best[1] >= 0:
+                    feature[node], cut[node] = best[1], self.cuts[best[1]][best[2]]
+                    value[2 * node + 1], value[2 * node + 2] = newton(best[3], best[4]), newton(g - best[3], h - best[4])
+        return tree
 
     @staticmethod
-    def _walk(tree, x):
-        feature, cut, value = tree
+    def _step(tree, x, at):
+        """The node below, or -1 below a leaf."""
+        feature, cut, _ = tree
+        right = x[np.arange(len(x)), np.maximum(feature[at], 0)] > cut[at]
+        return np.where(feature[at] >= 0, 2 * at + 1 + right, -1)
+
+    @classmethod
+    def _walk(cls, tree, x):
         at = np.zeros(len(x), dtype=np.int64)
         while True:
-            inner = feature[at] >= 0
-            if not inner.any():
-                return value[at]
-            right = x[np.arange(len(x)), np.maximum(feature[at], 0)] > cut[at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+            below = cls._step(tree, x, at)
+            if not (below >= 0).any():
+                return tree[2][at]
+            at = np.where(below >= 0, below, at)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.start)
@@ -239,6 +294,11 @@ class Boosted:
         return 1 / (1 + np.exp(-total))
 
 
+def _filled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slot = np.flatnonzero((a != 0) | (b != 0))
+    return slot, a[slot], b[slot]
+
+
 def made_up(n: int = 4000, seed: int = 11) -> list[tuple[list[float], str, int]]:
     """Forms the base rules miss, and look-alikes that are no personal data: (features, kind, label).
 
@@ -301,50 +361,83 @@ class Model:
     thresholds: dict[str, float]
 
 
-def fitted(documents: DataFrame, sample: int = 4000, precision: float = 0.98, seed: int = 3) -> Model:
-    """The trees and their thresholds; at most about ``sample`` documents give examples, all of them checked by rule.
+EXAMPLE = "x binary, label int, held boolean"
 
-    A kind's threshold is the lowest score from which held-out examples reach ``precision``,
-    and never below one half: where it is one half, they are that precise down to there, as
-    made-up forms and look-alikes are told apart well.
-    """
-    total = documents.count()
-    share = min(1.0, sample / total) if total else 1.0
-    chosen = documents.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    chosen = chosen.filter(F.col("text").contains("@") | F.col("text").rlike("[0-9]{2}")).select("text")
-    width = len(features("0", "card", 0, 1))
+
+def example(text: str, kind: str, start: int, end: int, label: int) -> tuple[bytes, int, bool]:
+    """Features, label, and whether it is held out; copies of a passage are on one side."""
+    around = text[max(0, start - CONTEXT):end + 12].encode("utf-8", "surrogatepass")
+    return bytes(min(LARGEST, int(v)) for v in features(text, kind, start, end)), label, zlib.crc32(around) % 3 == 0
+
+
+def examples(documents: DataFrame) -> DataFrame:
+    """(x, label, held, n): what the base rules match in all documents and whether it passes their check; n times each."""
+    chosen = documents.filter(F.col("text").contains("@") | F.col("text").rlike("[0-9]{2}")).select("text")  # others have no match
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
                 good, bad = base_spans(text or "")
-                rows += [(k, 1, features(text, k, s, e)) for k, s, e in good]
+                rows += [example(text, k, s, e, 1) for k, s, e in good]
                 taken = _Taken()
                 for _, s, e in sorted(good, key=lambda g: g[1]):
                     taken.add(s, e)
-                rows += [(k, 0, features(text, k, s, e)) for k, s, e in bad if taken.free(s, e)]
+                rows += [example(text, k, s, e, 0) for k, s, e in bad if taken.free(s, e)]
             if rows:
-                kinds, labels, x = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(kinds), pa.array(labels, pa.int32()), pa.array([list(map(float, v)) for v in x], pa.list_(pa.float64()))],
-                                      names=["kind", "label", "x"])
-
-    rows = chosen.mapInArrow(run, "kind string, label int, x array<double>").collect() if total else []
-    examples = [(list(r["x"]), r["kind"], r["label"]) for r in rows] + made_up()
-    examples.sort(key=repr)  # the order of arrival must not matter
-    x = np.array([e[0] for e in examples], dtype=float).reshape(-1, width)
-    y = np.array([e[2] for e in examples], dtype=float)
-    kinds = np.array([e[1] for e in examples])
-    held = np.arange(len(y)) % 3 == 0
-    trees = Boosted().fit(x[~held], y[~held])
-    score = trees.score(x[held])
+                x, label, held = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(x, pa.binary()), pa.array(label, pa.int32()), pa.array(held)], names=["x", "label", "held"])
+
+    return chosen.mapInArrow(run, EXAMPLE).groupBy("x", "label", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fitted(documents: DataFrame, precision: float = 0.98, local: int = 50_000) -> Model:
+    """The trees and their thresholds, from the matches of the base rules in all documents and the made-up forms.
+
+    A kind's threshold is the lowest score from which held-out examples reach ``precision``,
+    and never below one half: where it is one half, they are that precise down to there, as
+    made-up forms and look-alikes are told apart well. ``local`` distinct examples are
+    added up on the driver; if there are more, Spark does it.
+    """
+    table = written(examples(documents), "pii-examples")
+    count, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    invented = made_up()
+    width = len(invented[0][0])
+    share = min(1.0, len(invented) / total) if total else 1.0
+
+    def rows(batch: pa.Table | pa.RecordBatch) -> Examples:
+        x = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, width)
+        return Examples(x, batch.column(1).to_numpy().astype(float), batch.column(3).to_numpy() * share,
+                        np.array(batch.column(2).to_pylist(), dtype=bool))
+
+    own = Examples(np.array([[min(LARGEST, v) for v in x] for x, _, _ in invented]).astype(np.uint8), np.array([y for _, _, y in invented], dtype=float),
+                   np.ones(len(invented)), np.arange(len(invented)) % 3 == 0)
+    parts = [own] + ([rows(table.toArrow())] if 0 < count <= local else [])
+
+    def added(sums, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums per slot over all examples."""
+        out = np.zeros((2, slots))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot, a, b = sums(rows(batch))
+                yield pa.record_batch([pa.array(slot), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["slot", "a", "b"])
+
+        found = [sums(part) for part in parts]
+        if count > local:
+            whole = table.mapInArrow(run, "slot long, a long, b long").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+            found.append(tuple(c.to_numpy() for c in whole.columns))
+        for slot, a, b in found:
+            out[0, slot] += a
+            out[1, slot] += b
+        return out[0], out[1]
+
+    trees = Boosted().fit(added, width)
+    weight, true = (v.reshape(len(KINDS), GRID + 1)[:, ::-1].cumsum(axis=1) for v in added(trees.grid, len(KINDS) * (GRID + 1)))
     thresholds = {}
-    for kind in KINDS:
-        own = kinds[held] == kind
-        order = np.argsort(-score[own], kind="stable")
-        right = np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1)
-        reached = np.flatnonzero(right >= precision)
-        thresholds[kind] = max(0.5, float(score[own][order][reached[-1]])) if len(reached) else 1.1
+    for kind, all_, good in zip(KINDS, weight, true, strict=True):
+        reached = np.flatnonzero((good >= precision * all_) & (all_ > 0))
+        thresholds[kind] = max(0.5, (GRID - int(reached[-1])) / GRID) if len(reached) else 1.1
     return Model(trees, thresholds)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import odd
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,23 @@ def test_runs_of_address_parts_take_linear_time(model):
         pii.redactions(text, model)
 
 
+def test_every_document_counts_in_the_fit(spark):
+    rows = [(i, f"mail {'abc'[i % 3]}@example.org today") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.examples(docs).collect()
+    assert sum(r["n"] for r in found) == 9000  # at most about 4,000 gave examples before
+    assert all(r["label"] == 1 for r in found)
+
+
+def test_sums_of_spark_and_of_the_driver_give_one_model(spark, monkeypatch):
+    monkeypatch.setattr(pii.Boosted.__init__, "__defaults__", (3, 3, 0.3, 16, 1.0))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    here, there = pii.fitted(docs), pii.fitted(docs.repartition(3), local=0)
+    assert here.thresholds == there.thresholds and len(here.trees.trees) == 3
+    for one, other in zip(here.trees.trees, there.trees.trees, strict=True):
+        assert all(np.allclose(a, b) for a, b in zip(one, other, strict=True))
+
+
 def test_pii_on_odd_rows(spark, model):
     rows = pii.scan(odd.documents(spark), model, with_text=True).collect()
     assert len(rows) == odd.documents(spark).count()

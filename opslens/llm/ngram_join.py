@@ -4,7 +4,10 @@ Every document is a set of hashed five-word shingles. The shingles are hashed in
 ``GROUPS`` groups; a document's counts per group are a point, and the summed minima of
 two points bound the overlap of the two sets from above. Points are indexed in R-trees:
 a leaf holds points of like size and the largest count per coordinate, so a leaf whose
-bound is too small is skipped whole. What survives is verified on the whole sets.
+bound is too small is skipped whole. A set of up to ``EXACT`` shingles travels as 16 bits of
+each, in no more bytes than counts; the counts follow from these, and a pair of two such
+sets must have the overlap in these bits, too, so that crowds just below the limit do not
+pair up. What survives is verified on the whole sets.
 
 So that no tree holds the corpus, trees are built per *key*: a document belongs to the
 trees of its ``KEYS`` smallest shingle hashes. Of the ``KEYS`` smallest of a linked
@@ -39,6 +42,7 @@ GROUPS = 256
 FULL = (1 << 16) - 1  # a count that is stored as this may be any larger number
 KEYS = 48
 LEAF = 64
+EXACT = GROUPS  # 16 bits of so many shingles take the bytes of a point
 #: A pair is linked when SCALE * overlap >= SHARE * (size + size); for a similarity of 75 % that is 175 and 75.
 SCALE, SHARE = 175, 75
 
@@ -49,7 +53,10 @@ def text_hash() -> Column:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, node, check, keys, counts): size, a 128-bit hash of the set, its least hashes, its point."""
+    """(doc_id, text_hash, n, node, check, keys, counts): size, a 128-bit hash of the set, its least hashes, its point.
+
+    ``counts`` are the sorted low 16 bits of each shingle for sets of up to ``EXACT``, else the point itself.
+    """
     bounded_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()),
                         ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
@@ -64,8 +71,11 @@ def sketches(documents: DataFrame) -> DataFrame:
                 rows[1].append(int(own.sum(dtype=np.uint64).astype(np.int64)))
                 rows[2].append(int(spread.sum(dtype=np.uint64).astype(np.int64)))
                 rows[3].append(own[:KEYS].astype(np.int64))
-                counts = np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-                rows[4].append(np.minimum(counts, FULL).astype("<u2").tobytes())
+                if len(own) <= EXACT:
+                    rows[4].append(np.sort((own & np.uint64(FULL)).astype("<u2")).tobytes())
+                else:
+                    counts = np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+                    rows[4].append(np.minimum(counts, FULL).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(r, f.type) for r, f in zip(rows, list(schema)[2:], strict=True)]], schema=schema)
 
@@ -104,12 +114,36 @@ def survivors(sizes: np.ndarray, component: np.ndarray, points: np.ndarray) -> l
     return found
 
 
-def _points(column: pa.ChunkedArray) -> np.ndarray:
-    points = np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int32)
-    points[points == FULL] = 1 << 30
+def _points(column: pa.ChunkedArray, n: np.ndarray) -> np.ndarray:
+    """The counts per group of sets of n shingles, from what ``sketches`` keeps of them."""
+    held = column.to_pylist()
+    points = np.zeros((len(held), GROUPS), dtype=np.int32)
+    wide, own = np.flatnonzero(n > EXACT), np.flatnonzero(n <= EXACT)
+    if len(wide):
+        points[wide] = np.frombuffer(b"".join(held[i] for i in wide), dtype="<u2").reshape(-1, GROUPS)
+        points[points == FULL] = 1 << 30
+    if len(own):
+        group = np.frombuffer(b"".join(held[i] for i in own), dtype="<u2") % GROUPS
+        points[own] = np.bincount(np.repeat(np.arange(len(own)), n[own]) * GROUPS + group, minlength=len(own) * GROUPS).reshape(-1, GROUPS)
     return points
 
 
+def possible(pairs: list[tuple[int, int]], n: np.ndarray, column: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """The pairs without those of two small sets whose 16 bits of each shingle rule a link out."""
+    sets: dict[int, frozenset[int]] = {}
+
+    def bits(i: int) -> frozenset[int]:
+        if i not in sets:
+            own = np.frombuffer(column[i].as_py(), dtype="<u2").astype(np.int64)
+            place = np.arange(len(own))
+            fresh = np.concatenate((np.ones(min(len(own), 1), dtype=bool), own[1:] != own[:-1]))
+            again = place - np.maximum.accumulate(np.where(fresh, place, 0))  # equal bits of several shingles count apart
+            sets[i] = frozenset((own << 16 | again).tolist())
+        return sets[i]
+
+    return [(i, j) for i, j in pairs if n[i] > EXACT or n[j] > EXACT or SCALE * len(bits(i) & bits(j)) >= SHARE * (n[i] + n[j])]
+
+
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each key, from batches sorted by their first column."""
     open_, key = [], None
@@ -152,7 +186,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, n, counts): the middle point of each tree with the points that its bound allows."""
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for tree in _by_key(batches):
-            node, n, points = tree["node"].to_numpy(), tree["n"].to_numpy(), _points(tree["counts"])
+            node, n, points = tree["node"].to_numpy(), tree["n"].to_numpy(), _points(tree["counts"], tree["n"].to_numpy())
             far = np.abs(points - points.mean(axis=0)).sum(axis=1)
             middle = np.lexsort((node, far))[0]
             bound = np.minimum(points, points[middle]).sum(axis=1, dtype=np.int64)
@@ -169,7 +203,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for tree in _by_key(batches):
             node = tree["node"].to_numpy()
-            found = np.array(survivors(tree["n"].to_numpy(), tree["root"].to_numpy(), _points(tree["counts"])), dtype=np.int64).reshape(-1, 2)
+            n = tree["n"].to_numpy()
+            found = survivors(n, tree["root"].to_numpy(), _points(tree["counts"], n))
+            found = np.array(possible(found, n, tree["counts"]), dtype=np.int64).reshape(-1, 2)
             yield node[found[:, 0]], node[found[:, 1]]
 
     return _collected(pairs())

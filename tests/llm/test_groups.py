@@ -203,6 +203,20 @@ def test_bounds_never_lose_a_pair():
     assert linked <= found and linked
 
 
+def test_a_crowd_just_below_the_limit_does_not_pair_up(spark):
+    passage = " ".join(f"p{i}" for i in range(126))  # 122 shingles shared; 146 in each, 125.2 needed
+    rows = [(i, passage + " " + " ".join(f"o{i}x{k}" for k in range(24))) for i in range(60)]
+    rows += [(100, rows[7][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = ngram_join.sketches(docs).toArrow()
+    n = table["n"].to_numpy()
+    pairs = ngram_join.survivors(n, np.arange(len(n)), ngram_join._points(table["counts"], n))
+    left = {tuple(sorted((table["doc_id"][i].as_py(), table["doc_id"][j].as_py()))) for i, j in ngram_join.possible(pairs, n, table["counts"])}
+    assert len(pairs) > 200 and (7, 100) in left and len(left) < 10
+    want = odd.near_components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.grouped(docs).collect()} == want
+
+
 def test_ngram_on_odd_rows(spark):
     docs = odd.documents(spark)
     rows = ngram_join.grouped(docs).collect()

@@ -9,7 +9,7 @@ import numpy as np
 import odd
 from pyspark.sql import functions as F
 
-from opslens.llm import chat, components, lines, mixing, neighbours, ngram_join, packing, queries
+from opslens.llm import chat, common, components, lines, mixing, neighbours, ngram_join, packing, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -134,6 +134,28 @@ def test_a_crowd_of_near_copies_of_a_line(spark):
     assert {r["doc_id"]: list(r["removed"]) for r in lines.removed_lines(docs).collect()} == odd.removed(rows)
 
 
+def test_a_crowd_of_lines_just_below_the_limit_is_not_paired_up(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for i in range(900):
+        own = [f"word{k}" for k in range(30)]
+        for k in r.sample(range(30), 2):
+            own[k] = f"other{i}x{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(600 + i, rows[r.randrange(900)][1] + " more" + " and" * (i % 2)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {}
+
+    def counted(df, purpose):
+        table = common.written(df, purpose)
+        sizes[purpose] = max(sizes.get(purpose, 0), table.count())
+        return table
+
+    monkeypatch.setattr(lines, "written", counted)
+    assert {r["doc_id"]: list(r["removed"]) for r in lines.removed_lines(docs).collect()} == odd.removed(rows)
+    assert max(sizes.values()) < 16 * lines.TRIED * len(rows), sizes  # a line has about 14 keys
+
+
 def test_line_keys_meet_for_every_similar_pair_and_for_few_others():
     r = np.random.default_rng(5)
     vocabulary = np.sort(r.integers(0, 1 << 63, 900).astype(np.uint64))

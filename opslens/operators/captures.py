@@ -1,13 +1,16 @@
 """State as of a moment: the newest capture of each server, out of tables that hold many.
 
-Captured tables are partitioned by day, capture and server, so which captures there are
-is known from the catalog alone. ``state_as_of`` chooses the newest capture of each server
-that all tables of a report share, and each table is read with a filter on its partition
-columns: no other capture's files are opened, and a report never pairs two captures.
+Captured tables are partitioned by day, capture and set of servers written together, with
+the names of each set in a list beside the rows: which captures there are is known without
+reading rows, and the number of files does not grow with the number of servers.
+``state_as_of`` chooses the newest capture of each server that all tables of a report share,
+and each table is read with a filter on its partition columns: no other capture's files are
+opened, and a report never pairs two captures.
 """
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -19,9 +22,11 @@ from opslens.functions import dates
 from opslens.operators import changes
 
 #: The partition columns of a captured table, and how a capture's moment is spelled in its name.
-PARTS = ["captured_date", "capture", "server_name"]
+PARTS = ["captured_date", "capture", "server_set"]
 CAPTURE = "yyyyMMdd'T'HHmmss.SSSSSS"
-NO_SERVER = "__HIVE_DEFAULT_PARTITION__"
+#: Below a table's folder, where its scans do not look: a folder like that of a partition for each set, with its servers and whether they have rows.
+LISTS = "_servers/lists"
+LISTED = "server_name string, filled boolean"
 
 
 def as_of_capture(df: DataFrame, as_of: str | datetime, keys: list[str] | None = None, within_days: int | None = None) -> DataFrame:
@@ -43,18 +48,18 @@ def as_of_capture(df: DataFrame, as_of: str | datetime, keys: list[str] | None =
     return rows.join(newest, keys).filter(F.col("captured_at") == F.col("_newest")).select(*df.columns)
 
 
+def lists_folder(spark: SparkSession, table: str) -> str:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table} AS JSON").first()[0]
+    return f"{json.loads(described)['location']}/{LISTS}"
+
+
 def capture_index(spark: SparkSession, table: str) -> DataFrame:
-    """(captured_date, capture, server_name) of every capture of a table, from its partitions; no data is read.
+    """(captured_date, capture, server_name, server_set) of every capture of a table, from its lists; no row is read.
 
-    A server that had no rows in a capture is listed too, as an empty partition.
+    A server that had no rows in a capture is listed too.
     """
-    listed = spark.sql(f"SHOW PARTITIONS {table}")
-
-    def value(name: str) -> Column:
-        text = F.regexp_extract("partition", f"(?:^|/){name}=([^/]*)", 1)
-        return F.when(text != NO_SERVER, F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
-    return listed.select(value("captured_date").cast("date").alias("captured_date"), value("capture").alias("capture"),
-                         value("server_name").alias("server_name"))
+    lists = spark.read.schema(f"{LISTED}, captured_date date, capture string, server_set string").parquet(lists_folder(spark, table))
+    return lists.select("captured_date", "capture", "server_name", "server_set")
 
 
 def newest_captures(indexes: list[DataFrame], as_of: str | datetime, within_days: int | None = None) -> DataFrame:
@@ -65,7 +70,7 @@ def newest_captures(indexes: list[DataFrame], as_of: str | datetime, within_days
     if within_days is not None:
         oldest = dates.ago(as_of, within_days, "day")
         shared = shared.filter((F.col("captured_date") >= oldest.cast("date")) & (F.col("capture") >= F.date_format(oldest, CAPTURE)))
-    complete = shared.groupBy(*PARTS).agg(F.countDistinct("_table").alias("_n")).filter(F.col("_n") == len(indexes))
+    complete = shared.groupBy("captured_date", "capture", "server_name").agg(F.countDistinct("_table").alias("_n")).filter(F.col("_n") == len(indexes))
     return complete.groupBy("server_name").agg(F.max_by(F.struct("captured_date", "capture"), "capture").alias("c")).select("c.*", "server_name")
 
 
@@ -74,15 +79,22 @@ def _is_in(column: Column, values: list) -> Column:
     return found | column.isNull() if None in values else found
 
 
-def partition_filter(chosen: list[tuple], there: dict[tuple, set]) -> Column:
-    """The chosen (day, capture, server) as a filter on partition columns; servers are named only where a capture is taken in part."""
-    by_capture = defaultdict(list)
+def partition_filter(chosen: list[tuple], there: dict[tuple, dict[str | None, set]]) -> Column:
+    """The chosen (day, capture, server) as a filter; servers are named only where a set of them is taken in part.
+
+    ``there`` has the sets of each server by (day, capture). Sets are named always: one that is not
+    in the lists yet is still being written.
+    """
+    by_capture = defaultdict(set)
     for day, capture, server in chosen:
-        by_capture[day, capture].append(server)
+        by_capture[day, capture].add(server)
     parts = []
     for (day, capture), servers in sorted(by_capture.items()):
+        sets = sorted(set().union(*(there[day, capture][s] for s in servers)))
         part = (F.col("captured_date") == F.lit(day)) & (F.col("capture") == capture)
-        parts.append(part if there[day, capture] == set(servers) else part & _is_in(F.col("server_name"), sorted(servers, key=str)))
+        part &= F.col("server_set").eqNullSafe(sets[0]) if len(sets) == 1 else F.col("server_set").isin(sets)
+        members = {s for s, of in there[day, capture].items() if not of.isdisjoint(sets)}
+        parts.append(part if members == servers else part & _is_in(F.col("server_name"), sorted(servers, key=str)))
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
@@ -104,9 +116,9 @@ class State:
 def state_as_of(spark: SparkSession, tables: dict[str, str], as_of: str | datetime, within_days: int | None = None) -> State:
     """The tables of a report (name in the report to name in the catalog) as of a moment.
 
-    One row per server comes to the driver, as does the list of partitions when Spark plans
-    the scan. A server whose newest capture lacks one of the tables is shown as of its newest
-    whole one; a server without any is not shown.
+    One row per server comes to the driver, as do the lists of the chosen captures and the
+    partitions when Spark plans the scan. A server whose newest capture lacks one of the tables
+    is shown as of its newest whole one; a server without any is not shown.
     """
     indexes = {name: capture_index(spark, table) for name, table in tables.items()}
     chosen = [tuple(r) for r in newest_captures(list(indexes.values()), as_of, within_days).collect()]
@@ -114,9 +126,9 @@ def state_as_of(spark: SparkSession, tables: dict[str, str], as_of: str | dateti
     state = State(spark.createDataFrame([(server, capture) for _, capture, server in chosen], "server_name string, capture string").select(
                       "server_name", F.to_timestamp_ntz("capture", F.lit(CAPTURE)).alias("captured_at")))
     for name, table in tables.items():
-        there = defaultdict(set)
-        for day, capture, server in indexes[name].filter(F.col("capture").isin(sorted(captures))).collect():
-            there[day, capture].add(server)
+        there = defaultdict(lambda: defaultdict(set))
+        for day, capture, server, of in indexes[name].filter(F.col("capture").isin(sorted(captures))).collect():
+            there[day, capture][server].add(of)
         rows = spark.table(table).filter(partition_filter(chosen, there))
-        state.tables[name] = rows.drop("captured_at", "captured_date", "capture")
+        state.tables[name] = rows.select(*[c for c in rows.columns if c not in ("server_name", "captured_at", *PARTS)], "server_name")
     return state

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date, datetime, timedelta
-from urllib.parse import unquote
+from hashlib import md5
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from opslens.functions import dates
-from opslens.operators.captures import CAPTURE, PARTS
-from opslens.session import cut_lineage, new_folder
+from opslens.operators.captures import CAPTURE, LISTED, PARTS, lists_folder
+from opslens.session import cut_lineage, new_folder, scratch
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -38,10 +39,27 @@ def append_log(df: DataFrame, path: str, batch: str | int, facts: dict[str, Colu
     return True
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, on whatever file system it is."""
+def _located(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, whatever that is."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, found = _located(spark, path)
+    return system.exists(found)
+
+
+def _values(spark: SparkSession, path: str) -> list[str]:
+    """The values that the partition folders below a path stand for."""
+    system, found = _located(spark, path)
+    names = [entry.getPath().getName() for entry in system.listStatus(found)] if system.exists(found) else []
+    return sorted(name.split("=", 1)[1] for name in names if "=" in name)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, found = _located(spark, path)
+    system.delete(found, True)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -92,49 +110,86 @@ def scalar(df: DataFrame):
 
 def append_snapshot(df: DataFrame, table: str, captured_at: str | datetime, retention_days: int = 14,
                     servers: list[str] | None = None, path: str | None = None) -> list[str]:
-    """Snapshot added to a table partitioned by day, capture and server; days past their retention are dropped.
-
-    Returns the dropped days. A capture owns its partitions: the same servers captured
-    again for the same moment replace what they wrote, and nothing else, so a retry
-    leaves the table as it was. ``servers`` are the servers that answered: one without rows
-    gets an empty partition, so that it is known to have been empty. A new table is kept at
-    ``path``, if one is given.
+    """Snapshot added to a table partitioned by day, capture and set of servers; days past their retention are dropped.
+
+    Returns the dropped days. The servers of a call share one partition, so a fleet takes a few
+    files and not one per server; their names, which come to the driver, are listed beside the
+    rows when these are written. The same servers captured again for the same moment replace
+    what they wrote, and nothing else, so a retry leaves the table as it was: the same set
+    overwrites its partition, and other sets that hold some of the servers are rewritten without
+    them. (A writer that dies before that leaves both, until it tries again.) ``servers`` are the
+    servers that answered: one without rows is listed, so that it is known to have been empty.
+    A new table is kept at ``path``, if one is given. ``df`` is read twice.
     """
     spark = df.sparkSession
+    moment = datetime.fromisoformat(str(captured_at))
+    names = [r[0] for r in df.select("server_name").distinct().collect()] if "server_name" in df.columns else []
+    listed = sorted({*names, *(servers or [])}, key=lambda s: (s is None, s or ""))
+    own = md5(json.dumps(listed).encode(), usedforsecurity=False).hexdigest()
     stamped = df.withColumn("captured_at", dates.instant(captured_at)).withColumn(
-        "captured_date", F.col("captured_at").cast("date")).withColumn("capture", F.date_format("captured_at", CAPTURE))
-    parts = [c for c in PARTS if c in stamped.columns]
+        "captured_date", F.col("captured_at").cast("date")).withColumn("capture", F.date_format("captured_at", CAPTURE)).withColumn(
+        "server_set", F.lit(own))
     if spark.catalog.tableExists(table):
-        mode = "spark.sql.sources.partitionOverwriteMode"
-        before = spark.conf.get(mode)
-        spark.conf.set(mode, "dynamic")  # an insert into a table takes it from the session only
-        try:
-            stamped.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
-        finally:
-            spark.conf.set(mode, before)
+        _overwrite_partitions(stamped, table)
     else:
-        writer = stamped.write.format("parquet").partitionBy(*parts)
+        writer = stamped.write.format("parquet").partitionBy(*PARTS)
         (writer.option("path", path) if path else writer).saveAsTable(table)
-    if servers:
-        moment = datetime.fromisoformat(str(captured_at))
-        named = [f"PARTITION (captured_date = '{moment:%Y-%m-%d}', capture = '{moment:%Y%m%dT%H%M%S.%f}', server_name = {_quoted(s)})" for s in servers]
-        for start in range(0, len(named), 500):
-            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(named[start:start + 500])}")
+    capture = f"{lists_folder(spark, table)}/captured_date={moment:%Y-%m-%d}/capture={moment:%Y%m%dT%H%M%S.%f}"
+    filled = set(names)
+    spark.createDataFrame([(s, s in filled) for s in listed], LISTED).coalesce(1).write.mode("overwrite").parquet(f"{capture}/server_set={own}")
+    if names and _values(spark, capture) != [own]:
+        _take_out(spark, table, capture, own, moment, names)
     return drop_old_days(spark, table, captured_at, retention_days)
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _overwrite_partitions(rows: DataFrame, table: str) -> None:
+    """Puts rows into a table in place of what their partitions held."""
+    spark = rows.sparkSession
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")  # an insert into a table takes it from the session only
+    try:
+        rows.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+
+
+def _take_out(spark: SparkSession, table: str, capture: str, own: str, moment: datetime, names: list[str]) -> None:
+    """Takes the rows of some servers out of the other sets of their capture."""
+    gone = spark.createDataFrame([(s,) for s in names], "gone string")
+    same = F.col("server_name").eqNullSafe(F.col("gone"))
+    lists = spark.read.schema(f"{LISTED}, server_set string").parquet(capture).filter(F.col("server_set") != own)
+    held = lists.filter("filled").join(gone, same, "left_semi").select("server_set").distinct().collect()
+    for (name,) in held:
+        spec = {"captured_date": f"{moment:%Y-%m-%d}", "capture": f"{moment:%Y%m%dT%H%M%S.%f}", "server_set": name}
+        rest = scratch(lists.filter(F.col("server_set") == name).join(gone, same, "left_anti").drop("server_set"), "servers")
+        rows = spark.table(table).filter((F.col("captured_date") == F.lit(spec["captured_date"]).cast("date"))
+                                         & (F.col("capture") == spec["capture"]) & (F.col("server_set") == name))
+        if rest.filter("filled").isEmpty():
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {_partition(spec)}")
+        else:
+            _overwrite_partitions(scratch(rows.join(gone, same, "left_anti"), "rows"), table)
+        if rest.isEmpty():
+            _delete(spark, f"{capture}/server_set={name}")
+        else:
+            rest.coalesce(1).write.mode("overwrite").parquet(f"{capture}/server_set={name}")
+
+
+def _partition(spec: dict[str, str]) -> str:
+    return "PARTITION (" + ", ".join(f"{k} = '{v}'" for k, v in spec.items()) + ")"
 
 
 def drop_old_days(spark: SparkSession, table: str, as_of: str | datetime, retention_days: int) -> list[str]:
-    """Drops daily partitions older than the retention; the list of days is short."""
+    """Drops daily partitions older than the retention, their lists first; the list of days is short."""
     today = datetime.fromisoformat(str(as_of)).date()
     oldest = today - timedelta(days=retention_days)
-    found = [[part.split("=", 1) for part in r[0].split("/")] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    gone = [spec for spec in found if date.fromisoformat(spec[0][1]) < oldest]
+    lists = lists_folder(spark, table)
+    listed = [day for day in _values(spark, lists) if date.fromisoformat(day) < oldest]
+    for day in listed:
+        _delete(spark, f"{lists}/captured_date={day}")
+    found = [dict(part.split("=", 1) for part in r[0].split("/")) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    gone = [spec for spec in found if date.fromisoformat(spec["captured_date"]) < oldest]
     for start in range(0, len(gone), 500):
-        specs = ", ".join("PARTITION (" + ", ".join(f"{k} = {_quoted(unquote(v))}" for k, v in spec) + ")" for spec in gone[start:start + 500])
+        specs = ", ".join(_partition(spec) for spec in gone[start:start + 500])
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
-    old = sorted({spec[0][1] for spec in gone})
-    return old
+    return sorted({*listed, *(spec["captured_date"] for spec in gone)})

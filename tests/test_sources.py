@@ -280,3 +280,35 @@ def test_state_reports_open_only_their_capture(spark):
     read = state["d"].select(F.input_file_name()).distinct().collect()
     assert len(read) == 2 and all("capture=20240103T100000.000000" in r[0] for r in read)
     spark.sql("drop table daily")
+
+
+def test_a_fleet_is_captured_in_few_files(spark):
+    from opslens.operators import captures
+    fleet = [(f"srv_{i}", i) for i in range(200)] + [(None, -1)]
+    snapshots(spark, "fleet", [("2024-01-01 10:00:00", fleet, None)], "server_name string, v long")
+    assert spark.sql("show partitions fleet").count() == 1 and len(spark.table("fleet").inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert captures.capture_index(spark, "fleet").count() == 201
+    state = captures.state_as_of(spark, {"f": "fleet"}, "2024-01-01 12:00:00")
+    assert rows(state["f"], "server_name", "v") == sorted(fleet, key=repr)
+    spark.sql("drop table fleet")
+
+
+def test_servers_captured_again_with_others_replace_only_their_rows(spark):
+    from opslens.operators import captures
+    moment = "2024-01-05 10:00:00"
+    days = [("2023-12-20 10:00:00", [("s", 0)], None), (moment, [("s", 1), ("t", 1), (None, 1)], ["e"])]
+    snapshots(spark, "mixed", days, "server_name string, v long")
+
+    def again(data, servers=None):
+        sinks.append_snapshot(frame(spark, data, "server_name string, v long"), "mixed", moment, servers=servers)
+        return rows(spark.table("mixed"), "server_name", "v")
+
+    assert again([("t", 2), ("t", 3), ("u", 2)]) == [("s", 1), ("t", 2), ("t", 3), ("u", 2), (None, 1)]
+    assert again([(None, 4), ("e", 4)]) == [("e", 4), ("s", 1), ("t", 2), ("t", 3), ("u", 2), (None, 4)]
+    assert again([("u", 5)], ["s"]) == [("e", 4), ("s", 1), ("t", 2), ("t", 3), ("u", 5), (None, 4)]
+    assert again([("s", 6), ("t", 6), (None, 6)]) == again([("s", 6), ("t", 6), (None, 6)]) == [("e", 4), ("s", 6), ("t", 6), ("u", 5), (None, 6)]
+    assert spark.sql("show partitions mixed").count() == 3  # emptied sets are dropped, and so is the day past its retention
+    state = captures.state_as_of(spark, {"m": "mixed"}, "2024-01-05 12:00:00")
+    assert rows(state["m"], "server_name", "v") == [("e", 4), ("s", 6), ("t", 6), ("u", 5), (None, 6)]
+    assert rows(state.captures, "server_name") == [("e",), ("s",), ("t",), ("u",), (None,)]
+    spark.sql("drop table mixed")

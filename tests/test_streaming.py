@@ -229,3 +229,29 @@ def test_a_hot_server_sends_outages_not_failures(spark, tmp_path):
     assert any(p.stateOperators[0].numRowsUpdated and p.stateOperators[0].numRowsUpdated < 10 for p in query.recentProgress)
     out = jobs.results(spark, jobs.outages(stream, ["server_name"], "ts"), f"{tmp_path}/out")
     assert rows(out.filter("server_name = 'hot'"), "failures") == [(4000,)]
+
+
+def test_duplicates_of_many_keys_share_their_state(spark, tmp_path):
+    from opslens.streaming import state
+    schema = "user long, kind string, ts timestamp_ntz"
+    data = [(i, "k", START + timedelta(seconds=i)) for i in range(3000)] + [(7, "k", START + timedelta(minutes=70))]
+    write_parts(spark, data, schema, f"{tmp_path}/in", 1)
+    rows_of = jobs.suppress_duplicates(jobs.read_stream(spark, f"{tmp_path}/in", schema), ["user", "kind"], "ts")
+    query = jobs.start(rows_of, f"{tmp_path}/out")
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= state.LOTS
+    assert jobs.results(spark, rows_of, f"{tmp_path}/out").count() == 3001
+
+
+def test_duplicates_are_equal_in_all_their_keys(spark, tmp_path):
+    keys = [("a", "b:c"), ("a:b", "c"), ("ab", "c"), ("a", None), (None, "a"), (None, None), ("", None), ("", ""), ("-", None), ("1:a", "")]
+    rng = random.Random(5)
+    data = sorted(((*rng.choice(keys), rng.choice([0.0, -0.0, 1.5]), START + timedelta(seconds=rng.randrange(400000))) for _ in range(400)), key=lambda r: r[3])
+    last, want = {}, []
+    for *key, moment in data:
+        if tuple(key) not in last or moment - last[tuple(key)] > timedelta(hours=1):
+            want.append((*key, moment))
+        last[tuple(key)] = moment
+    got = through(spark, data, "x string, y string, z double, ts timestamp_ntz", tmp_path,
+                  lambda s: jobs.suppress_duplicates(s, ["x", "y", "z"], "ts"), 3, restarts=2)
+    assert rows(got.withColumn("z", F.col("z") + 0.0), "x", "y", "z", "ts") == sorted(((x, y, z + 0.0, t) for x, y, z, t in want), key=repr)

@@ -149,6 +149,21 @@ def test_covering_join_equals_all_pairs(spark):
     assert rows(got, "id", "at") == sorted(want, key=repr)
 
 
+def test_covering_join_with_lengths_far_apart(spark):
+    spans = [("s", i, START + timedelta(seconds=40 * i), START + timedelta(seconds=40 * i + 1)) for i in range(300)]
+    spans += [("s", 900, START - timedelta(days=20000), START + timedelta(seconds=5000)), ("s", 901, START, START - timedelta(seconds=1)),
+              ("s", 902, None, START), ("t", 903, START, START), (None, 904, START, START)]
+    points = [("s", START + timedelta(seconds=s)) for s in range(0, 12000, 7)] + [("s", START - timedelta(days=19999)), ("s", None), ("t", START), (None, START)]
+    got = joins.covering_join(frame(spark, spans, "s string, id long, a timestamp_ntz, b timestamp_ntz"),
+                              frame(spark, points, "s string, at timestamp_ntz"), "a", "b", "at", ["s"])
+    want = [(i, t) for k, i, a, b in spans for key, t in points if k and t and a and key == k and a <= t <= b]
+    assert rows(got, "id", "at") == sorted(want, key=repr)
+    wrong = frame(spark, [("s", -5), ("t", None)], "s string, seconds long")  # lengths decide on the work only
+    got = joins.covering_join(frame(spark, spans[:300], "s string, id long, a timestamp_ntz, b timestamp_ntz"),
+                              frame(spark, points, "s string, at timestamp_ntz"), "a", "b", "at", ["s"], wrong)
+    assert rows(got, "id", "at") == sorted((w for w in want if w[0] < 900), key=repr)
+
+
 def test_include_exclude(spark):
     df = frame(spark, [("a",), ("b",), ("c",)], "n string")
     assert rows(joins.include_exclude(df, "n", ["a", "b"], ["b"])) == [("a",)]

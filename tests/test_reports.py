@@ -424,3 +424,25 @@ def test_row_order_of_input_does_not_matter(spark):
     forward, backward = backups(spark, *data), backups(spark, *reversed(data))
     for report in (lambda b: backup.backup_frequency(b, NOW), lambda b: backup.backup_size_delta(b), lambda b: backup.latest_by_type(b, NOW)):
         assert rows(report(forward)) == rows(report(backward.repartition(5)))
+
+
+def test_running_jobs_are_named_before_they_meet_instants(spark):
+    from helpers import plan_of
+    names = frame(spark, [("s", 1, "a"), ("s", 2, "b"), ("t", 1, "c")], "server_name string, job_id long, name string")
+    history = frame(spark, [("s", 1, 0, 20240131, 100, 10000), ("s", 1, 1, 20240131, 100, 10000), ("s", 2, 0, 20240131, 3000, 5), ("t", 1, 0, 20240131, 0, 0),
+                            ("s", 9, 0, 20240131, 100, 10000)],
+                    "server_name string, job_id long, step_id int, run_date long, run_time long, run_duration long")
+    instants = frame(spark, [("s", at("2024-01-31 00:30:05")), ("s", at("2024-01-31 01:01:00")), ("s", at("2024-01-31 01:01:01")),
+                             ("t", at("2024-01-31 00:00:00"))], "server_name string, at timestamp_ntz")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        got = jobs.jobs_running_at_each(names, history, instants)
+        plan = plan_of(got)
+        assert [(str(t), j) for t, j in rows(got, "at", "job_name")] == [
+            ("2024-01-31 00:00:00", "c"), ("2024-01-31 00:30:05", "a"), ("2024-01-31 00:30:05", "b"), ("2024-01-31 01:01:00", "a")]
+    finally:
+        spark.conf.unset(key)
+    joined = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joined) == 2 and "_block" in joined[0]       # the last join makes the result: none of its rows is shuffled
+    assert plan.count("Generate explode") == 1              # runs take several blocks, instants one
